@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, join_small, materialize, mix64, owner, segments, text_of, tokens, utf8
+from lodestone.llm.shared import chunks, join_small, materialize, mix64, owner, sorted_groups, text_of, tokens, utf8
 
 SHINGLE, PERMUTATIONS, BITS, ROWS, THRESHOLD = 2, 128, 4, 4, 0.6
 
@@ -140,19 +140,8 @@ def _edges(banded: DataFrame, bits: int, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            t = t.combine_chunks()
-            keys = t.column(0).to_numpy()
-            last = int(np.searchsorted(keys, keys[-1], side="left"))
-            rest = t.slice(last)
-            if last:
-                yield from groups(t.slice(0, last), keys[:last])
-        if rest is not None and rest.num_rows > 1:
-            yield from groups(rest.combine_chunks(), rest.column(0).to_numpy())
+        for t in sorted_groups(batches):
+            yield from groups(t, t.column(0).to_numpy())
 
     def groups(t, keys):
         cut = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]

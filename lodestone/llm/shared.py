@@ -140,3 +140,22 @@ def owner(offs: np.ndarray, at: np.ndarray) -> np.ndarray:
 def segments(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets (n + 1) of each row's run in a sorted list of row numbers."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def sorted_groups(batches):
+    """Tables of whole groups, from batches sorted by their first column; a group is never cut."""
+    rest: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if rest and keys[0] == key and keys[-1] == key:
+            rest.append(batch)
+            continue
+        last = int(np.searchsorted(keys, keys[-1], side="left")) if (keys[:-1] <= keys[1:]).all() else int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        if rest or last:
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks()
+        rest, key = [batch.slice(last)], keys[-1]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
