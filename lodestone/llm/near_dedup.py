@@ -114,55 +114,60 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = PERMUTATIONS, b
     return src.mapInArrow(run, "doc_id long, sig binary, bands array<long>")
 
 
-def bucket_edges(ids: np.ndarray, sigs: np.ndarray, bits: int, threshold: float) -> list[tuple[int, int, float]]:
+def bucket_edges(ids: np.ndarray, sigs: np.ndarray, bits: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the components of one bucket under estimate >= threshold."""
     left = np.arange(len(ids))
-    out: list[tuple[int, int, float]] = []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            e = estimate(sigs[at], sigs[left], bits)
-            hit = e >= threshold
+            hit = estimate(sigs[at], sigs[left], bits) >= threshold
             if hit.any():
                 new = left[hit]
-                out += zip([int(ids[at])] * len(new), ids[new].tolist(), e[hit].tolist(), strict=True)
+                a.append(np.full(len(new), ids[at]))
+                b.append(ids[new])
                 queue += new.tolist()
                 left = left[~hit]
-    return out
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _buckets(rep: DataFrame) -> DataFrame:
+    """(bucket, id) of every set of documents that shares some band key; a set that several keys share is one bucket."""
+
+    def run(batches):
+        for t in sorted_groups(batches):
+            keys, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            size = np.diff(np.r_[cut, len(keys)])
+            name = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), cut) + size.astype(np.uint64)).view(np.int64)
+            many = np.repeat(size > 1, size)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many]), pa.array(ids[many])], ["bucket", "id"])
 
+    banded = rep.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, id long").distinct()
 
-def _edges(banded: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """Verified spanning edges of every bucket. Rows come sorted by key, so a bucket is a run of rows."""
 
-    def emit(edges):
-        a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _edges(members: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """Verified spanning edges of every bucket, from (bucket, id, sig)."""
 
     def run(batches):
         for t in sorted_groups(batches):
-            yield from groups(t, t.column(0).to_numpy())
-
-    def groups(t, keys):
-        cut = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
-        size = np.diff(cut)
-        if (size < 2).all():
-            return
-        ids = t.column(1).to_numpy()
-        data, offs = utf8(t.column(2).combine_chunks())
-        sigs = data.reshape(len(ids), -1)
-        edges: list[tuple[int, int, float]] = []
-        two = cut[:-1][size == 2]
-        if len(two):
-            e = estimate(sigs[two], sigs[two + 1], bits)
-            ok = two[e >= threshold]
-            edges += zip(ids[ok].tolist(), ids[ok + 1].tolist(), e[e >= threshold].tolist(), strict=True)
-        for lo, n in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-            edges += bucket_edges(ids[lo : lo + n], sigs[lo : lo + n], bits, threshold)
-        if edges:
-            yield emit(edges)
-
-    return banded.mapInArrow(run, "a long, b long").distinct()
+            keys, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            cut = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+            size = np.diff(cut)
+            sigs = utf8(t.column(2).combine_chunks())[0].reshape(len(ids), -1)
+            two = cut[:-1][size == 2]
+            ok = two[estimate(sigs[two], sigs[two + 1], bits) >= threshold]
+            a, b = [ids[ok]], [ids[ok + 1]]
+            for lo, n in zip(cut[:-1][size > 2], size[size > 2], strict=True):
+                x, y = bucket_edges(ids[lo : lo + n], sigs[lo : lo + n], bits, threshold)
+                a, b = [*a, x], [*b, y]
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -199,9 +204,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     """
     sig = materialize(signatures(docs, shingle, k, bits, rows).groupBy("doc_id").agg(F.min(F.struct("sig", "bands")).alias("s")).select("doc_id", "s.sig", "s.bands"))
     rep = materialize(sig.groupBy("bands", "sig").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("ids")))
-    banded = rep.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "sig")
-    edges = _edges(banded.repartition("key").sortWithinPartitions("key", "id"), bits, threshold)
-    root = components(edges)
+    members = _buckets(rep).join(rep.select(F.col("rep").alias("id"), "sig"), "id").select("bucket", "id", "sig")
+    root = components(_edges(members, bits, threshold))
     grouped = rep.join(root, rep.rep == root.id, "left").filter("root IS NOT NULL OR size(ids) > 1")
     member = grouped.select(F.explode("ids").alias("doc_id"), F.coalesce("root", "rep").alias("group_id"), "sig")
     anchor = rep.select(F.col("rep").alias("group_id"), F.col("sig").alias("other"))
