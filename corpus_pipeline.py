@@ -4,12 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.line_dedup import drop_recurring_lines
 from lodestone.llm.near_dedup import drop_near_duplicates
+from lodestone.llm.packing import pack_texts
+from lodestone.llm.pii import mask_pii
+from lodestone.llm.quality import keep_quality
 from lodestone.llm.shared import materialize
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read more like the raw corpus than like the trusted part go."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates are taken out of the texts."""
+    return drop_recurring_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_duplicates(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers are masked."""
+    return mask_pii(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(pack_id, place, doc_id, part, first_word, n_words, text): the pieces of the packed sequences."""
+    return pack_texts(docs)
+
+
 STAGES = [
-    ("near_dedup", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("packing", packing),
 ]
+#: Near copies are grouped by hashed signatures and connected components, and packing fits counts by
+#: least squares: SQL has neither, so tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 

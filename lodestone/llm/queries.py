@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import line_dedup, near_dedup, pii, quality
+from lodestone.llm import line_dedup, near_dedup, packing, pii, quality
 
 QUERIES = {
     "op2_quality_llr": quality.op2_quality_llr,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_pattern_packing": packing.op4_pattern_packing,
     "op6_pii_spans": pii.op6_pii_spans,
     "op8_line_templates": line_dedup.op8_line_templates,
 }
