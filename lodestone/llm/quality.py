@@ -4,7 +4,8 @@ The n-grams are the runs of ``GRAM`` = 4 bytes of a text's UTF-8 form; gram valu
 bucket ((v * 2654435769) mod 2^32) >> 16 of 65,536. Two multinomials with add-one smoothing are
 fitted over whole tables: the trusted one over the documents labelled quality = 1, the raw one over
 every document. A document's score is the mean over its n-grams of log(trusted / raw), so it
-doesn't grow with length; it is kept if the score is at least ``THRESHOLD``.
+doesn't grow with length; ``PRIOR`` further n-grams that speak neither way are counted in, so that a
+few odd n-grams don't condemn a short text. It is kept if the score is at least ``THRESHOLD``.
 
 What is gathered is one row for each bucket and input partition; what is broadcast is the table of
 65,536 ratios, the same at any input size.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import chunks, join_small, text_of, utf8
 
-GRAM, BUCKET_BITS, THRESHOLD = 4, 16, -0.35
+GRAM, BUCKET_BITS, PRIOR, THRESHOLD = 4, 16, 16, -0.05
 
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ def scorer(spark: SparkSession, ratio: np.ndarray):
             v, seg = buckets(part, cut)
             has = np.flatnonzero(np.diff(seg))
             if len(has):
-                out[lo + has] = np.add.reduceat(table.value[v], seg[has]) / np.diff(seg)[has]
+                out[lo + has] = np.add.reduceat(table.value[v], seg[has]) / (np.diff(seg)[has] + PRIOR)
         return pa.array(np.round(out, 6))
 
     return F.arrow_udf(score, "double")
@@ -125,5 +126,5 @@ ratios AS (
   FROM counts, totals),
 scored AS (
   SELECT r.rid, r.doc_id, round(coalesce(s.score, 0), 6) AS score FROM raw_docs r LEFT JOIN (
-    SELECT rid, sum(n * ratio) / sum(n) AS score FROM grams JOIN ratios USING (bucket) GROUP BY rid) s USING (rid))"""
+    SELECT rid, sum(n * ratio) / (sum(n) + {PRIOR}) AS score FROM grams JOIN ratios USING (bucket) GROUP BY rid) s USING (rid))"""
 SQL = f"WITH {SCORES_SQL} SELECT doc_id, score, score >= {THRESHOLD} AS keep FROM scored"
