@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import line_dedup, near_dedup, packing, pii, quality
+from lodestone.llm import bpe, line_dedup, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_llr": quality.op2_quality_llr,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_pattern_packing": packing.op4_pattern_packing,
     "op6_pii_spans": pii.op6_pii_spans,
     "op8_line_templates": line_dedup.op8_line_templates,
+    "op10_severity": toxicity.op10_severity,
 }
 SQL: dict[str, str] = {"op2_quality_llr": quality.SQL}
