@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, line_dedup, near_dedup, packing, pii, quality, toxicity
+from lodestone.llm import ann, bpe, line_dedup, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_pattern_packing": packing.op4_pattern_packing,
     "op6_pii_spans": pii.op6_pii_spans,
+    "op7_ivf_pq": ann.op7_ivf_pq,
     "op8_line_templates": line_dedup.op8_line_templates,
     "op10_severity": toxicity.op10_severity,
 }
