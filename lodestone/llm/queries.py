@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, bpe, line_dedup, near_dedup, packing, pii, quality, toxicity
+from lodestone.llm import ann, bpe, html, line_dedup, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii_spans": pii.op6_pii_spans,
     "op7_ivf_pq": ann.op7_ivf_pq,
     "op8_line_templates": line_dedup.op8_line_templates,
+    "op9_host_suffixes": html.op9_host_suffixes,
     "op10_severity": toxicity.op10_severity,
 }
 SQL: dict[str, str] = {"op2_quality_llr": quality.SQL}
