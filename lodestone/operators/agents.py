@@ -79,12 +79,17 @@ def bid_rule(kind: Column, interests: Column, item: Column, limit: Column, price
     return F.when(~F.array_contains(interests, item), F.lit(None)).when(kind == "dutch", F.when(limit >= price, price)).otherwise(limit)
 
 
+def _threat(column: Column):
+    return lambda x, i: (x == F.col("r")) | (F.abs(x - F.col("r")) == column - i)
+
+
 def queens(spark, n: int) -> DataFrame:
     """(rows): every way to set n queens, the row of each column, by n joins on columns and diagonals."""
     row = spark.range(n).select(F.col("id").cast("int").alias("r"))
     board = row.select(F.array("r").alias("rows"))
     for c in range(1, n):
-        free = ~F.exists(F.transform("rows", lambda x, i, c=c: (x == F.col("r")) | (F.abs(x - F.col("r")) == c - i)), lambda b: b)
+        column = F.lit(c)
+        free = ~F.exists(F.transform("rows", _threat(column)), lambda b: b)
         board = board.crossJoin(F.broadcast(row)).filter(free).select(F.concat("rows", F.array("r")).alias("rows"))
     return board
 

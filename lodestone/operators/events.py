@@ -66,8 +66,8 @@ def first_success(attempts: DataFrame) -> DataFrame:
 def suspicions(beats: DataFrame, period: float, node: str = "node", ts: str = "ts") -> DataFrame:
     """(node, suspected_at, restored_at): silences longer than ``period`` seconds between two heartbeats."""
     ahead = F.lead(ts).over(Window.partitionBy(node).orderBy(ts))
-    seconds = lambda c: F.unix_micros(c) / 1e6
-    gap = beats.select(F.col(node).alias("node"), F.col(ts).alias("last"), ahead.alias("restored_at"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    gap = beats.select(F.col(node).alias("node"), F.col(ts).cast("timestamp").alias("last"), ahead.cast("timestamp").alias("restored_at"))
     late = gap.filter(seconds(F.col("restored_at")) - seconds(F.col("last")) > period)
     return late.select("node", F.timestamp_micros(F.unix_micros("last") + int(period * 1e6)).alias("suspected_at"), "restored_at")
 

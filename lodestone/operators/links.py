@@ -13,7 +13,7 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 1000, cut_every: int = 5, nodes: DataFrame | None = None, start: str = "uniform") -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 1000, nodes: DataFrame | None = None, start: str = "uniform") -> DataFrame:
     """(id, rank) by power iteration; the mass of nodes without links is spread evenly.
 
     start puts all mass on the least id ("first") or spreads it ("uniform"). With a tolerance of 0
@@ -28,14 +28,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, r
         return node.select("id", F.lit(0.0).alias("rank"))
     begin = F.lit(1.0 / n) if start == "uniform" else (F.col("id") == first).cast("double")
     rank = node.select("id", "degree", begin.alias("rank"))
-    for i in range(rounds):
+    for _ in range(rounds):
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         flow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
         new = rank.withColumnRenamed("rank", "old").join(flow, "id", "left").crossJoin(F.broadcast(dangling))
         value = damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n) + (1 - damping) / n
         new = new.select("id", "degree", value.alias("rank"), "old")
-        if tolerance > 0 or (i + 1) % cut_every == 0:
-            new = stored(new)
+        new = stored(new)  # a round reads the last one three times
         rank = new.drop("old")
         if tolerance > 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= tolerance:
             break
@@ -122,14 +121,13 @@ def hits(edges: DataFrame, root: DataFrame | None = None, tolerance: float = 1e-
     ids = nodes_of(links) if root is None else ids
     score = ids.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
     unit = lambda c: F.when(F.col("length") > 0, F.col(c) / F.col("length")).otherwise(0.0)
-    for i in range(rounds):
+    for _ in range(rounds):
         taken = links.join(score.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("in"))
         given = links.join(score.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("out"))
-        raw = score.join(taken, "id", "left").join(given, "id", "left").fillna(0.0, ["in", "out"])
+        raw = stored(score.join(taken, "id", "left").join(given, "id", "left").fillna(0.0, ["in", "out"]))
         size = raw.agg(F.sqrt(F.sum(F.col("in") * F.col("in"))).alias("l_in"), F.sqrt(F.sum(F.col("out") * F.col("out"))).alias("l_out"))
         new = raw.crossJoin(F.broadcast(size)).select("id", F.when(F.col("l_out") > 0, F.col("out") / F.col("l_out")).otherwise(0.0).alias("hub"), F.when(F.col("l_in") > 0, F.col("in") / F.col("l_in")).otherwise(0.0).alias("authority"), (F.col("hub")).alias("old_hub"), F.col("authority").alias("old_authority"))
-        if tolerance > 0 or (i + 1) % 5 == 0:
-            new = stored(new)
+        new = stored(new)
         score = new.select("id", "hub", "authority")
         if tolerance > 0:
             change = new.agg(F.sum(F.abs(F.col("hub") - F.col("old_hub")) + F.abs(F.col("authority") - F.col("old_authority")))).first()[0]

@@ -141,8 +141,8 @@ def ir17(spark, sf_dir):
 
 @query("ir19_spelling", rf"""WITH {_TOKENS}, v AS (SELECT DISTINCT term FROM tok WHERE abs(length(term) - 6) <= 2),
 g AS (SELECT term, list_distinct(list_transform(range(1, length(term) + 2), lambda i: substr('^' || term || '$', i, 2))) AS gs FROM v),
-s AS (SELECT term, len(list_intersect(gs, ['^t', 'th', 'hi', 'in', 'ng', 'gg', 'g$'])) AS both, len(gs) AS n FROM g),
-d AS (SELECT term, both::DOUBLE / (n + 7 - both) AS jaccard, levenshtein(term, 'thingg') AS l, abs(length(term) - 6) AS a FROM s)
+s AS (SELECT term, len(list_intersect(gs, ['^t', 'th', 'hi', 'in', 'ng', 'gg', 'g$'])) AS common, len(gs) AS n FROM g),
+d AS (SELECT term, common::DOUBLE / (n + 7 - common) AS jaccard, levenshtein(term, 'thingg') AS l, abs(length(term) - 6) AS a FROM s)
 SELECT term, round(jaccard, 6) AS jaccard FROM d WHERE jaccard >= 0.4 AND (l = 0 OR (l <= 2 AND a IN (1, 2) AND l = a) OR (a = 0 AND l <= 2 AND list_has_any(
   list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1)), list_transform(range(1, 7), lambda i: substr('thingg', 1, i - 1) || substr('thingg', i + 1)))))""")
 def ir19(spark, sf_dir):
@@ -195,7 +195,7 @@ def fim05(spark, sf_dir):
     return itemsets.frequent_itemsets(supplier_baskets(spark, sf_dir), 0.001, 2).select(F.array_join(F.transform("itemset", lambda x: x.cast("string")), " ").alias("itemset"), "freq")
 
 
-@query("fim06_rules", f"WITH {_FREQUENT}, r AS (SELECT a.item AS lhs, b.item AS rhs, count(*) AS both FROM bi a JOIN f1 USING (item) JOIN bi b ON a.basket = b.basket AND a.item <> b.item GROUP BY ALL) SELECT lhs, rhs, round(both / c, 6) AS confidence FROM r JOIN f1 ON lhs = item WHERE both / c > 0.02")
+@query("fim06_rules", f"WITH {_FREQUENT}, r AS (SELECT a.item AS lhs, b.item AS rhs, count(*) AS common FROM bi a JOIN f1 USING (item) JOIN bi b ON a.basket = b.basket AND a.item <> b.item GROUP BY ALL) SELECT lhs, rhs, round(common / c, 6) AS confidence FROM r JOIN f1 ON lhs = item WHERE common / c > 0.02")
 def fim06(spark, sf_dir):
     pairs = supplier_baskets(spark, sf_dir)
     found = itemsets.rules(pairs, itemsets.frequent_itemsets(pairs, 0.001, 1), 0.02)
@@ -309,8 +309,8 @@ def event_types(spark: SparkSession, sf_dir: str) -> list[str]:
 
 @query("str03_safe_release", """WITH log AS (SELECT event_id * 7919 % 100003 * 1000003 + event_id AS arrival, event_type AS node, event_id AS time FROM events),
 ks AS (SELECT DISTINCT node FROM log WHERE node IS NOT NULL), m AS (SELECT l.arrival, k.node, coalesce(max(CASE WHEN l.node = k.node THEN l.time END) OVER (PARTITION BY k.node ORDER BY l.arrival), 0) AS t FROM log l, ks k),
-s AS (SELECT arrival, min(t) AS safe FROM m GROUP BY arrival), f AS (SELECT safe, min(arrival) AS at FROM s GROUP BY safe)
-SELECT arrival, node, time, greatest(at, arrival) AS released_at FROM log ASOF LEFT JOIN f ON log.time <= f.safe""")
+s AS (SELECT arrival, min(t) AS safe FROM m GROUP BY arrival), f AS (SELECT safe, min(arrival) AS first_at FROM s GROUP BY safe)
+SELECT arrival, node, time, CASE WHEN first_at IS NOT NULL THEN greatest(first_at, arrival) END AS released_at FROM log ASOF LEFT JOIN f ON log.time <= f.safe""")
 def str03(spark, sf_dir):
     return events.safe_release(event_log(spark, sf_dir), event_types(spark, sf_dir))
 
