@@ -89,11 +89,13 @@ def shingles(text: Column, k: int, hashed: bool = True, include_last: bool = Tru
 
     The characters are split off once, so that the time is linear in the text's length.
     """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars) - k + (1 if include_last else 0)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.lower(F.array_join(F.slice(chars, i, F.lit(k)), "")))
-    out = F.transform(cut, lambda s: F.crc32(F.encode(s, "utf-8"))) if hashed else cut
-    return F.array_distinct(F.when(n >= 1, out).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>")))
+    less = k - (1 if include_last else 0)  # of k-grams fewer than characters
+    empty = F.array().cast("array<string>")
+    # bound as a variable, the characters are split off once and not for every k-gram again
+    split = F.array(F.filter(F.split(text, ""), lambda c: c != ""))
+    grams = lambda chars: F.when(F.size(chars) > less, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - less, F.lit(1))), lambda i: F.lower(F.array_join(F.slice(chars, i, F.lit(k)), "")))).otherwise(empty)
+    cut = F.transform(split, grams)[0]
+    return F.array_distinct(F.transform(cut, lambda s: F.crc32(F.encode(s, "utf-8"))) if hashed else cut)
 
 
 def indel_at_most_two(a: Column, b: Column) -> Column:
