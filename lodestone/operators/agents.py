@@ -57,7 +57,7 @@ def dutch_auction(auctions: DataFrame, bids: DataFrame, step: float = 10.0) -> D
     """
     top = auctions.join(bids.groupBy("auction").agg(F.max("max_price").alias("top")), "auction", "left")
     rounds = F.greatest(F.ceil((F.col("start") - F.col("top")) / step), F.lit(0))
-    priced = top.withColumn("price", F.col("start") - rounds * step).withColumn("price", F.when(F.col("price") >= F.col("least"), F.col("price")))
+    priced = top.withColumn("price", F.col("start") - rounds * step).withColumn("price", F.when(F.col("top").isNotNull() & (F.col("price") >= F.col("least")), F.col("price")))
     took = priced.join(bids, "auction").filter("max_price >= price").groupBy("auction").agg(F.min_by("bidder", F.struct("place", "bidder")).alias("winner"))
     return priced.join(took, "auction", "left").select("auction", "winner", "price")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def text_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, text): one row a file."""
-    read = spark.read.option("recursiveFileLookup", recursive).option("wholetext", True).text(path)
+    read = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
