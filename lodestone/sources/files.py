@@ -38,8 +38,8 @@ def with_scores(docs: DataFrame, scores: DataFrame, key: str = "name") -> DataFr
 
 def baskets(spark: SparkSession, path: str) -> DataFrame:
     """(basket, item) of lines of numbers; the basket is numbered by file and place, and an item is there once."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("basket"), F.explode(F.array_distinct(F.split(F.trim("value"), r"\s+"))).alias("item"))
-    return lines.filter("item <> ''").select("basket", F.col("item").cast("int").alias("item"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("basket"), F.array_distinct(F.split(F.trim("value"), r"\s+")).alias("items"))
+    return lines.select("basket", F.explode("items").alias("item")).filter("item <> ''").select("basket", F.col("item").cast("int").alias("item"))
 
 
 def edge_list(spark: SparkSession, path: str, sep: str = "\t", seed: int | None = None) -> DataFrame:
