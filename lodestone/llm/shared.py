@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into NumPy arrays at a time.
 CHUNK_BYTES = 1 << 20
-#: Rows of 8-byte keys up to which one side of a join may be broadcast (32 MB); beyond, Spark shuffles.
+#: Rows of 8-byte keys up to which one side of a join may be broadcast (about 70 bytes each in memory, so 280 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 4_000_000
 
 _HASH_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64

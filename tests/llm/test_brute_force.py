@@ -265,9 +265,7 @@ def test_ordinal_fit_finds_the_weights():
 
 
 def test_held_out_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.01', '0.1')}/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.filter("pmod(hash(doc_id), 3) > 0"), labels.filter("pmod(hash(doc_id), 3) = 0")
     got = toxicity.score_toxicity(docs, train).drop("toxic").join(test, "doc_id").collect()
     hit = sum(r.severity >= toxicity.THRESHOLD for r in got if r.toxic)
