@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,9 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 2, key: str = "vec_id", v
     """(key, prediction): the majority of the k nearest other rows by Euclidean distance; of equal votes the nearest decides, of equal distances the lesser key."""
     t = train.select(F.col(key).alias("t_id"), F.col(vector).cast("array<double>").alias("t"), F.col(label).alias("t_label"))
     q = queries.select(F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q"))
-    far = F.aggregate(F.zip_with("q", "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    first = train.select(F.size(vector).alias("n")).filter("n > 0").first()
+    # spelled out by dimension, the distance is compiled; a lambda would be interpreted for each pair
+    far = functools.reduce(lambda s, x: s + x, [(F.col("q")[i] - F.col("t")[i]) * (F.col("q")[i] - F.col("t")[i]) for i in range(first["n"] if first else 0)], F.lit(0.0))
     pairs = q.crossJoin(t).filter("q_id <> t_id").select("q_id", F.struct(far.alias("far"), "t_id", "t_label").alias("n"))
     if k <= 2:  # with two votes the nearest decides, and a minimum is combined before the shuffle
         return pairs.groupBy("q_id").agg(F.min("n").alias("n")).select(F.col("q_id").alias(key), F.col("n.t_label").alias("prediction"))
