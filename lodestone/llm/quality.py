@@ -1,26 +1,29 @@
 """Quality rule: hashed n-gram log-likelihood ratio of trusted target against raw corpus.
 
 The n-grams are the runs of ``GRAM`` = 4 bytes of a text's UTF-8 form; gram value v falls into
-bucket ((v * 2654435769) mod 2^32) >> 16 of 65,536. Two multinomials with add-one smoothing are
-fitted over whole tables: the trusted one over the documents labelled quality = 1, the raw one over
-every document. A document's score is the mean over its n-grams of log(trusted / raw), so it
-doesn't grow with length; ``PRIOR`` further n-grams that speak neither way are counted in, so that a
-few odd n-grams don't condemn a short text. It is kept if the score is at least ``THRESHOLD``.
-
-What is gathered is one row for each bucket and input partition; what is broadcast is the table of
-65,536 ratios, the same at any input size.
+bucket ((v * 2654435769) mod 2^32) >> 16 of 65,536. Two multinomials are fitted over whole tables:
+the trusted one over the documents labelled quality = 1, the raw one over every document, whose
+languages are weighted to the shares that they have in the trusted part, so that a language of which
+little is labelled isn't taken for a fault. Both are smoothed by ``PSEUDO`` counts, in the raw scale,
+so that rare n-grams say nothing. A document's score is the mean over its n-grams of
+log(trusted / raw), so it doesn't grow with length; ``PRIOR`` further n-grams that speak neither way
+are counted in, so that a few odd n-grams don't condemn a short text. It is kept if the score is at
+least ``THRESHOLD``.
+
+What is gathered is one row for each language, bucket and input partition; what is broadcast is the
+table of 65,536 ratios, the same at any input size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, join_small, text_of, utf8
+from lodestone.llm.shared import chunks, join_small, materialize, text_of, utf8
 
-GRAM, BUCKET_BITS, PRIOR, THRESHOLD = 4, 16, 16, -0.05
+GRAM, BUCKET_BITS, PSEUDO, PRIOR, THRESHOLD = 4, 16, 20, 16, -0.06
 
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,37 +45,49 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, raw, trusted) counts over all documents."""
+    """(lang, bucket, raw, trusted) counts over all documents; a null language, or none, is the empty one."""
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__trusted")).distinct()
-    src = docs.select(F.col("doc_id").alias("__id"), text_of().alias("__text"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    src = docs.select(F.col("doc_id").alias("__id"), text_of().alias("__text"), lang.alias("__lang"))
     n = trusted.count()
-    marked = join_small(src, trusted.withColumn("__id", F.col("__trusted")), "__id", "left", n).select("__text", F.col("__trusted").isNotNull().alias("t"))
+    marked = join_small(src, trusted.withColumn("__id", F.col("__trusted")), "__id", "left", n).select("__text", F.col("__trusted").isNotNull().alias("t"), "__lang")
 
     def run(batches):
-        raw, good = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+        counts: dict[str, np.ndarray] = {}
         for b in batches:
             data, offs = utf8(b.column(0))
             t = b.column(1).to_numpy(zero_copy_only=False)
+            coded = b.column(2).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             for lo, hi, part, cut in chunks(data, offs):
                 v, seg = buckets(part, cut)
-                raw += np.bincount(v, minlength=1 << BUCKET_BITS)
-                good += np.bincount(v[np.repeat(t[lo:hi], np.diff(seg))], minlength=1 << BUCKET_BITS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "trusted"])
+                size = np.diff(seg)
+                own, good = np.repeat(code[lo:hi], size), np.repeat(t[lo:hi], size)
+                for c in np.unique(code[lo:hi]):
+                    both = counts.setdefault(names[c], np.zeros((2, 1 << BUCKET_BITS), np.int64))
+                    mine = own == c
+                    both[0] += np.bincount(v[mine], minlength=1 << BUCKET_BITS)
+                    both[1] += np.bincount(v[mine & good], minlength=1 << BUCKET_BITS)
+        for name, (raw, good) in counts.items():
+            at = np.flatnonzero(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["lang", "bucket", "raw", "trusted"])
 
-    return marked.mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    return marked.mapInArrow(run, "lang string, bucket long, raw long, trusted long").groupBy("lang", "bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(trusted / raw) of each bucket; all zero if there is no trusted document."""
-    b = 1 << BUCKET_BITS
-    raw, good = np.zeros(b), np.zeros(b)
-    for r in gram_counts(docs, labels).toArrow().to_batches():
-        at = r.column(0).to_numpy()
-        raw[at], good[at] = r.column(1).to_numpy(), r.column(2).to_numpy()
-    if not good.sum():
-        return np.zeros(b)
-    return np.log((good + 1) / (good.sum() + b)) - np.log((raw + 1) / (raw.sum() + b))
+    per = gram_counts(docs, labels)
+    sums = materialize(per).withColumns({k: F.sum(c).over(Window.partitionBy("lang")) for k, c in (("in_raw", "raw"), ("in_good", "trusted"))})
+    weighted = F.col("raw") * (F.col("in_good") / F.col("in_raw"))
+    table = sums.groupBy("bucket").agg(F.sum(weighted).alias("w"), F.sum("trusted").alias("good"), F.sum("raw").alias("raw")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS)
+    if table.num_rows:
+        w, good, raw = (table[c].to_numpy().astype(float) for c in ("w", "good", "raw"))
+        if good.sum():
+            scale = raw.sum() / good.sum()
+            out[table["bucket"].to_numpy()] = np.log(good * scale + PSEUDO) - np.log(w * scale + PSEUDO)
+    return out
 
 
 def scorer(spark: SparkSession, ratio: np.ndarray):
@@ -114,16 +129,17 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORES_SQL = f"""
-raw_docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+raw_docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 grams AS (
-  SELECT rid, doc_id, ((('0x' || substr(hx, 2 * CAST(i AS BIGINT) + 1, 8))::UBIGINT * 2654435769) % 4294967296) >> 16 AS bucket, count(*) AS n
-  FROM (SELECT rid, doc_id, hx, unnest(range(0, length(hx) // 2 - 3)) AS i FROM raw_docs) GROUP BY ALL),
+  SELECT rid, doc_id, lang, ((('0x' || substr(hx, 2 * CAST(i AS BIGINT) + 1, 8))::UBIGINT * 2654435769) % 4294967296) >> 16 AS bucket, count(*) AS n
+  FROM (SELECT rid, doc_id, lang, hx, unnest(range(0, length(hx) // 2 - 3)) AS i FROM raw_docs) GROUP BY ALL),
 counts AS (
-  SELECT bucket, sum(n) AS raw, coalesce(sum(n) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), 0) AS good FROM grams GROUP BY bucket),
-totals AS (SELECT sum(raw) AS raw_all, sum(good) AS good_all FROM counts),
+  SELECT lang, bucket, sum(n) AS raw, coalesce(sum(n) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), 0) AS good FROM grams GROUP BY ALL),
+langs AS (SELECT lang, sum(good)::DOUBLE / sum(raw) AS share FROM counts GROUP BY lang),
+totals AS (SELECT sum(raw)::DOUBLE / nullif(sum(good), 0) AS scale FROM counts),
 ratios AS (
-  SELECT bucket, CASE WHEN good_all = 0 THEN 0 ELSE ln((good + 1.0::DOUBLE) / (good_all + 65536)) - ln((raw + 1.0::DOUBLE) / (raw_all + 65536)) END AS ratio
-  FROM counts, totals),
+  SELECT bucket, coalesce(ln(sum(good) * scale + {PSEUDO}) - ln(sum(raw * share) * scale + {PSEUDO}), 0) AS ratio
+  FROM counts JOIN langs USING (lang), totals GROUP BY bucket, scale),
 scored AS (
   SELECT r.rid, r.doc_id, round(coalesce(s.score, 0), 6) AS score FROM raw_docs r LEFT JOIN (
     SELECT rid, sum(n * ratio) / (sum(n) + {PRIOR}) AS score FROM grams JOIN ratios USING (bucket) GROUP BY rid) s USING (rid))"""
