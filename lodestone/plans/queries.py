@@ -181,7 +181,7 @@ def sim03(spark, sf_dir):
 
 @query("sim05_lsh")
 def sim05(spark, sf_dir):
-    return similar.lsh_pairs(table(spark, sf_dir, "documents"), rows=10, least=0.5)
+    return similar.lsh_pairs(table(spark, sf_dir, "documents"), least=0.5)
 
 
 # itemsets ------------------------------------------------------------------------------------
