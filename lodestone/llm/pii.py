@@ -63,10 +63,11 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER}|\d+)(?:[ \t.,\-()]{{1,3}}(?:{_N
 _GAP = re.compile(r"[ \t.,\-()]{2,3}|[,.()]")
 _SPELLED_WORD = re.compile(rf"(?<!\w){_NUMBER}(?!\w)", re.I)
 _BREAKS = str.maketrans(dict.fromkeys(",.-()\t\n", " "))
-_AT_TRIGGER = re.compile(r"(?<![^\W_])(?:at|arroba|dot|punto|point|punkt)\s{0,2}[\])}>]|(?<!\w)(?:dot|punto|punkt)(?!\w)", re.I)
 _LABEL = r"[A-Za-z0-9][A-Za-z0-9_+\-]{0,63}"
 _AT = r"(?:[ \t]{0,2}[\[({<][ \t]{0,2}(?:at|arroba|@)[ \t]{0,2}[\])}>][ \t]{0,2}|[ \t]{1,2}(?:at|arroba)[ \t]{1,2}|[ \t]{0,2}@[ \t]{0,2})"
 _DOT = r"(?:[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|punto|point|punkt|\.)[ \t]{0,2}[\])}>][ \t]{0,2}|[ \t]{1,2}(?:dot|punto|point|punkt)[ \t]{1,2})"
+#: In every text of which _DISGUISED would change something.
+_AT_TRIGGER = re.compile(r"[\[({<][ \t]{0,2}(?:at|arroba|@|dot|punto|point|punkt|\.)[ \t]{0,2}[\])}>]|[ \t](?:dot|punto|point|punkt)[ \t]|[ \t]@|@[ \t]", re.I)
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9_+\-]){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}(?P<at>{_AT}){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT}|\.)[A-Za-z]{{2,12}}(?![A-Za-z0-9])", re.I)
 _LAST = re.compile(r"[A-Za-z]+\Z")
 _DOT_RE, _BRACKET = re.compile(_DOT, re.I), re.compile(r"[\[({<]")
@@ -147,10 +148,6 @@ def _spelled(low: str) -> bool:
     return any(b - a == 1 for a, b in zip(hits, hits[1:], strict=False)) or any((i and words[i - 1].isdigit()) or words[i + 1 : i + 2] and words[i + 1].isdigit() for i in hits)
 
 
-def _disguised(text: str, low: str) -> bool:
-    return "dot" in low or "punto" in low or "punkt" in low or (("at" in low or "arroba" in low or "@" in low or "point" in low) and any(c in text for c in "[({<"))
-
-
 def deobfuscate(text: str) -> Mapped:
     """The text after the three transducers."""
     m = Mapped(text)
@@ -166,7 +163,7 @@ def deobfuscate(text: str) -> Mapped:
                 # separators other than one blank or hyphen between digits would hide the number
                 edits += [(run.start() + x.start(), run.start() + x.end(), "-") for x in _GAP.finditer(run.group())]
         m.rewrite(sorted(edits))
-    if _disguised(m.text, low) and _AT_TRIGGER.search(m.text):
+    if _AT_TRIGGER.search(m.text):
         edits = []
         for x in _DISGUISED.finditer(m.text):
             at, (lo, hi) = x.group("at"), x.span("at")
