@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.llm import pii
+from lodestone.llm import licenses, pii
 
 
 @pytest.mark.parametrize("text", ["jane@example[.]com", "jane[@]example.com", "jane (@) example.com", "jane @ example.com"])
@@ -15,3 +15,16 @@ def test_disguised_address_in_words():
     assert pii.mask("Voir: jean at exemple point fr, merci") == "Voir: <EMAIL>, merci"
     for text in ("look at example.com", "see you at ten. The point is clear", "a [.] b"):
         assert pii.mask(text) == text
+
+
+def test_every_template_is_found_as_itself(spark):
+    names = list(licenses.TEMPLATES)
+    docs = spark.createDataFrame([(i, f"Some words before. {licenses.TEMPLATES[n]} Some words after.") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {(names[r.doc_id], r.license) for r in licenses.scan_licenses(docs).collect() if r.coverage == 1.0}
+    assert {(n, n) for n in names} <= got
+    assert {"Proprietary-short", "AGPL-3.0"} <= set(names)
+
+
+def test_all_rights_reserved(spark):
+    docs = spark.createDataFrame([(1, "A text.\nAll rights reserved.\nIts end."), (2, "All rights are reserved for later."), (3, licenses.TEMPLATES["Proprietary"])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.start) for r in licenses.scan_licenses(docs).collect()) == [(1, "Proprietary-short", 8), (3, "Proprietary", 0)]
