@@ -8,8 +8,9 @@ where vectors cluster, many where they don't.
 
 Lists that lie together form groups of about ``BLOCK`` vectors. A query is sent once to each group
 that has lists it asks. There, tables of its inner products with the codewords give asymmetric
-distances to the codes; the ``RERANK`` best of the group are measured exactly, and the best ``K``
-over all groups remain. A larger group is cut into blocks, and so are the queries that it meets, so
+distances to the codes; the ``RERANK`` best of the group are measured exactly, then whatever may, by
+its quantisation error, be as near as the K-th of these, so that nothing in the lists asked is lost
+and the share of lists is the recall. The best ``K`` over all groups remain. A larger group is cut into blocks, and so are the queries that it meets, so
 that no task holds more than a block of each.
 
 The number of lists grows as the root of the number of vectors, so the broadcast centroids do too:
@@ -194,19 +195,31 @@ def _ask(vectors: DataFrame, coarse: np.ndarray, group: np.ndarray, dim: int, pr
     return vectors.mapInArrow(run, "grp long, id long, vec array<float>, lists array<int>, home int")
 
 
+def _squared(q: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Exact squared distances of q[row] and v[col]."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), 1 << 14):
+        out[i : i + (1 << 14)] = ((q[row[i : i + (1 << 14)]] - v[col[i : i + (1 << 14)]]).astype(np.float64) ** 2).sum(axis=1)
+    return out
+
+
 def search_block(q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, v: np.ndarray, v_id: np.ndarray, home: np.ndarray, coarse: np.ndarray, books: np.ndarray, k: int, rerank: int):
     """(query, neighbour, squared distance) of the best k in one block.
 
     coarse has the block's lists, home the list of each vector and asks (queries, lists) which lists
     a query asks. With c the centroid and r the quantised residual, |q - c - r|^2 is |q|^2 plus
     |c + r|^2, known for each vector, minus 2 q.c, known for each list, minus 2 q.r, which is summed
-    from tables of q's inner products with pairs of codewords.
+    from tables of q's inner products with pairs of codewords. ``rerank`` is how many by code give the
+    first bound; the result doesn't depend on it.
     """
     parts, codes, sub = books.shape
     residual = (v - coarse[home]).reshape(len(v), parts, sub)
     code = np.stack([nearest(residual[:, p], books[p]) for p in range(parts)])
     near = coarse[home] + np.concatenate([books[p][code[p]] for p in range(parts)], axis=1)
     own = (near * near).sum(axis=1)
+    whole = (v * v).sum(axis=1)
+    error = np.sqrt(((v - near).astype(np.float64) ** 2).sum(axis=1))
+    scale = 2 * ((coarse * coarse).sum(axis=1)[home] + whole + own)
     pairs = [(p, p + 1) for p in range(0, parts - 1, 2)]
     both = [code[a] * codes + code[b] for a, b in pairs]
     out = []
@@ -223,16 +236,23 @@ def search_block(q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, v: np.ndarra
         far[~asks[lo : lo + 256].T[home]] = np.inf
         far = np.ascontiguousarray(far.T)
         far[q_id[lo : lo + 256, None] == v_id[None, :]] = np.inf
+        # the k-th exact distance of the best by code bounds that of all; what may be nearer by its quantisation error is measured too
         top = np.argpartition(far, rerank - 1, axis=1)[:, :rerank] if rerank < len(v) else np.broadcast_to(np.arange(len(v)), far.shape)
-        skip = ~np.isfinite(np.take_along_axis(far, top, axis=1))
-        exact = np.empty(top.shape)
-        for i in range(0, len(some), 64):
-            exact[i : i + 64] = ((some[i : i + 64, None, :] - v[top[i : i + 64]]).astype(np.float64) ** 2).sum(axis=2)
-        exact[skip] = np.inf
-        order = np.lexsort((v_id[top], exact), axis=1)[:, :k]
-        exact, top = np.take_along_axis(exact, order, axis=1), np.take_along_axis(top, order, axis=1)
-        row, col = np.nonzero(np.isfinite(exact))
-        out.append((q_id[lo + row], v_id[top[row, col]], exact[row, col]))
+        first = _squared(some, v, np.repeat(np.arange(len(some)), top.shape[1]), top.ravel()).reshape(top.shape)
+        first[~np.isfinite(np.take_along_axis(far, top, axis=1))] = np.inf
+        bound = np.partition(first, k - 1, axis=1)[:, k - 1] if k < top.shape[1] else np.full(len(some), np.inf)
+        size = (some * some).sum(axis=1)
+        slack = 2e-5 * (size[:, None] + scale)  # of single precision
+        maybe = np.isfinite(far) & (far + size[:, None] - slack <= (np.sqrt(bound)[:, None] + error) ** 2)
+        used = np.flatnonzero(maybe.any(axis=0))
+        near_by = size[:, None] + whole[used] - 2 * some @ v[used].T
+        row, col = np.nonzero(maybe[:, used] & (near_by - 2e-5 * (size[:, None] + whole[used]) <= bound[:, None]))
+        col = used[col]
+        exact = _squared(some, v, row, col)
+        order = np.lexsort((v_id[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((q_id[lo + row[best]], v_id[col[best]], exact[best]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
