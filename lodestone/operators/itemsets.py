@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ def singletons(pairs: DataFrame, support: float) -> DataFrame:
     return counted.filter(F.col("freq") > F.lit(support) * F.col("n")).select(F.array("item").alias("itemset"), "freq")
 
 
-def frequent_itemsets(pairs: DataFrame, support: float = 0.01, most: int = 3) -> DataFrame:
-    """(itemset, freq), items ascending, of at most ``most`` items, in strictly more than ``support`` of the baskets.
+def frequent_itemsets(pairs: DataFrame, support: float = 0.01, most: int | None = None) -> DataFrame:
+    """(itemset, freq), items ascending, of at most ``most`` items if given, in strictly more than ``support`` of the baskets.
 
-    Level by level: a basket's frequent sets are extended by its frequent items that are larger than
+    Level by level, until one is empty: a basket's frequent sets are extended by its frequent items that are larger than
     all of theirs, so that every set is made once a basket.
     """
     pairs = stored(pairs.select("basket", "item").distinct())
@@ -29,7 +31,7 @@ def frequent_itemsets(pairs: DataFrame, support: float = 0.01, most: int = 3) ->
     items = stored(items)
     held = items.select("basket", F.array("item").alias("itemset"))
     out = level
-    for _ in range(1, most):
+    for _ in itertools.count(1) if most is None else range(1, most):
         grown = held.join(items, "basket").filter(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
         grown = stored(grown)
         level = stored(grown.groupBy("itemset").agg(F.count("*").alias("freq")).filter(F.col("freq") > least))

@@ -27,3 +27,17 @@ def test_lsh_finds_pairs_of_half(spark, tmp_path):
     assert len(low) >= 20
     got = [(r.a, r.b) for r in queries.QUERIES["sim05_lsh"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and len(true & set(got)) >= 0.9 * len(true)
+
+
+def test_itemsets_of_every_level(spark, tmp_path):
+    baskets = [[1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 6], [1, 2, 7]] + [[100 + i] for i in range(997)]
+    _save(spark.createDataFrame([(b, i) for b, items in enumerate(baskets) for i in items], "l_orderkey long, l_suppkey long"), tmp_path, "lineitem")
+    want = {}
+    for n in range(1, 6):
+        for c in itertools.combinations(range(1, 8), n):
+            if (freq := sum(set(c) <= set(b) for b in baskets)) > 1:
+                want[" ".join(map(str, c))] = freq
+    got = {r.itemset: r.freq for r in queries.QUERIES["fim05_itemsets_all"](spark, str(tmp_path)).collect()}
+    assert got == want and "1 2 3 4 5" in got
+    rules = {(r.lhs, r.rhs): r.confidence for r in queries.QUERIES["fim06_rules_all"](spark, str(tmp_path)).collect()}
+    assert rules["1 2 3 4", 5] == 1.0 and rules["1 2", 3] == 0.666667 and rules["1 2 3 4 5", 6] == 0.5
