@@ -179,6 +179,12 @@ def sim03(spark, sf_dir):
     return similar.jaccard_pairs(sets).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("sim03_jaccard_documents")
+def sim03_documents(spark, sf_dir):
+    sets = similar.shingle_sets(table(spark, sf_dir, "documents"), 5, hashed=False)
+    return similar.jaccard_pairs(sets).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("sim05_lsh")
 def sim05(spark, sf_dir):
     return similar.lsh_pairs(table(spark, sf_dir, "documents"), least=0.5)

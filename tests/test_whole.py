@@ -41,3 +41,12 @@ def test_itemsets_of_every_level(spark, tmp_path):
     assert got == want and "1 2 3 4 5" in got
     rules = {(r.lhs, r.rhs): r.confidence for r in queries.QUERIES["fim06_rules_all"](spark, str(tmp_path)).collect()}
     assert rules["1 2 3 4", 5] == 1.0 and rules["1 2", 3] == 0.666667 and rules["1 2 3 4 5", 6] == 0.5
+
+
+def test_jaccard_of_documents(spark, tmp_path):
+    texts = ["The quick brown fox jumps", "the quick brown fox jumped", "Nothing of it", "", "abc", "quick brown bears of it", "The quick brown fox jumps"]
+    _save(spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string"), tmp_path, "documents")
+    sets = [{t[i : i + 5].lower() for i in range(len(t) - 4)} for t in texts]
+    want = {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] & sets[b]}
+    assert (0, 6, 1.0) in want
+    assert {tuple(r) for r in queries.QUERIES["sim03_jaccard_documents"](spark, str(tmp_path)).collect()} == want
