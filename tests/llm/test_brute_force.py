@@ -37,11 +37,17 @@ def test_bpe_is_that_of_the_ranks(codec, texts):
         assert back[cut[i] : cut[i + 1]].tobytes().decode() == t
 
 
-def test_quality_scores_by_hand():
-    data, offs = utf8(pa.array(["abcde", "", "ab", "abcdabcd"]))
-    v, cut = quality.buckets(data, offs)
-    want = lambda s: [((int.from_bytes(s[i : i + 4].encode(), "big") * 2654435769) % 2**32) >> 16 for i in range(len(s) - 3)]
-    assert v.tolist() == want("abcde") + want("abcdabcd") and cut.tolist() == [0, 2, 2, 2, 7]
+def test_quality_keys_by_hand():
+    data, offs = utf8(pa.array(["abcdefg", "", "abcde", "abcdefabcdef"]))
+    v, cut = quality.keys(data, offs)
+    want = lambda s: [((int.from_bytes(s[i : i + 6].encode(), "big") * 11400714819323198485) % 2**64) >> 32 for i in range(len(s) - 5)]
+    assert v.tolist() == want("abcdefg") + want("abcdefabcdef") and cut.tolist() == [0, 2, 2, 2, 9]
+
+
+def test_quality_scores_are_the_same_without_a_broadcast(spark):
+    docs, labels = (spark.read.parquet(f"{ROOT}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = ({r.doc_id: r.score for r in quality.quality_scores(docs, labels, most=m).collect()} for m in (quality.BROADCAST_KEYS, 0))
+    assert one == other and len(one) == docs.count() and min(one.values()) < quality.THRESHOLD < max(one.values())
 
 
 def _jaccard(a, b):
