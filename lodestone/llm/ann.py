@@ -1,20 +1,23 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of the residuals are trained by Lloyd iterations over all
-vectors, whose partial sums are all that is gathered. Every vector is a query and asks the lists
-nearest to it. How many is measured: the exact neighbours of ``PILOTS`` queries are found by one scan
-of all vectors, and the least number of lists is taken that holds the share ``RECALL`` of them; few
-where vectors cluster, many where they don't.
+Coarse centroids and the codebooks of the residuals are trained by Lloyd iterations, whose partial sums
+are all that is gathered, over the ``PER_LIST`` x lists vectors of lowest hash. Every vector is indexed:
+it is encoded once, and its list, code and residual error are stored beside it. The queries, by default
+the vectors whose id is divisible by ``EVERY``, ask the lists nearest to them. How many is measured: the
+exact neighbours of ``PILOTS`` queries are found by one scan of all vectors, and the least number of
+lists is taken that holds the share ``RECALL`` of them; few where vectors cluster, many where they don't.
 
 Lists that lie together form groups of about ``BLOCK`` vectors. A query is sent once to each group
 that has lists it asks. There, tables of its inner products with the codewords give asymmetric
 distances to the codes; the ``RERANK`` best of the group are measured exactly, then whatever may, by
 its quantisation error, be as near as the K-th of these, so that nothing in the lists asked is lost
-and the share of lists is the recall. The best ``K`` over all groups remain. A larger group is cut into blocks, and so are the queries that it meets, so
-that no task holds more than a block of each.
+and the share of lists is the recall. The best ``K`` over all groups remain. A larger group is cut into
+blocks, and so are the queries that it meets, so that no task holds more than a block of each; a vector
+is shipped once for each block of queries.
 
-The number of lists grows as the root of the number of vectors, so the broadcast centroids do too:
-4 bytes x dimensions x lists, 26 MB for ten billion vectors of 64 dimensions.
+The number of lists grows as the root of the number of vectors, up to ``MOST_LISTS``, which bounds the
+broadcast centroids (4 bytes x dimensions x lists, 26 MB for 64 dimensions) and the training sample;
+beyond ten billion vectors lists grow longer instead, and the share of them to ask is measured as ever.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import join_small, materialize
+from lodestone.llm.shared import join_small, materialize, utf8
 
 K, RECALL, PILOTS, RERANK, PARTS, CODES, ROUNDS = 10, 0.95, 256, 256, 16, 64, 8
-#: Lists are at most this many, for a broadcast of bounded size.
+#: Lists are at most this many, for a broadcast and a training sample of bounded size.
 MOST_LISTS = 100_000
+#: Vectors of the training sample for each list.
+PER_LIST = 64
+#: Vectors whose id is divisible by this are the queries.
+EVERY = 50
 #: Vectors, and queries, that one task compares.
 BLOCK = 20_000
 
@@ -90,9 +97,12 @@ def _clean(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
 
 
 def train(vectors: DataFrame, n: int, dim: int, rounds: int = ROUNDS, parts: int = PARTS, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
-    """(coarse centroids, codebooks (parts, codes, dim / parts)) of (id, vec)."""
+    """(coarse centroids, codebooks (parts, codes, dim / parts)) of (id, vec), by the sample of PER_LIST vectors for each list."""
     lists = int(min(MOST_LISTS, max(1, math.isqrt(n))))
     seeds = vectors.orderBy(F.xxhash64("id"), "id").limit(max(lists, min(n, codes))).toArrow()
+    share = PER_LIST * max(lists, codes) / n
+    if share < 1:  # an even hash takes about that many
+        vectors = materialize(vectors.filter(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 40)) < int(share * (1 << 40))))
     x = _matrix(seeds["vec"].combine_chunks(), dim)
     coarse = x[:lists]
     for _ in range(rounds):
@@ -169,30 +179,47 @@ def group_lists(coarse: np.ndarray, groups: int) -> np.ndarray:
     return nearest(coarse, centre)
 
 
-def _ask(vectors: DataFrame, coarse: np.ndarray, group: np.ndarray, dim: int, probes: int) -> DataFrame:
-    """(grp, id, vec, lists, home): each vector once for each group with lists that it asks; home is its list where that is in the group, else -1."""
-    shared = vectors.sparkSession.sparkContext.broadcast((coarse, group))
+def _encode(vectors: DataFrame, coarse: np.ndarray, books: np.ndarray, group: np.ndarray) -> DataFrame:
+    """(grp, id, vec, list, code): the index, a row for each vector; code has a byte for each part."""
+    dim, parts = coarse.shape[1], len(books)
+    shared = vectors.sparkSession.sparkContext.broadcast((coarse, books, group))
+
+    def run(batches):
+        coarse, books, group = shared.value
+        for b in batches:
+            v = _matrix(b.column(1), dim)
+            home = nearest(v, coarse)
+            residual = (v - coarse[home]).reshape(len(v), parts, -1)
+            code = np.stack([nearest(residual[:, p], books[p]) for p in range(parts)], axis=1).astype(np.uint8)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(parts), len(v), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(group[home].astype(np.int64)), b.column(0), b.column(1), pa.array(home.astype(np.int32)), packed], ["grp", "id", "vec", "list", "code"])
+
+    return vectors.mapInArrow(run, "grp long, id long, vec array<float>, list int, code binary")
+
+
+def _ask(queries: DataFrame, coarse: np.ndarray, group: np.ndarray, probes: int) -> DataFrame:
+    """(grp, id, vec, lists): each query once for each group with lists that it asks."""
+    dim = coarse.shape[1]
+    shared = queries.sparkSession.sparkContext.broadcast((coarse, group))
 
     def run(batches):
         c, group = shared.value
         half = (c * c).sum(axis=1) / 2
+        n = min(probes, len(c))
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 far = half - _matrix(part.column(1), dim) @ c.T
-                home = far.argmin(axis=1)
-                far[np.arange(len(far)), home] = -np.inf
-                n = min(probes, len(c))
                 top = np.argpartition(far, n - 1, axis=1)[:, :n]
                 row = np.repeat(np.arange(len(top)), n)
                 order = np.lexsort((top.ravel(), group[top.ravel()], row))
                 row, lists = row[order], top.ravel()[order]
                 cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (group[lists[1:]] != group[lists[:-1]])])
                 at, grp = row[cut], group[lists[cut]]
-                cols = [pa.array(grp.astype(np.int64)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(np.r_[cut, len(lists)].astype(np.int32)), pa.array(lists.astype(np.int32))), pa.array(np.where(group[home[at]] == grp, home[at], -1).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["grp", "id", "vec", "lists", "home"])
+                cols = [pa.array(grp.astype(np.int64)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(np.r_[cut, len(lists)].astype(np.int32)), pa.array(lists.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, ["grp", "id", "vec", "lists"])
 
-    return vectors.mapInArrow(run, "grp long, id long, vec array<float>, lists array<int>, home int")
+    return queries.mapInArrow(run, "grp long, id long, vec array<float>, lists array<int>")
 
 
 def _squared(q: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -203,18 +230,17 @@ def _squared(q: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) ->
     return out
 
 
-def search_block(q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, v: np.ndarray, v_id: np.ndarray, home: np.ndarray, coarse: np.ndarray, books: np.ndarray, k: int, rerank: int):
+def search_block(q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, v: np.ndarray, v_id: np.ndarray, home: np.ndarray, code: np.ndarray, coarse: np.ndarray, books: np.ndarray, k: int, rerank: int):
     """(query, neighbour, squared distance) of the best k in one block.
 
-    coarse has the block's lists, home the list of each vector and asks (queries, lists) which lists
-    a query asks. With c the centroid and r the quantised residual, |q - c - r|^2 is |q|^2 plus
+    coarse has the block's lists, home the list of each vector, code (parts, vectors) its code and asks
+    (queries, lists) which lists a query asks. With c the centroid and r the quantised residual, |q - c - r|^2 is |q|^2 plus
     |c + r|^2, known for each vector, minus 2 q.c, known for each list, minus 2 q.r, which is summed
     from tables of q's inner products with pairs of codewords. ``rerank`` is how many by code give the
     first bound; the result doesn't depend on it.
     """
     parts, codes, sub = books.shape
-    residual = (v - coarse[home]).reshape(len(v), parts, sub)
-    code = np.stack([nearest(residual[:, p], books[p]) for p in range(parts)])
+    code = code.astype(np.int64)
     near = coarse[home] + np.concatenate([books[p][code[p]] for p in range(parts)], axis=1)
     own = (near * near).sum(axis=1)
     whole = (v * v).sum(axis=1)
@@ -256,13 +282,14 @@ def search_block(q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, v: np.ndarra
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, rerank: int = RERANK, parts: int = PARTS, codes: int = CODES, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(vec_id, neighbour, rank, distance): for each vector its k nearest others by Euclidean distance.
+def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, rerank: int = RERANK, parts: int = PARTS, codes: int = CODES, key: str = "vec_id", column: str = "embedding", block: int = BLOCK, every: int = EVERY) -> DataFrame:
+    """(vec_id, neighbour, rank, distance): for each query its k nearest others, of all vectors, by Euclidean distance.
 
-    Equal distances are ordered by id. A vector has fewer neighbours only if the lists it asks hold
-    fewer. Rows whose id or vector is null, empty, or holds a null, a NaN or an infinite value, and
-    rows of another length than most, have no row; of rows that repeat an id the smallest vector
-    counts. Other columns are ignored.
+    Queries are the vectors whose id is divisible by ``every`` (1: all). Equal distances are ordered by
+    id. A query has fewer neighbours only if the lists it asks hold fewer. Rows whose id or vector is
+    null, empty, or holds a null, a NaN or an infinite value, and rows of another length than most, are
+    neither queries nor neighbours; of rows that repeat an id the smallest vector counts. An empty table
+    gives none. Other columns are ignored.
     """
     spark = vectors.sparkSession
     clean, dim = _clean(vectors, key, column)
@@ -274,13 +301,13 @@ def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, rerank: i
     coarse, books = train(clean, n, dim, parts=parts, codes=codes)
     group = group_lists(coarse, -(-n // block))
     probes = probes_needed(clean, coarse, dim, k, recall)
-    asked = materialize(_ask(clean, coarse, group, dim, probes))
-    sizes = asked.groupBy("grp").agg(F.count("*").alias("asking"), F.count_if(F.col("home") >= 0).alias("held"))
-    blocks = sizes.select("grp", F.expr(f"ceil(greatest(held, 1) / {block})").alias("v_blocks"), F.expr(f"ceil(asking / {block})").alias("q_blocks"))
-    placed = join_small(asked, blocks, "grp", "inner", len(coarse))
+    index = materialize(_encode(clean, coarse, books, group))
+    asked = materialize(_ask(clean.filter(F.pmod("id", F.lit(every)) == 0), coarse, group, probes))
+    held_by, asking_by = index.groupBy("grp").agg(F.count("*").alias("held")), asked.groupBy("grp").agg(F.count("*").alias("asking"))
+    blocks = materialize(held_by.join(asking_by, "grp").select("grp", F.expr(f"ceil(held / {block})").alias("v_blocks"), F.expr(f"ceil(asking / {block})").alias("q_blocks")))
     salt = F.xxhash64("id")
-    held = placed.filter("home >= 0").withColumn("q", F.explode(F.expr("sequence(0L, q_blocks - 1L)"))).select(F.col("grp").alias("g"), F.pmod(salt, "v_blocks").alias("v"), "q", F.col("id").alias("held_id"), F.col("vec").alias("held_vec"), F.col("home").alias("held_home"))
-    asking = placed.withColumn("vb", F.explode(F.expr("sequence(0L, v_blocks - 1L)"))).select("grp", "vb", F.pmod(salt, "q_blocks").alias("qb"), "id", "vec", "lists")
+    held = join_small(index, blocks, "grp", "inner").withColumn("q", F.explode(F.expr("sequence(0L, q_blocks - 1L)"))).select(F.col("grp").alias("g"), F.pmod(salt, "v_blocks").alias("v"), "q", F.col("id").alias("held_id"), F.col("vec").alias("held_vec"), F.col("list").alias("held_home"), F.col("code").alias("held_code"))
+    asking = join_small(asked, blocks, "grp", "inner").withColumn("vb", F.explode(F.expr("sequence(0L, v_blocks - 1L)"))).select("grp", "vb", F.pmod(salt, "q_blocks").alias("qb"), "id", "vec", "lists")
     model = spark.sparkContext.broadcast((coarse, books))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -298,7 +325,8 @@ def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, rerank: i
         hit = used[at] == flat
         asks = np.zeros((left.num_rows, len(used)), bool)
         asks[np.repeat(np.arange(left.num_rows), np.diff(ends))[hit], at[hit]] = True
-        found = search_block(_matrix(one(left, "vec"), dim), one(left, "id").to_numpy(), asks, _matrix(one(right, "held_vec"), dim), one(right, "held_id").to_numpy(), home, coarse[used], books, k, rerank)
+        code = utf8(one(right, "held_code"))[0].reshape(right.num_rows, len(books)).T
+        found = search_block(_matrix(one(left, "vec"), dim), one(left, "id").to_numpy(), asks, _matrix(one(right, "held_vec"), dim), one(right, "held_id").to_numpy(), home, code, coarse[used], books, k, rerank)
         return pa.table([pa.array(x) for x in found], names)
 
     found = asking.groupBy("grp", "vb", "qb").cogroup(held.groupBy("g", "v", "q")).applyInArrow(run, "id long, neighbour long, squared double")
@@ -308,4 +336,5 @@ def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, rerank: i
 
 
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``neighbours`` of every vector whose id is divisible by 50, among all vectors, with the defaults; its cases are stated there."""
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -196,11 +196,25 @@ def test_neighbour_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.vec_id, r.neighbour) for r in ann.neighbours(df, block=250).collect()}
+    got = {(r.vec_id, r.neighbour) for r in ann.neighbours(df, block=250, every=1).collect()}
     far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(far, np.inf)
     true = {(i, int(j)) for i, row in enumerate(np.argsort(far, axis=1)[:, :10]) for j in row}
     assert len(got) == 6000 and len(got & true) >= 0.9 * len(true)
+    some = {(r.vec_id, r.neighbour) for r in ann.neighbours(df, block=250).collect()}
+    assert {i for i, _ in some} == set(range(0, 600, 50)) and len(some & true) >= 0.9 * 120
+
+
+def test_neighbour_query_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        want |= {(int(ids[i]), int(j)) for j in ids[np.lexsort((ids, far))[:10]]}
+    got = {(r.vec_id, r.neighbour) for r in ann.op7_ivf_pq(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
 def test_shared_tokens_against_windows():

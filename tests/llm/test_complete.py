@@ -42,7 +42,8 @@ def test_neighbours_in_a_tight_cluster(spread):
     home = ann.nearest(v, coarse)
     books = rng.normal(0, 0.7, (4, 16, 4)).astype(np.float32)
     q_at = np.r_[:40, 800:820]
-    got = ann.search_block(v[q_at], v_id[q_at], np.ones((len(q_at), 4), bool), v, v_id, home, coarse, books, 10, 64)
+    code = np.stack([ann.nearest((v - coarse[home]).reshape(900, 4, 4)[:, p], books[p]) for p in range(4)])
+    got = ann.search_block(v[q_at], v_id[q_at], np.ones((len(q_at), 4), bool), v, v_id, home, code, coarse, books, 10, 64)
     found = {}
     for q, n, far in zip(*got, strict=True):
         found.setdefault(q, []).append((far, n))

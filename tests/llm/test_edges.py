@@ -114,10 +114,11 @@ def test_neighbours(spark):
     base = [(i, [float(i % 7), float(i % 5), 1.0, 0.0]) for i in range(40)]
     bad = [(None, [1.0] * 4), (50, None), (51, []), (52, [float("nan")] * 4), (53, [1.0]), (3, [3.0, 3.0, 1.0, 0.0]), (54, [1.0, None, 2.0, 3.0])]
     df = spark.createDataFrame(base + bad, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("id", "vec", "list", "home", "grp", "q", "v")})
-    got = ann.neighbours(df, k=3).collect()
+    got = ann.neighbours(df, k=3, every=1).collect()
     assert {r.vec_id for r in got} == set(range(40)) and len(got) == 120
     first = min((r for r in got if r.vec_id == 0), key=lambda r: r.rank)
     assert (first.neighbour, first.distance) == (35, 0.0)
+    assert {r.vec_id for r in ann.neighbours(df, k=3, every=7).collect()} == set(range(0, 40, 7))
     assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 1")).count() == 0
 
 
