@@ -26,8 +26,6 @@ from lodestone.llm.shared import chunks, mix64, owner, text_of, tokens, utf8
 
 #: Most labelled rows that a fit uses; documented bound of the training sample.
 MAX_ROWS = 20_000
-#: Most features that get a weight, those of the largest test statistic.
-MAX_FEATURES = 400
 HASH_BITS, LEAST_TEST, RIDGE, THRESHOLD = 20, 24.0, 0.1, 0.5
 PREFIXES, LEVELS = (5, 6), (1, 2, 4)
 SIZE = len(LEVELS) << HASH_BITS
@@ -189,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> tuple[np.nd
     for w, t in zip(own, toxic, strict=True):
         counts[int(t)][w] += 1
     g = likelihood_ratio(counts[1], counts[0], int(toxic.sum()), int((~toxic).sum()))
-    chosen = np.argsort(-np.abs(g), kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[np.abs(g[chosen]) >= LEAST_TEST])
+    chosen = np.flatnonzero(np.abs(g) >= LEAST_TEST)
     if not len(chosen):
         return nothing
     if "severity" not in labels.columns:
@@ -241,4 +238,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def op10_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_toxicity`` of all documents, fitted on the labels, with the defaults; its cases are stated there."""
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
