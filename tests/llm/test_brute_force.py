@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,63 @@ def test_disguises(text, kind, source):
     assert (got[0], text[got[1] : got[2]]) == (kind, source)
 
 
+_DOTS = r"(?:[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|punto|point|punkt|\.)[ \t]{0,2}[\])}>][ \t]{0,2}|[ \t]{1,2}(?:dot|punto|point|punkt)[ \t]{1,2}|\.)"
+_SLOW = re.compile(rf"(?<![A-Za-z0-9_+\-])[A-Za-z0-9][A-Za-z0-9_+\-]*(?:{_DOTS}[A-Za-z0-9][A-Za-z0-9_+\-]*)*(?:[ \t]{{0,2}}[\[({{<][ \t]{{0,2}}(?:at|arroba|@)[ \t]{{0,2}}[\])}}>][ \t]{{0,2}}|[ \t]{{0,2}}@[ \t]{{0,2}})[A-Za-z0-9][A-Za-z0-9_+\-]*(?:{_DOTS}[A-Za-z0-9][A-Za-z0-9_+\-]*)*{_DOTS}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["ann", "b7", "x-y", " dot ", "[.]", " (dot) ", ".", " (at) ", "[@]", " @ ", "@", " ", ", ", "com", "org"]), max_size=24))
+def test_addresses_against_one_backtracking_pattern(parts):
+    """The walk from each at against one pattern that tries everything: the same spans are rewritten."""
+    text = "".join(parts)
+    edits, at = [], 0
+    while m := _SLOW.search(text, at):
+        edits.append(m.span())
+        at = m.end()
+    got = pii._addresses(text)
+    inside = lambda e: any(lo <= e[0] and e[1] <= hi for lo, hi in edits)
+    assert all(inside(e) for e in got)
+    out, at = [], 0
+    for lo, hi, new in got:
+        out += [text[at:lo], new]
+        at = hi
+    plain = "".join([*out, text[at:]])
+    assert len(re.findall(r"(?<![A-Za-z0-9_+\-.])[A-Za-z0-9][A-Za-z0-9_+.\-]*@[A-Za-z0-9][A-Za-z0-9_+\-]*(?:\.[A-Za-z0-9][A-Za-z0-9_+\-]*)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", plain)) >= len(edits)
+
+
+def test_masks_long_disguises_whole():
+    for text in ("a dot b dot c dot d dot e dot f dot g (at) x dot com", "ann (at) a dot b dot c dot d dot e dot f dot com", "n" * 80 + " (at) mail dot com", "a." * 3000 + "b (at) x.com"):
+        assert pii.mask(f"to {text} now") == "to <EMAIL> now"
+
+
+def _valid(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0 and len(set(number)) > 1
+
+
+def test_cards_against_every_run_of_digits():
+    """Every maximal run of 13 to 19 digits is a card exactly if the sum by hand says so."""
+    rng = random.Random(11)
+    for _ in range(400):
+        runs = ["1" + "".join(rng.choice("0123456789") for _ in range(rng.randint(8, 21))) for _ in range(4)]
+        text = " x ".join(runs)
+        got = [v for k, _, _, v in pii.identifiers(text) if k == "CARD"]
+        assert got == [r for r in runs if 13 <= len(r) <= 19 and _valid(r)]
+
+
+@pytest.mark.parametrize("text", ["ISBN 9780306406157", "no 12345678901234567", "in 2001 2002 2003 2004", "version 1.2.3.4", "000-12-3456", "666-12-3456", "The token = standard unit", "1 2 3 4 5 6 7 8", "5551234567", "std::vector", "a::b", "id 0012345678901234", "un un un un un un un un un"])
+def test_what_only_looks_like_an_identifier(text):
+    assert pii.mask(f"so {text} is") == f"so {text} is"
+
+
+@pytest.mark.parametrize(("text", "kind"), [("call 5551234567", "PHONE"), ("2001:db8::1", "IP"), ("fe80::1", "IP"), ("1:2:3:4:5:6:7:8", "IP"), ("123-45-6789", "SSN"), ("0033612345678", "PHONE")])
+def test_bare_identifiers(text, kind):
+    assert [x[0] for x in pii.identifiers(f"so {text} is")] == [kind]
+
+
 @pytest.mark.parametrize("text", ["look at the dot product", "meet us at example.com", "one two three", "in 1999 and 2004", "a 1.5 b 2.25"])
 def test_plain_prose_is_left_alone(text):
     assert pii.mask(text) == text
@@ -284,6 +342,47 @@ def test_ordinal_fit_finds_the_weights():
     assert np.abs(got_w - w).max() < 0.15 and np.abs(got_b - b).max() < 0.15
 
 
+def test_ordinal_loss_is_least_and_scores_are_plain_sums(spark):
+    rng = np.random.default_rng(10)
+    x = (rng.random((300, 4)) < 0.4).astype(float)
+    y = rng.integers(0, 3, 300)
+    w, b = toxicity.fit_ordinal(x, y, 3, 0.01)
+
+    def loss(w, b):
+        total = 0.0
+        for row, grade in zip(x.tolist(), y.tolist(), strict=True):
+            z = sum(a * c for a, c in zip(row, w, strict=True))
+            above = [1.0, *(1 / (1 + np.exp(t - z)) for t in b), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(y) + 0.005 * sum(c * c for c in w)
+
+    best = loss(w, b)
+    for _ in range(60):
+        dw, db = rng.normal(0, 0.05, 4), rng.normal(0, 0.05, 2)
+        if b[0] + db[0] < b[1] + db[1]:
+            assert loss(w + dw, b + db) >= best - 1e-9
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    weight, thresholds = toxicity.fit(docs, labels)
+    assert (weight != 0).any()
+    known: dict[bytes, list[int]] = {}
+
+    def numbers(word):  # of the buckets of a word and of its beginnings
+        if word not in known:
+            data = np.frombuffer(word, np.uint8)
+            known[word] = [int(f) for f in toxicity.features(data, np.array([0, len(data)]))[1] if f < 1 << toxicity.HASH_BITS]
+        return known[word]
+
+    got = {r.doc_id: r.severity for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").limit(60).collect():
+        times: dict[int, int] = {}
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", r.text.encode()):
+            for f in numbers(word.lower() if word.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in word)):
+                times[f] = times.get(f, 0) + 1
+        z = sum(float(weight[f + (level << toxicity.HASH_BITS)]) for f, n in times.items() for level, least in enumerate(toxicity.LEVELS) if n >= least)
+        assert got[r.doc_id] == pytest.approx(sum(1 / (1 + np.exp(t - z)) for t in thresholds), abs=1e-4)
+
+
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.filter("pmod(hash(doc_id), 3) > 0"), labels.filter("pmod(hash(doc_id), 3) = 0")
