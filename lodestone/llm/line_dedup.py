@@ -12,7 +12,13 @@ documents but the one of lowest doc_id that has it, so that a text that was copi
 Only distinct masked lines of leaves that could recur and that hold more than one distinct line
 are clustered; the rest is decided by counting. A template agrees with a line in at most as many
 positions as each of its members does, so lines that can't share enough positions are put apart
-beforehand: with at most d differing positions, one of d + 1 blocks must be equal.
+beforehand: with at most d differing positions, one of d + 1 blocks must be equal. Leaves of more than
+``BIG_LEAF`` distinct lines are split into such parts before the shuffle, by connected components of
+(line, block) over all executors, so that a hot leaf, like that of all numeric table rows of one width,
+isn't one task; smaller leaves are split within their task. The templates are the same either way.
+
+Documents are told apart by doc_id. Whole copies may be given as groups that count as one document: a
+line that only copies of one text have doesn't recur, and near copies keep the same lines.
 """
 
 from __future__ import annotations
@@ -22,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.near_dedup import components
 from lodestone.llm.shared import chunks, join_small, materialize, mix64, segments, sorted_groups, text_of, tokens, utf8
 
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 5
+#: Distinct lines that one task clusters before they are split by components beforehand.
+BIG_LEAF = 100_000
+_NO_ID = (1 << 63) - 1
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _FOLD = np.uint64(0x9FB21C651E98DF25)
@@ -75,7 +85,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     return docs.withColumns({"__doc": doc, "__rk": F.xxhash64(doc, text_of())})
 
 
@@ -132,10 +142,38 @@ def _apart(lines: np.ndarray, similarity: float, depth: int) -> np.ndarray:
             return root
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def _parts(rows: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """(id, root): the component of each line of (leaf, line, h) that shares a block with another one."""
+
+    def blocks(batches):
+        for b in batches:
+            line, hs = b.column(1).to_numpy(), b.column(2)
+            offs, values = hs.offsets.to_numpy(), hs.values.to_numpy().view(np.uint64)
+            leaf, width = b.column(0).to_numpy().view(np.uint64), np.diff(offs)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                m = values[offs[at][:, None] + np.arange(w)]
+                rest, count = np.arange(min(depth, w), w), int((1 - similarity) * w + 1e-9) + 1
+                for i, cols in enumerate(np.array_split(rest, count) if count <= len(rest) else [[]]):
+                    key = mix64(leaf[at] + np.uint64(i + 1) * _FOLD)
+                    for c in cols:
+                        key = mix64(key * _FOLD + m[:, c])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at])], ["key", "line"])
+
+    keyed = materialize(rows.mapInArrow(blocks, "key long, line long").distinct())
+    head = keyed.groupBy("key").agg(F.min("line").alias("head"))
+    return components(keyed.join(head, "key").filter("line <> head").select(F.col("head").alias("a"), F.col("line").alias("b")))
+
+
+def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, copies: DataFrame | None = None, big: int = BIG_LEAF) -> tuple[DataFrame, DataFrame]:
     """All lines, and (line, template, docs, first) of the lines of recurring templates."""
-    lines = materialize(_lines(docs, depth))
-    per_line = lines.groupBy("leaf", "line", "n").agg(F.count_distinct("rk").alias("docs"), F.min("doc").alias("first"), F.min(F.struct("rk", "number")).alias("at"))
+    lines = _lines(docs, depth)
+    if copies is not None:
+        groups = materialize(copies.select(F.col("doc_id").alias("doc"), F.col("group_id").alias("__group")))
+        lines = join_small(lines, groups, "doc", "left").select("leaf", "line", "n", "rk", F.coalesce("__group", "doc").alias("doc"), "number")
+    lines = materialize(lines)
+    who = F.when(F.col("doc") == _NO_ID, F.col("rk")).otherwise(F.col("doc"))
+    per_line = lines.groupBy("leaf", "line", "n").agg(F.count_distinct(who).alias("docs"), F.min("doc").alias("first"), F.min(F.struct("rk", "number")).alias("at"))
     leaf = per_line.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds"))
     open_ = materialize(per_line.join(leaf.filter(F.col("leaf_docs") >= min_docs), "leaf"))
     sure = open_.filter((F.col("kinds") == 1) | (F.col("n") <= depth)).filter(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), "docs", "first")
@@ -162,6 +200,12 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
 
     rows = _keyed(docs).select("__rk", text_of().alias("__text"))
     token_rows = join_small(rows, where, "__rk", "inner").select("__text", "__numbers").mapInArrow(fetch, "leaf long, line long, h array<long>")
+    hot = materialize(leaf.filter((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > big)).select(F.col("leaf")))
+    if not hot.isEmpty():
+        marked = materialize(join_small(token_rows, hot.withColumn("hot", F.lit(True)), "leaf", "left"))
+        parts = _parts(marked.filter("hot").select("leaf", "line", "h"), similarity, depth)
+        split = join_small(marked.filter("hot"), parts.withColumnRenamed("id", "line"), "line", "left")
+        token_rows = marked.filter("hot IS NULL").select("leaf", "line", "h").unionByName(split.select(F.xxhash64("leaf", F.coalesce("root", "line")).alias("leaf"), "line", "h"))
 
     def grow(batches):
         for t in sorted_groups(batches):
@@ -183,21 +227,22 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
 
     grown = materialize(token_rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(grow, "line long, template long").distinct())
     alone = grown.join(grown.groupBy("template").count().filter("count > 1").select("template"), "template")
-    many = lines.select("line", "rk", "doc").join(alone, "line").groupBy("template").agg(F.count_distinct("rk").alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= min_docs)
+    many = lines.select("line", "rk", "doc").join(alone, "line").groupBy("template").agg(F.count_distinct(who).alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= min_docs)
     single = contested.select("line", "docs", "first").join(alone.select("line"), "line", "left_anti").filter(F.col("docs") >= min_docs)
     found = sure.unionByName(alone.join(many, "template").select("line", "template", "docs", "first")).unionByName(single.select("line", F.col("line").alias("template"), "docs", "first"))
     return lines, materialize(found)
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, dropped: str | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, dropped: str | None = None, copies: DataFrame | None = None, keep_emptied: bool = True) -> DataFrame:
     """docs with the lines of recurring templates taken out of text; n_chars, if there, follows.
 
-    Every row stays, also one that loses all its lines, whose text is then empty. Lines without a
-    token stay. A null text stays null. Rows with a null doc_id count as documents and come last in
-    order. Equal rows count once, and are treated alike. ``dropped`` names a column for the number
-    of lines taken out.
+    Every row stays, also one that loses all its lines, whose text is then empty, unless such rows are
+    not to be kept. Lines without a token stay. A null text stays null. Rows with a null doc_id count as
+    documents, told apart by their text, and come last in order. Rows that repeat a doc_id are one
+    document; equal rows are treated alike. ``dropped`` names a column for the number of lines taken
+    out. ``copies`` (doc_id, group_id) are groups of documents that count as one, that of group_id.
     """
-    lines, found = recurring(docs, depth, similarity, min_docs)
+    lines, found = recurring(docs, depth, similarity, min_docs, copies)
     gone = lines.join(found.select("line", "first"), "line").filter("doc <> first")
     per_row = materialize(gone.groupBy(F.col("rk").alias("__rk")).agg(F.sort_array(F.collect_set("number")).alias("__gone")))
     out = join_small(_keyed(docs), per_row, "__rk", "left", per_row.agg(F.coalesce(F.sum(F.size("__gone") + 2), F.lit(0))).first()[0])
@@ -208,6 +253,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float
         columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
     if dropped:
         columns[dropped] = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
+    if not keep_emptied:
+        out = out.filter(F.col("__gone").isNull() | (F.trim(F.regexp_replace(kept, r"\s+", " ")) != ""))
     return out.select([c.alias(k) for k, c in columns.items()])
 
 

@@ -332,6 +332,60 @@ def test_recurring_lines_go(spark):
     assert all(out[i].split("\n")[0] == data[i][1].split("\n")[0] for i in range(8))
 
 
+def test_recurring_against_one_document_after_another(spark):
+    """Templates, document counts and first documents by a plain loop over all lines, with leaves split beforehand or not."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                lines.append("a b c k l m n " + " ".join(rng.choice("xyz") for _ in range(3)))
+            elif kind == 1:
+                lines.append(f"row {rng.randrange(9)} {rng.randrange(9)} of table")
+            elif kind == 2:
+                lines.append(rng.choice(["short line", "one", "two words here", ""]))
+            else:
+                lines.append(" ".join(rng.choice("pqrstuv") for _ in range(5)))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen: dict = {}
+    for doc, text in enumerate(texts):
+        for line in text.split("\n"):
+            words = tuple(0 if any(c.isdigit() for c in w) else w for w in line.split())
+            if words:
+                seen.setdefault((len(words), words[:3]), {}).setdefault(words, set()).add(doc)
+    for big in (line_dedup.BIG_LEAF, 1):
+        lines, found = line_dedup.recurring(df, big=big)
+        got = {(r.line, r.template): (r.docs, r.first) for r in found.collect()}
+        where = {}
+        for r in lines.collect():
+            words = tuple(0 if any(c.isdigit() for c in w) else w for w in texts[r.doc].split("\n")[r.number].split())
+            where[words] = r.line
+        want = {}
+        for kinds in seen.values():
+            order = sorted(kinds, key=lambda w: where[w])
+            no = _templates([list(w) for w in order], 3, 0.8) if len(order[0]) > 3 else list(range(len(order)))
+            for k in set(no):
+                own = [w for w, n in zip(order, no, strict=True) if n == k]
+                docs = set().union(*(kinds[w] for w in own))
+                if len(docs) >= line_dedup.MIN_DOCS:
+                    want |= {where[w]: (len(docs), min(docs)) for w in own}
+        assert {line: v for (line, _), v in got.items()} == want and len(want) > 9
+        assert any(line != template for line, template in got)
+
+
+def test_copies_count_as_one_document(spark):
+    page = "Some words that only this text has\nand another line of it"
+    df = spark.createDataFrame([(i, page) for i in range(8)] + [(20 + i, f"own words of number {'abcdefgh'[i]} here\nshared by all of them") for i in range(8)], "doc_id long, text string")
+    groups = spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, group_id long")
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(df, copies=groups).collect()}
+    assert all(out[i] == page for i in range(8)) and "shared" in out[20] and "shared" not in out[21]
+    left = line_dedup.drop_recurring_lines(df, keep_emptied=False).collect()
+    assert sorted(r.doc_id for r in left) == [0, *range(20, 28)]
+
+
 def test_ordinal_fit_finds_the_weights():
     rng = np.random.default_rng(9)
     x = (rng.random((20_000, 5)) < 0.3).astype(float)
