@@ -378,7 +378,7 @@ def test_recurring_against_one_document_after_another(spark):
 
 def test_copies_count_as_one_document(spark):
     page = "Some words that only this text has\nand another line of it"
-    df = spark.createDataFrame([(i, page) for i in range(8)] + [(20 + i, f"own words of number {'abcdefgh'[i]} here\nshared by all of them") for i in range(8)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, page) for i in range(8)] + [(20 + i, f"{'abcdefgh'[i]} {'stuvwxyz'[i]} words\nshared by all of them") for i in range(8)], "doc_id long, text string")
     groups = spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, group_id long")
     out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(df, copies=groups).collect()}
     assert all(out[i] == page for i in range(8)) and "shared" in out[20] and "shared" not in out[21]
