@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    """A new path in the folder of spark.checkpoint.dir.
+
+    Where that is unset, a session in one local process, as in tests, gets a temporary folder; on a
+    cluster that would be another folder on every machine, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -21,4 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read again."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``stored`` that no later plan reads, such as the rounds of a loop before the last."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            df._stored_at = None
