@@ -295,6 +295,17 @@ def test_shared_tokens_against_windows():
         assert html.shared_tokens(h, page, least, pages).tolist() == want
 
 
+def test_hosts_spread_over_executors_give_the_same(spark):
+    rng = random.Random(13)
+    phrases = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(8, 30))) for _ in range(12)]
+    rows = [(rng.choice([None, i % 40]), f"http://{rng.choice('ab')}.com/{i}", "<p>" + " ".join(rng.choice(phrases) if rng.random() < 0.5 else f"x{rng.randrange(10**6)}" for _ in range(9)) + "</p>") for i in range(60)]
+    df = spark.createDataFrame([*rows, (1, None, phrases[0]), (2, "http://a.com", None)], "page_id long, url string, html string")
+    for pages in (2, 3):
+        one, other = (sorted(map(str, html.unique_text(df, least_pages=pages, big=big).collect())) for big in (html.BIG_HOST, 0))
+        assert one == other and len(one) == 62
+    assert sum(r.n_removed for r in html.unique_text(df).collect()) > 100
+
+
 def _templates(lines, depth, similarity):
     """One template after another, each line against all of its leaf."""
     out, made = [], []
