@@ -214,4 +214,5 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_documents`` of all documents, with the defaults; its cases are stated there."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

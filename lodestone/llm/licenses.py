@@ -231,4 +231,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan_licenses`` of all documents, with the defaults; its cases are stated there."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))

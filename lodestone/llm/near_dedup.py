@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, join_small, materialize, mix64, owner, sorted_groups, text_of, tokens, utf8
+from lodestone.llm.shared import chunks, join_small, materialize, mix64, owner, release, sorted_groups, text_of, tokens, utf8
 
 SHINGLE, PERMUTATIONS, BITS, ROWS, THRESHOLD = 2, 128, 4, 4, 0.6
 
@@ -184,7 +184,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         star = down.join(small, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a <> b").distinct()
-        now = materialize(star)
+        last, now = now, materialize(star)
+        release(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -238,4 +239,5 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents, with the defaults; its cases are stated there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

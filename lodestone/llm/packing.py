@@ -212,4 +212,5 @@ def pack_texts(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES
 
 
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of all documents, with the defaults; its cases are stated there."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

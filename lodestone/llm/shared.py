@@ -7,14 +7,14 @@ longer than the bound is a chunk of its own and is still processed whole.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.storage import release
+from lodestone.plans.storage import stored as materialize
+
 #: Bytes of text that are turned into NumPy arrays at a time.
 CHUNK_BYTES = 1 << 20
 #: Rows of 8-byte keys up to which one side of a join may be broadcast (about 70 bytes each in memory, so 280 MB); beyond, Spark shuffles.
@@ -25,22 +25,6 @@ _HASH_INVERSE = pow(_HASH_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder named by ``spark.checkpoint.dir``, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: lineage is cut and no executor's loss matters."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
     """Join with a table of keys: broadcast if its counted rows are few, else a shuffled join."""
     n = right.count() if rows is None else rows
@@ -159,3 +143,6 @@ def sorted_groups(batches):
         rest, key = [batch.slice(last)], keys[-1]
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks()
+
+
+__all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "chunks", "join_small", "materialize", "mix64", "owner", "release", "segments", "sorted_groups", "spans", "text_of", "tokens", "utf8"]
