@@ -121,6 +121,21 @@ def _micro(total: str, n: str) -> str:
     return f"(({2_000_000 // UNIT} * {total} + ({n} + {PRIOR}) * {2 * _SHIFT + 1}) DIV (2 * ({n} + {PRIOR})) - {_SHIFT})"
 
 
+def _looked_up(k: np.ndarray, own: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each key, 0 where it isn't among own, which is sorted but for a last row that stands for none.
+
+    The keys are sorted first, so that each is looked up once and near the one before it.
+    """
+    code = (k.astype(np.uint64) << np.uint64(32)) | np.arange(len(k), dtype=np.uint64)
+    code.sort()
+    key = (code >> np.uint64(32)).astype(np.uint32)
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    at = np.searchsorted(own[:-1], key[cut])
+    out = np.empty(len(k), np.int64)
+    out[code & np.uint64(0xFFFFFFFF)] = np.repeat(np.where(own[at] == key[cut], value[at], 0), np.diff(np.r_[cut, len(k)]))
+    return out
+
+
 def scored(docs: DataFrame, labels: DataFrame, name: str, most: int = BROADCAST_KEYS) -> DataFrame:
     """docs with a column of their scores; ``most`` is the number of keys up to which the ratios are broadcast."""
     ratios = fit(docs, labels)
@@ -140,8 +155,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str, most: int = BROADCAST_
             size = np.diff(seg)
             has = np.flatnonzero(size)
             if len(has):
-                at = np.searchsorted(own[:-1], k)
-                total = np.add.reduceat(np.where(own[at] == k, value[at], 0).astype(np.int64), seg[has])
+                total = np.add.reduceat(_looked_up(k, own, value), seg[has])
                 m = size[has] + PRIOR
                 out[lo + has] = ((2_000_000 // UNIT * total + m) // (2 * m)) / 1e6
         return pa.array(out)
