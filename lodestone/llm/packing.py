@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import _SOLID, chunks, join_small, materialize, owner, spans, text_of, utf8
 
+#: Bytes of text that are handed on at a time.
+PIECE_BYTES = 1 << 24
 CAPACITY, CLASSES, PER_PATTERN = 2048, 128, 4
 #: Pieces that one task numbers; a class with more is numbered by several, and offsets are added.
 NUMBERED = 1_000_000
@@ -191,24 +193,46 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
 
 
 def pack_texts(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, per: int = PER_PATTERN) -> DataFrame:
-    """As pack_documents, with the piece's text: from its first word to before the next piece's."""
+    """As pack_documents, with the piece's text: from its first word to before the next piece's.
+
+    A text meets the list of its pieces once, so that a very long one is neither copied nor read again
+    for each of them.
+    """
     kept = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_words"), F.col("text").alias("__text")))
     packed = pack_lengths(kept.drop("__text"), capacity, classes, per)
-    whole = packed.join(kept.select("uid", "__text"), "uid")
-
-    def cut(texts: pa.Array, first: pa.Array, n: pa.Array) -> pa.Array:
-        out = []
-        data, offs = utf8(texts)
-        for i, (f, k) in enumerate(zip(first.to_numpy(), n.to_numpy(), strict=True)):
-            part = data[offs[i] : offs[i + 1]]
-            starts = spans(_SOLID[part], np.array([0, len(part)]))[0]
-            lo, hi = (0 if f == 0 else starts[f]), (starts[f + k] if f + k < len(starts) else len(part))
-            out.append(part[lo:hi].tobytes().decode())
-        return pa.array(out, pa.string())
-
-    long = F.expr(f"first_word > 0 OR n_words = {capacity}")
-    piece = F.when(long, F.arrow_udf(cut, "string")("__text", "first_word", "n_words")).otherwise(F.col("__text"))
-    return whole.select("pack_id", "place", "doc_id", "part", "first_word", "n_words", piece.alias("text"))
+    lists = materialize(packed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("part", F.col("pack_id").cast("long").alias("pack_id"), F.col("place").cast("int").alias("place"), "first_word", "n_words"))).alias("pieces")))
+    whole = join_small(kept.select("uid", "doc_id", F.col("__text").alias("text")), lists, "uid", "inner", lists.agg(F.sum(F.size("pieces") + 1)).first()[0] or 0)
+
+    def cut(batches):
+        for b in batches:
+            data, offs = utf8(b.column(1))
+            lists = b.column(2)
+            ends, fields = lists.offsets.to_numpy(), [lists.values.field(i).to_numpy() for i in range(5)]
+            at, out, size = [], [], 0
+            for i in range(b.num_rows):
+                text = data[offs[i] : offs[i + 1]]
+                raw, words = text.tobytes(), None
+                for j in range(ends[i], ends[i + 1]):
+                    lo, hi = 0, len(raw)
+                    first, n = fields[3][j], fields[4][j]
+                    if first > 0 or n == capacity:
+                        words = spans(_SOLID[text], np.array([0, len(text)]))[0] if words is None else words
+                        lo, hi = (0 if first == 0 else words[first]), (words[first + n] if first + n < len(words) else len(raw))
+                    at.append((i, j))
+                    out.append(raw[lo:hi].decode())
+                    size += hi - lo
+                    if size > PIECE_BYTES:
+                        yield batch(b, fields, at, out)
+                        at, out, size = [], [], 0
+            if out:
+                yield batch(b, fields, at, out)
+
+    def batch(b, fields, at, out):
+        row, own = (np.array(x) for x in zip(*at, strict=True))
+        part, pack, place, first, n = (pa.array(f[own]) for f in fields)
+        return pa.RecordBatch.from_arrays([pack, place, b.column(0).take(pa.array(row)), part, first, n, pa.array(out, pa.string())], ["pack_id", "place", "doc_id", "part", "first_word", "n_words", "text"])
+
+    return whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "pieces").mapInArrow(cut, "pack_id long, place int, doc_id long, part int, first_word long, n_words int, text string")
 
 
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
