@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 
 #: Separates words; Spark and DuckDB read it alike.
 SEPARATORS = r"[^\p{L}\p{N}]+"
-_ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1)
-_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
-_PUNCTUATION = r"[ -/:-@\[-`{-~]"
-#: Tokens that words and punctuation alone don't make, the first that matches wins.
+#: Letters from U+00C0 to U+017E that don't decompose into a plain one and a mark.
+_WHOLE = {"Æ": "E", "æ": "e", "Ð": "D", "ð": "d", "Ø": "O", "ø": "o", "Þ": "T", "þ": "t", "ß": "S", "×": "*", "÷": "/", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ĳ": "J", "ĳ": "j", "ĸ": "k", "Ŀ": "L", "ŀ": "l", "Ł": "L", "ł": "l", "ŉ": "n", "Ŋ": "N", "ŋ": "n", "Œ": "O", "œ": "o", "Ŧ": "T", "ŧ": "t"}
+_ACCENTED = "".join(map(chr, range(0xC0, 0x17F)))
+_PLAIN = "".join(_WHOLE.get(c) or unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
+_PAIR, _JOINT = r"[0-9]+[.,\-]", r"(?:[.,\-][0-9]+)?"
+#: Tokens that words and punctuation alone don't make; the first that matches anywhere wins.
 PATTERNS = [
-    r"https?://[^\s<>\"]+|www\.[^\s<>\"]+",
-    r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+",
-    r"\+?\d[\d\-]*(?: ?\(\d+\))?[ \-]\d[\d \-]{4,}\d",
-    r"\d{1,4}[/\-]\d{1,2}[/\-]\d{1,4}",
-    r"\d+(?:[.,]\d+)+",
-    r"\d{1,2}:\d{2}(?::\d{2})?",
-    r"(?:[A-Za-z]\.){2,}",
-    r"[$€£]\d+(?:[.,]\d+)*",
-    r"\w+(?:['’]\w+)+",
-    r"\w+(?:-\w+)+",
-    r"\w+\.(?:txt|pdf|html?|csv|java|py|doc)",
+    r"https?://[^\s]+",
+    r"[\w.]+@[A-Za-z.0-9\-]+",
+    r"[+][-0-9,]+",
+    r"(?:[0-9]{4}|[0-9]{2})[/\-][0-9]{2}[/\-][0-9]{2}",
+    _PAIR + r"[0-9]+" + _JOINT * 3,
+    "'em",
+    "[a-zA-Z]+'[a-zA-Z]+",
+    r"[0-9]{2}:[0-9]{2}(?::[0-9]{2})?",
+    r"[0-9]+[.,/][0-9]+",
+    r"\w[.]\w[.]",
+    r"\$[0-9]+",
+    r"\w+-[0-9a-zA-Z]+",
+    r"\w+\.(?:doc|ppt|xlsx)",
 ]
 
 
@@ -37,32 +42,34 @@ def words(text: Column) -> Column:
 
 
 def printable_tokens(text: Column, keep_punctuation: bool = False) -> Column:
-    """Letters and printable ASCII make chunks, which punctuation splits; kept as tokens or dropped."""
+    """Letters and printable ASCII make chunks, which punctuation splits; its signs are tokens of their own, or dropped."""
     if keep_punctuation:
-        return F.regexp_extract_all(text, F.lit(_PUNCTUATION[:2] + "!-/" + _PUNCTUATION[5:] + r"|[\p{L}0-9]+"), F.lit(0))
+        return F.regexp_extract_all(text, F.lit(PUNCTUATION + r"|[\p{L}0-9]+"), F.lit(0))
     return F.filter(F.split(text, r"[^\p{L}0-9]+"), lambda x: x != "")
 
 
+def printable_chunks(text: Column) -> Column:
+    """Runs of letters and printable ASCII, as they stand between anything else."""
+    return F.filter(F.split(text, r"[^\p{L}!-~]+"), lambda x: x != "")
+
+
 def pattern_tokens(text: Column, patterns: Sequence[str] = PATTERNS) -> Column:
-    """Tokens where the first listed pattern that matches anywhere is taken whole, and both sides are read again.
+    """Tokens of each chunk, where the first listed pattern that matches anywhere in it is taken whole.
 
-    What no pattern matches is split into words. The order of patterns, not of places, decides,
-    which an alternation can't say; so this is a vectorised UDF.
+    What stands before it is split at punctuation, what follows is read again with all patterns. The
+    order of patterns, not of places, decides, which an alternation can't say; so this is a vectorised UDF.
     """
-    compiled = [re.compile(p) for p in patterns]
-    plain = re.compile(r"[^\W_]+")
+    compiled = [re.compile(p, re.ASCII) for p in patterns]
+    chunk, plain = re.compile(r"(?:[^\W\d_]|[!-~])+"), re.compile(r"(?:[^\W\d_]|[0-9])+")
 
     def split(s: str) -> list[str]:
         done: list[str] = []
-        todo = [s]
-        while todo:
-            part = todo.pop()
-            hit = next((m for p in compiled if (m := p.search(part)) and m.group()), None)
-            if hit is None:
-                done += plain.findall(part)
-            else:
-                done += plain.findall(part[: hit.start()]) + [hit.group()]
-                todo.append(part[hit.end() :])
+        for part in chunk.findall(s):
+            at = 0
+            while hit := next((m for p in compiled if (m := p.search(part, at)) and m.group()), None):
+                done += [*plain.findall(part[at : hit.start()]), hit.group()]
+                at = hit.end()
+            done += plain.findall(part[at:])
         return done
 
     @F.pandas_udf("array<string>")
@@ -73,7 +80,7 @@ def pattern_tokens(text: Column, patterns: Sequence[str] = PATTERNS) -> Column:
 
 
 def plain_letters(text: Column) -> Column:
-    """Letters from U+00C0 to U+017E without their marks."""
+    """Letters from U+00C0 to U+017E without their marks, one for one; some have a stand-in (æ is e, × is *)."""
     return F.translate(text, _ACCENTED, _PLAIN)
 
 
@@ -134,13 +141,25 @@ def query_terms(query: str) -> list[str]:
     return query.lower().split()
 
 
+def query_words(query: Column) -> Column:
+    """The same of a column."""
+    return F.filter(F.split(F.trim(F.lower(query)), r"\s+"), lambda x: x != "")
+
+
+def hash_slot(term: Column, slots: int) -> Column:
+    """Place of a term in a table of ``slots``: its characters as digits to the base 31."""
+    codes = F.transform(F.split(term, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(slots)))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[\\/]"), -1)
 
 
 def content_type(uri: Column) -> Column:
-    """Media type by the suffix of the path."""
+    """Media type by the suffix of the path; a path that ends in / is that of its index.html."""
     path = F.lower(F.regexp_extract(uri, r"^[^?#]*", 0))
+    path = F.when(path.endswith("/"), F.concat(path, F.lit("index.html"))).otherwise(path)
     kinds = {"html?": "text/html", "css": "text/css", "txt": "text/plain", "js": "application/javascript", "json": "application/json", "png": "image/png", "jpe?g": "image/jpeg", "gif": "image/gif"}
     out = F.lit("application/octet-stream")
     for suffix, kind in kinds.items():

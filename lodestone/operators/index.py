@@ -1,11 +1,14 @@
-"""Positional inverted index as DataFrames (IDX-*)."""
+"""Positional inverted index as DataFrames, and stored so that searches read only their terms (IDX-*, SNK-01)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import kgrams, words
+from lodestone.plans.storage import shared_path
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,20 +21,47 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def row_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc_id, tf, positions, n_words), counted within each row, so without a shuffle."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            flat = lists.flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            group = row * len(flat.dictionary) + code
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+            at = order[cut]
+            ends = pa.array(np.r_[cut, len(order)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [flat.dictionary.take(pa.array(code[at])), b.column(0).take(pa.array(row[at])), pa.array(np.diff(np.r_[cut, len(order)])), pa.ListArray.from_arrays(ends, pa.array(pos[order].astype(np.int32))), pa.array(size[row[at]].astype(np.int64))],
+                ["term", "doc_id", "tf", "positions", "n_words"],
+            )
+
+    src = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"term string, doc_id {kind}, tf long, positions array<int>, n_words long")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, term, tf)."""
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    """(term, df) of a table of (doc_id, term, tf)."""
+    """(term, df) of a table with a row for each term of a document."""
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def weights(docs: DataFrame, counts: DataFrame) -> DataFrame:
+def weights(n: int, counts: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term, tf, df, w) with w = tf * ln(N / df), N the number of documents."""
-    n = docs.agg(F.count("*").alias("n"))
-    return counts.join(document_frequency(counts), "term").crossJoin(F.broadcast(n)).select("doc_id", "term", "tf", "df", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
+    return counts.join(terms, "term").select("doc_id", "term", "tf", "df", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("w"))
 
 
 def lengths(weighted: DataFrame) -> DataFrame:
@@ -39,6 +69,11 @@ def lengths(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("doc_id").agg(F.sum("tf").alias("n_words"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("euclid"))
 
 
+def lookup(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some words; none for an unknown one."""
+    return postings.filter(F.col("term").isin(sorted(set(terms))))
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("term").distinct()
 
@@ -60,11 +95,67 @@ def merge_postings(left: DataFrame, right: DataFrame) -> DataFrame:
     return merged.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
+def merge_check(merged: DataFrame, whole: DataFrame) -> DataFrame:
+    """(lost, added): postings that a merge lost or made up, against an index that was built at once."""
+    names = ["term", "doc_id", "tf", "positions"]
+    a, b = merged.select(names), whole.select(names)
+    return b.exceptAll(a).agg(F.count("*").alias("lost")).crossJoin(a.exceptAll(b).agg(F.count("*").alias("added")))
+
+
 def merge_documents(left: DataFrame, right: DataFrame) -> DataFrame:
     """Union of two document tables, one row a doc_id, the left one's where both have it."""
     return left.unionByName(right.join(left.select("doc_id"), "doc_id", "left_anti"))
 
 
-def write_index(postings: DataFrame, name: str, buckets: int = 64) -> None:
-    """Store as a table bucketed and sorted by term, so that lookups and joins by term need no shuffle."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+class IndexStore:
+    """An index in a folder: runs of postings sorted by term, which are added and merged, and what is counted over them.
+
+    Postings are split into ranges of (term, doc_id), so that a hot term is several files, and sorted, so
+    that a filter on term reads only the row groups that may hold it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or shared_path(spark)
+
+    def _write(self, df: DataFrame, name: str, *by: str) -> None:
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{self.path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def add_run(self, run: int, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        """Write the postings of a batch of documents as a run of its own; a run of the same number is replaced."""
+        self._write(row_postings(docs, key, text), f"runs/run={run}", "term", "doc_id")
+
+    def merge(self, docs: DataFrame, key: str = "doc_id") -> None:
+        """Merge all runs into one index and count over it: terms, document lengths, k-grams."""
+        runs = self.read("runs").drop("run")
+        ids = docs.select(F.col(key).alias("doc_id"))
+        whole = merge_postings(runs.select("term", "doc_id", "tf", "positions"), runs.select("term", "doc_id", "tf", "positions").limit(0)) if self._repeats(ids) else runs
+        sizes = whole.groupBy("doc_id").agg(F.sum("tf").alias("n_words"))
+        if "n_words" not in whole.columns:
+            whole = whole.join(sizes, "doc_id")
+        self._write(whole, "postings", "term", "doc_id")
+        whole = self.read("postings")
+        self._write(document_frequency(whole), "terms", "term")
+        self.spark.range(1).select(F.lit(ids.distinct().count()).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/count")
+        lengths(weights(self.documents, whole, self.read("terms"))).write.mode("overwrite").parquet(f"{self.path}/sizes")
+        grams = kgram_index(self.read("terms").select("term"))
+        self._write(grams, "kgrams", "kgram", "term")
+
+    @staticmethod
+    def _repeats(ids: DataFrame) -> bool:
+        return not ids.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    @property
+    def documents(self) -> int:
+        return self.read("count").first()["n"]
+
+
+def write_index(docs: DataFrame, path: str | None = None, runs: int = 1, key: str = "doc_id", text: str = "text") -> IndexStore:
+    """Build a stored index, if asked in several runs of documents that are merged at the end."""
+    store = IndexStore(docs.sparkSession, path)
+    for i in range(runs):
+        store.add_run(i, docs if runs == 1 else docs.filter(F.pmod(F.xxhash64(key), F.lit(runs)) == i), key, text)
+    store.merge(docs, key)
+    return store

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +17,33 @@ from lodestone.operators import index as ix
 
 @dataclass(frozen=True)
 class Index:
-    """Documents, their tokens and what is counted over them; every part is a lazy plan."""
+    """Postings (term, doc_id, tf, positions), document frequencies (term, df), sizes (doc_id, n_words, euclid) and k-grams (kgram, term).
+
+    They are lazy plans over documents, or tables of a stored index, of which a search reads the rows of
+    its terms.
+    """
 
     docs: DataFrame
-    tokens: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+    kgrams: DataFrame
+    n: int
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-        return cls(docs.select(F.col(key).alias("doc_id")), ix.tokens(docs, key, text))
+        ids = docs.select(F.col(key).alias("doc_id"))
+        postings = ix.postings(ix.tokens(docs, key, text))
+        terms, n = ix.document_frequency(postings), ids.distinct().count()
+        return cls(ids, postings, terms, ix.lengths(ix.weights(n, postings, terms)), ix.kgram_index(terms.select("term")), n)
 
-    @property
-    def counts(self) -> DataFrame:
-        return ix.term_counts(self.tokens)
+    @classmethod
+    def stored(cls, store: ix.IndexStore) -> Index:
+        return cls(store.read("sizes").select("doc_id"), *(store.read(t) for t in ("postings", "terms", "sizes", "kgrams")), store.documents)
 
     @property
     def vocabulary(self) -> DataFrame:
-        return ix.vocabulary(self.tokens)
+        return self.terms.select("term")
 
     def search(self, query: str, kind: str = "ranked", ranking: str = "tf_idf", norm: str = "words", pagerank: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
         """Dispatch by kind (and, phrase, ranked) and ranking (tf_idf, pagerank, combination, hits)."""
@@ -47,36 +61,62 @@ class Index:
 
 
 def _matches(term: Column, pattern: str) -> Column:
-    """A term equal to the pattern, in which * stands for any characters."""
+    """A term equal to the pattern, in which * stands for any characters; its literal beginning is pushed down."""
     if "*" not in pattern:
         return term == pattern
-    return term.rlike("^" + ".*".join(re.escape(p) if p else "" for p in pattern.split("*")) + "$")
+    whole = term.rlike("^" + ".*".join(re.escape(p) if p else "" for p in pattern.split("*")) + "$")
+    head = pattern.split("*")[0]
+    return term.startswith(head) & whole if head else whole
+
 
+def _found(table: DataFrame, patterns: list[str]) -> DataFrame:
+    """The rows whose term matches a pattern."""
+    plain = [p for p in patterns if "*" not in p]
+    tests = [F.col("term").isin(plain)] if plain else []
+    tests += [_matches(F.col("term"), p) for p in patterns if "*" in p]
+    return table.filter(reduce(lambda a, b: a | b, tests)) if tests else table.limit(0)
 
-def _slots(term: Column, patterns: list[str]) -> Column:
-    """Numbers of the patterns that a term matches."""
-    return F.filter(F.array(*[F.when(_matches(term, p), F.lit(i)) for i, p in enumerate(patterns)]), lambda x: x.isNotNull())
+
+def _slotted(table: DataFrame, patterns: list[str]) -> DataFrame:
+    """Those rows once for each pattern that they match, with its number as slot."""
+    slots = F.filter(F.array(*[F.when(_matches(F.col("term"), p), F.lit(i)) for i, p in enumerate(patterns)]), lambda x: x.isNotNull())
+    return _found(table, patterns).withColumn("slot", F.explode(slots)) if patterns else table.limit(0).withColumn("slot", F.lit(0))
 
 
 def intersection(index: Index, query: str) -> DataFrame:
     """doc_id of the documents that have every word or wildcard of the query."""
     patterns = list(dict.fromkeys(query_terms(query)))
-    hit = index.tokens.select("doc_id", F.explode(_slots(F.col("term"), patterns)).alias("slot"))
-    return hit.groupBy("doc_id").agg(F.count_distinct("slot").alias("n")).filter(F.col("n") == len(patterns)).select("doc_id")
+    hit = _slotted(index.postings.select("term", "doc_id"), patterns).groupBy("doc_id")
+    return hit.agg(F.count_distinct("slot").alias("n")).filter(F.col("n") == len(patterns)).select("doc_id")
 
 
 def phrase(index: Index, query: str) -> DataFrame:
     """(doc_id, pos): places of the last word of the phrase; one shuffle whatever its length."""
     patterns = query_terms(query)
-    hit = index.tokens.select("doc_id", "pos", F.explode(_slots(F.col("term"), patterns)).alias("slot"))
+    hit = _slotted(index.postings.select("term", "doc_id", "positions"), patterns).select("doc_id", "slot", F.explode("positions").alias("pos"))
     found = hit.groupBy("doc_id", (F.col("pos") - F.col("slot")).alias("start")).agg(F.count_distinct("slot").alias("n")).filter(F.col("n") == len(patterns))
     return found.select("doc_id", (F.col("start") + len(patterns) - 1).alias("pos"))
 
 
 def any_of(index: Index, query: str) -> DataFrame:
     """doc_id of the documents that have a word of the query."""
-    patterns = query_terms(query)
-    return index.tokens.filter(F.size(_slots(F.col("term"), patterns)) > 0).select("doc_id").distinct()
+    return _found(index.postings, query_terms(query)).select("doc_id").distinct()
+
+
+def merged_postings(index: Index, query: str) -> DataFrame:
+    """(doc_id, tf, positions) of all words that the query's words and wildcards stand for, as if they were one."""
+    found = _found(index.postings, query_terms(query)).groupBy("doc_id")
+    return found.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """Results in the order of doc_id."""
+    return found.orderBy("doc_id")
+
+
+def query_length(query: dict[str, float]) -> float:
+    """Sum of a query's weights."""
+    return float(sum(query.values()))
 
 
 def ranked(index: Index, query: dict[str, float], norm: str = "words", ranking: str = "tf_idf", pagerank: DataFrame | None = None) -> DataFrame:
@@ -84,23 +124,20 @@ def ranked(index: Index, query: dict[str, float], norm: str = "words", ranking:
 
     Each term that a wildcard stands for keeps its own document frequency and is one matched term.
     pagerank (doc_id, rank) is added once for each matched term, 0 where it is missing; the
-    combination is 0.01 of tf-idf and 0.99 of it.
+    combination is 0.01 of tf-idf and 0.99 of it. norm is "words" or "euclid".
     """
     patterns = list(query)
-    needed = index.tokens if norm == "euclid" else index.tokens.filter(F.size(_slots(F.col("term"), patterns)) > 0)
-    counts = ix.term_counts(needed)
-    weighted = ix.weights(index.docs, counts)
-    slot_weights = F.array(*[F.lit(float(w)) for w in query.values()])
-    matched = weighted.select("*", F.explode(_slots(F.col("term"), patterns)).alias("slot")).withColumn("weight", slot_weights[F.col("slot")])
-    if norm == "euclid":
-        size = ix.lengths(weighted).select("doc_id", F.col("euclid").alias("size"))
-    else:
-        size = index.tokens.groupBy("doc_id").agg(F.count("*").cast("double").alias("size"))
+    terms = _found(index.terms, patterns)
+    matched = _slotted(index.postings.select("term", "doc_id", "tf"), patterns).join(terms, "term")
+    weight = F.array(*[F.lit(float(w)) for w in query.values()])[F.col("slot")] if query else F.lit(0.0)
+    matched = matched.withColumn("w", weight * F.col("tf") * F.log(F.lit(index.n) / F.col("df")))
     if ranking != "tf_idf":
         matched = matched.join(pagerank.select("doc_id", "rank"), "doc_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
-    tf_idf = F.col("weight") * F.col("w") / F.col("size")
-    score = {"tf_idf": tf_idf, "pagerank": F.col("rank") if ranking != "tf_idf" else None, "combination": 0.01 * tf_idf + 0.99 * F.col("rank") if ranking != "tf_idf" else None}[ranking]
-    return matched.join(size, "doc_id").groupBy("doc_id").agg(F.sum(score).alias("score"))
+    size = F.col("n_words" if norm == "words" else "euclid").cast("double")
+    sums = matched.groupBy("doc_id").agg(F.sum("w").alias("w"), *([F.sum("rank").alias("rank")] if ranking != "tf_idf" else []))
+    tf_idf = F.col("w") / size
+    score = {"tf_idf": lambda: tf_idf, "pagerank": lambda: F.col("rank"), "combination": lambda: 0.01 * tf_idf + 0.99 * F.col("rank")}[ranking]()
+    return sums.join(index.sizes.select("doc_id", "n_words", "euclid"), "doc_id").select("doc_id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int = 10, skip: int = 0) -> DataFrame:
@@ -112,29 +149,54 @@ def feedback(index: Index, query: dict[str, float], relevant: DataFrame, alpha:
     """(term, weight): alpha of the old weights plus beta of the words' counts in the relevant documents."""
     spark = relevant.sparkSession
     old = spark.createDataFrame([(t, alpha * w) for t, w in query.items()], "term string, weight double")
-    new = index.tokens.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("term").agg((F.lit(beta) * F.count("*")).alias("weight"))
+    new = index.postings.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("term").agg((F.lit(beta) * F.sum("tf")).alias("weight"))
     return old.unionByName(new).groupBy("term").agg(F.sum("weight").alias("weight"))
 
 
 def ranked_by_terms(index: Index, query: DataFrame) -> DataFrame:
     """(doc_id, score) for a query of any size given as (term, weight), by word count."""
-    weighted = ix.weights(index.docs, index.counts).join(query, "term")
-    size = index.tokens.groupBy("doc_id").agg(F.count("*").cast("double").alias("size"))
-    return weighted.join(size, "doc_id").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("w") / F.col("size")).alias("score"))
+    weighted = ix.weights(index.n, index.postings.select("term", "doc_id", "tf"), index.terms.join(query, "term").select("term", "df")).join(query, "term")
+    sums = weighted.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("w"))
+    return sums.join(index.sizes.select("doc_id", "n_words"), "doc_id").select("doc_id", (F.col("w") / F.col("n_words")).alias("score"))
 
 
-def spelling(vocab: DataFrame, word: str, k: int = 2, least: float = 0.4, limit: int | None = 10) -> DataFrame:
-    """(term, jaccard): terms whose k-grams overlap the word's and whose edit distance from it is at most 2."""
+def spelling(index: Index, word: str, k: int = 2, least: float = 0.4, limit: int | None = 10, repeats: bool = False) -> DataFrame:
+    """(term, jaccard): terms whose k-grams overlap the word's and whose edit distance from it is at most 2.
+
+    Only terms that share a k-gram are looked at. ``repeats`` counts a k-gram of the word as often as it
+    occurs there.
+    """
     framed = f"^{word}$"
-    mine = sorted({framed[i : i + k] for i in range(len(framed) - k + 1)})
-    own = F.array(*[F.lit(g) for g in mine])
-    grams = F.array_distinct(kgrams(F.col("term"), k))
-    both = F.size(F.array_intersect(grams, own))
-    scored = vocab.filter(F.abs(F.length("term") - len(word)) <= 2).withColumn("jaccard", both / (F.size(grams) + len(mine) - both))
+    mine = Counter(framed[i : i + k] for i in range(len(framed) - k + 1))
+    times = F.create_map(*[F.lit(x) for g, n in mine.items() for x in (g, n if repeats else 1)])
+    size = sum(mine.values()) if repeats else len(mine)
+    near = index.kgrams.filter(F.col("kgram").isin(sorted(mine))).filter(F.abs(F.length("term") - len(word)) <= 2)
+    scored = near.groupBy("term").agg(F.sum(times[F.col("kgram")]).alias("both")).withColumn("n", F.size(F.array_distinct(kgrams(F.col("term"), k))))
+    scored = scored.withColumn("jaccard", F.col("both") / (F.col("n") + size - F.col("both")))
     found = scored.filter((F.col("jaccard") >= least) & indel_at_most_two(F.col("term"), F.lit(word))).select("term", "jaccard").orderBy(F.desc("jaccard"), "term")
     return found if limit is None else found.limit(limit)
 
 
+def search_or_suggest(index: Index, query: str, kind: str = "and", limit: int = 10) -> tuple[DataFrame, DataFrame | None]:
+    """(results, suggestions): suggestions (word, term, jaccard) for the query's unknown words, only if nothing was found."""
+    found = index.search(query, kind)
+    if not found.isEmpty():
+        return found, None
+    known = {r["term"] for r in ix.lookup(index.terms, query_terms(query)).select("term").collect()}
+    parts = [spelling(index, w, limit=limit).select(F.lit(w).alias("word"), "term", "jaccard") for w in dict.fromkeys(query_terms(query)) if w not in known and "*" not in w]
+    return found, reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def timed_search(index: Index, query: str, kind: str = "ranked") -> dict[str, float]:
+    """Rows of a search and the seconds to plan it and to run it."""
+    began = time.perf_counter()
+    found = index.search(query, kind)
+    found._jdf.queryExecution().executedPlan()
+    planned = time.perf_counter()
+    rows = found.count()
+    return {"rows": rows, "plan_seconds": planned - began, "run_seconds": time.perf_counter() - planned}
+
+
 def precision(ranked_docs: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """(precision, recall, ndcg) of the k best against (doc_id, relevance)."""
     from pyspark.sql import Window

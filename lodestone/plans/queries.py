@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import agents, events, graphs, index, itemsets, learn, links, routing, search, similar
+from lodestone.plans.registry import QUERIES, SQL, TOKENS, documents, query, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-_TOKENS = r"""tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents)),
-cnt AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dfs AS (SELECT term, count(*) AS df FROM cnt GROUP BY term),
-nd AS (SELECT count(*) AS n FROM documents),
-wt AS (SELECT doc_id, term, tf, df, tf * ln(n::DOUBLE / df) AS w FROM cnt JOIN dfs USING (term), nd),
-len AS (SELECT doc_id, count(*) AS n_words FROM tok GROUP BY doc_id)"""
+_TOKENS = TOKENS
 _PARTS = """ln AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k, l_partkey AS p FROM lineitem),
 e AS MATERIALIZED (SELECT DISTINCT a.p AS src, b.p AS dst FROM ln a JOIN ln b ON a.o = b.o AND b.k = a.k + 1 WHERE a.p <> b.p)"""
 _TOGETHER = """op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
@@ -27,24 +19,6 @@ nb AS (SELECT count(DISTINCT basket) AS n FROM bi)"""
 WORDS, PHRASE, WILD, MISSPELT = "the of thing", "of the", "th*ng the", "thingg"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.Index.of(table(spark, sf_dir, "documents"))
-
-
 def next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): parts on successive lines of an order."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p")).distinct()
@@ -62,44 +36,44 @@ def supplier_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_suppkey").alias("item"))
 
 
-# index ---------------------------------------------------------------------------------------
+# index
 
 
 @query("idx01_postings", f"WITH {_TOKENS} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id")
 def idx01(spark, sf_dir):
-    return index.postings(documents(spark, sf_dir).tokens).select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
+    return documents(spark, sf_dir).postings.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
 
 
 @query("idx04_weights", f"WITH {_TOKENS} SELECT doc_id, term, tf, df, round(w, 6) AS w FROM wt")
 def idx04(spark, sf_dir):
     ix = documents(spark, sf_dir)
-    return index.weights(ix.docs, ix.counts).withColumn("w", F.round("w", 6))
+    return index.weights(ix.n, ix.postings, ix.terms).withColumn("w", F.round("w", 6))
 
 
 @query("idx08_lengths", f"WITH {_TOKENS} SELECT doc_id, sum(tf)::BIGINT AS n_words, round(sqrt(sum(w * w)), 5) AS euclid FROM wt GROUP BY doc_id")
 def idx08(spark, sf_dir):
-    ix = documents(spark, sf_dir)
-    return index.lengths(index.weights(ix.docs, ix.counts)).withColumn("euclid", F.round("euclid", 5))
+    return documents(spark, sf_dir).sizes.withColumn("euclid", F.round("euclid", 5))
 
 
 @query("idx13_kgrams", f"WITH {_TOKENS}, v AS (SELECT DISTINCT '^' || term || '$' AS t FROM tok), g AS (SELECT DISTINCT t, substr(t, unnest(range(1, length(t)))::BIGINT, 2) AS kgram FROM v) SELECT kgram, count(*) AS terms FROM g GROUP BY kgram")
 def idx13(spark, sf_dir):
-    return index.kgram_index(documents(spark, sf_dir).vocabulary).groupBy("kgram").agg(F.count("*").alias("terms"))
+    return documents(spark, sf_dir).kgrams.groupBy("kgram").agg(F.count("*").alias("terms"))
 
 
 @query("idx14_kgram_lookup", f"WITH {_TOKENS} SELECT DISTINCT term FROM tok WHERE contains('^' || term || '$', 'th') AND contains('^' || term || '$', 'ng')")
 def idx14(spark, sf_dir):
-    return index.kgram_lookup(index.kgram_index(documents(spark, sf_dir).vocabulary), ["th", "ng"])
+    return index.kgram_lookup(documents(spark, sf_dir).kgrams, ["th", "ng"])
 
 
 @query("idx10_merge", f"WITH {_TOKENS} SELECT term, count(*) AS docs, sum(tf)::BIGINT AS places FROM cnt GROUP BY term")
 def idx10(spark, sf_dir):
-    t = documents(spark, sf_dir).tokens
-    merged = index.merge_postings(index.postings(t.filter("pmod(doc_id, 2) = 0")), index.postings(t.filter("pmod(doc_id, 2) = 1")))
+    docs = table(spark, sf_dir, "documents")
+    half = lambda i: index.row_postings(docs.filter(f"pmod(doc_id, 2) = {i}")).drop("n_words")
+    merged = index.merge_postings(half(0), half(1))
     return merged.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("places"))
 
 
-# search --------------------------------------------------------------------------------------
+# search
 
 
 @query("ir05_ranked_tfidf", f"WITH {_TOKENS} SELECT doc_id, round(sum(w / n_words), 6) AS score FROM wt JOIN len USING (doc_id) WHERE term IN ('the', 'of', 'thing') GROUP BY doc_id ORDER BY sum(w / n_words) DESC, doc_id LIMIT 10")
@@ -117,7 +91,7 @@ def ir01(spark, sf_dir):
     return documents(spark, sf_dir).search(WORDS, "and")
 
 
-@query("ir02_phrase", f"WITH {_TOKENS} SELECT b.doc_id, b.pos FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
+@query("ir02_phrase", f"WITH {_TOKENS} SELECT doc_id, pos FROM (SELECT doc_id, term, pos, lag(term) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tok) WHERE before = 'of' AND term = 'the'")
 def ir02(spark, sf_dir):
     return documents(spark, sf_dir).search(PHRASE, "phrase").select("doc_id", F.col("pos").cast("long").alias("pos"))
 
@@ -146,13 +120,18 @@ d AS (SELECT term, common::DOUBLE / (n + 7 - common) AS jaccard, levenshtein(ter
 SELECT term, round(jaccard, 6) AS jaccard FROM d WHERE jaccard >= 0.4 AND (l = 0 OR (l <= 2 AND a IN (1, 2) AND l = a) OR (a = 0 AND l <= 2 AND list_has_any(
   list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1)), list_transform(range(1, 7), lambda i: substr('thingg', 1, i - 1) || substr('thingg', i + 1)))))""")
 def ir19(spark, sf_dir):
-    return search.spelling(documents(spark, sf_dir).vocabulary, MISSPELT, limit=None).withColumn("jaccard", F.round("jaccard", 6))
+    return search.spelling(documents(spark, sf_dir), MISSPELT, limit=None).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("ir22_precision")
+@query("ir22_precision", f"""WITH {_TOKENS}, r AS (SELECT doc_id, sum(w / n_words) AS score FROM wt JOIN len USING (doc_id) WHERE term IN ('the', 'of', 'thing') GROUP BY doc_id),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r QUALIFY place <= 10), j AS (SELECT doc_id, max(quality) AS relevance FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT place, coalesce(relevance, 0) AS relevance FROM b LEFT JOIN j USING (doc_id)), i AS (SELECT relevance, row_number() OVER (ORDER BY relevance DESC) AS place FROM j QUALIFY place <= 10)
+SELECT round(avg(CASE WHEN relevance > 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS precision, round(count(*) FILTER (WHERE relevance > 0) / (SELECT count(*) FROM j WHERE relevance > 0), 6) AS recall,
+round(sum((2 ** relevance - 1) / log2(place + 1)) / (SELECT sum((2 ** relevance - 1) / log2(place + 1)) FROM i), 6) AS ndcg FROM h""")
 def ir22(spark, sf_dir):
     judged = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("relevance"))
-    return search.precision(documents(spark, sf_dir).search(WORDS), judged)
+    found = search.precision(documents(spark, sf_dir).search(WORDS), judged)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")])
 
 
 @query("txt02_patterns")
@@ -161,14 +140,7 @@ def txt02(spark, sf_dir):
     return found.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("txt05_plain", r"SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[à-åç-ïñ-öù-ýÿ]', '', 'g')) AS kept FROM documents")
-def txt05(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    changed = F.regexp_replace("text", r"[à-åç-ïñ-öù-ýÿ]", "")
-    return docs.select("doc_id", F.length(tx.plain_letters(F.col("text"))).cast("long").alias("n"), F.length(changed).cast("long").alias("kept"))
-
-
-# similarity ----------------------------------------------------------------------------------
+# similarity
 
 
 @query("sim03_jaccard", """WITH s AS (SELECT DISTINCT item_id AS id, lower(substr(text, i, 5)) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 3)) AS i FROM benchmark)),
@@ -190,7 +162,7 @@ def sim05(spark, sf_dir):
     return similar.lsh_pairs(table(spark, sf_dir, "documents"), least=0.5)
 
 
-# itemsets ------------------------------------------------------------------------------------
+# itemsets
 
 _FREQUENT = f"""{_BASKETS}, f1 AS MATERIALIZED (SELECT item, count(*) AS c FROM bi GROUP BY item HAVING count(*) > 0.001 * (SELECT n FROM nb)),
 f2 AS MATERIALIZED (SELECT a.item AS i, b.item AS j, count(*) AS c FROM bi a JOIN bi b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL HAVING count(*) > 0.001 * (SELECT n FROM nb))"""
@@ -220,7 +192,7 @@ def fim06_all(spark, sf_dir):
     return found.select(F.array_join(F.transform("lhs", lambda x: x.cast("string")), " ").alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
 
 
-# links ---------------------------------------------------------------------------------------
+# links
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -253,7 +225,7 @@ def la05(spark, sf_dir):
     return links.random_walks(next_parts(spark, sf_dir), 5000, "random", "path", steps=60)
 
 
-# graphs --------------------------------------------------------------------------------------
+# graphs
 
 
 @query("tri08_triangles", f"WITH {_TOGETHER}, t AS (SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), d AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY id), w AS (SELECT sum(k * (k - 1) // 2)::BIGINT AS wedges FROM d) SELECT triangles, wedges, round(3 * triangles / wedges, 9) AS transitivity FROM t, w")
@@ -283,7 +255,7 @@ def gp05(spark, sf_dir):
     return graphs.partition(next_parts(spark, sf_dir), rounds=3)[1]
 
 
-# learning ------------------------------------------------------------------------------------
+# learning
 
 
 @query("ml01_profile", "SELECT 'o_totalprice' AS column, count(o_totalprice) AS n, count(*) - count(o_totalprice) AS nulls, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders")
@@ -313,7 +285,7 @@ def ml06(spark, sf_dir):
     return learn.report(found).select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "support")
 
 
-# events --------------------------------------------------------------------------------------
+# events
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +347,7 @@ def str24(spark, sf_dir):
     return events.stamped(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", F.col("seq").cast("long").alias("seq"))
 
 
-# routing and agents --------------------------------------------------------------------------
+# routing and agents
 
 
 def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,4 +445,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir05(spark, sf_dir)
 
 
+from lodestone.plans import agent_queries, event_queries, graph_queries, text_queries  # noqa: E402, F401
+
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -38,13 +39,13 @@ def test_search(ix):
 
 
 def test_spelling_and_feedback(ix, spark):
-    assert [r.term for r in search.spelling(ix.vocabulary, "catt").collect()] == ["cat"]
+    assert [r.term for r in search.spelling(ix, "catt").collect()] == ["cat"]
     got = {r.term: r.weight for r in search.feedback(ix, {"dog": 1.0}, spark.createDataFrame([(4,)], "doc_id long")).collect()}
     assert got == pytest.approx({"dog": 0.2 + 0.8, "cat": 1.6})
 
 
 def test_index_merge(ix):
-    t = ix.tokens
+    t = ix.postings.select("term", "doc_id", F.explode("positions").alias("pos"))
     merged = index.merge_postings(index.postings(t.filter("doc_id < 2")), index.postings(t.filter("doc_id >= 1")))
     whole = index.postings(t)
     assert rows(merged.select("term", "doc_id", "tf", "positions")) == rows(whole)
@@ -61,6 +62,12 @@ def test_indel_rule(spark, pairs):
 def test_text(spark):
     df = spark.createDataFrame([("See a.b@c.de, 12:30 and don't!",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(tx.pattern_tokens(F.col("t"))).collect()] == [["See", "a.b@c.de", "12:30", "and", "don't"], None, []]
+    odd = spark.createDataFrame([("a b: c, d? e;f=g <h>",), ("it's 24/7 at 10.0.0.1, e.g. $100 x-y a.doc",), ("get 'em +46-22 1999-12-31",)], "t string")
+    assert [r[0] for r in odd.select(tx.printable_tokens(F.col("t"), True)).collect()][0] == list("ab:c,d?e;f=g<h>")
+    assert [r[0] for r in odd.select(tx.pattern_tokens(F.col("t"))).collect()][1:] == [["it's", "24/7", "at", "10.0.0.1", "e.g.", "$100", "x-y", "a.doc"], ["get", "'em", "+46-22", "1999-12-31"]]
+    assert odd.select(tx.plain_letters(F.lit("øæłđßħıŁ×÷Þ"))).first()[0] == "oeldShiL*/T"
+    crc = odd.select(tx.shingles(F.lit("Abcd"), 3)).first()[0]
+    assert crc == [zlib.crc32(b"abc"), zlib.crc32(b"bcd")]
     one = lambda c: df.limit(1).select(c).first()[0]
     assert one(tx.kgrams(F.lit("ab"), 2)) == ["^a", "ab", "b$"] and one(tx.kgrams(F.lit(""), 4)) == []
     assert one(tx.shingles(F.lit("aBc"), 2, hashed=False)) == ["ab", "bc"] and one(tx.shingles(F.lit("a"), 2)) == []
