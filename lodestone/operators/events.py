@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.ranges import running
+
 
 def clock_merge(a: Column, b: Column) -> Column:
     """Pointwise maximum of two vector clocks (maps); a missing entry is 0."""
@@ -26,19 +28,67 @@ def lamport_violations(messages: DataFrame) -> DataFrame:
     return messages.filter("received <= sent")
 
 
+def lamport_times(steps: DataFrame) -> DataFrame:
+    """steps (node, seq, incoming) with the node's time: one more than the greater of its last time and the incoming one.
+
+    incoming is the time that a received message carries, null for a step of the node's own. With p the
+    place among the node's steps, the time is p plus the most by which an incoming time was ahead of its place.
+    """
+    w = Window.partitionBy("node").orderBy("seq")
+    place = steps.withColumn("_p", F.row_number().over(w))
+    ahead = F.max(F.col("incoming") - F.col("_p") + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return place.withColumn("time", F.col("_p") + F.greatest(F.coalesce(ahead, F.lit(0)), F.lit(0))).drop("_p")
+
+
 def safe_release(log: DataFrame, nodes: list[str]) -> DataFrame:
     """(arrival, node, time, released_at): when each record of a log may be read in the order of time.
 
     A record is safe at the first arrival by which every declared node has been heard from with a
-    time of at least its own. A record that is never safe has null. log is (arrival, node, time).
+    time of at least its own. A record that is never safe has null. log is (arrival, node, time), arrivals
+    are distinct.
     """
-    seen = [F.coalesce(F.max(F.when(F.col("node") == n, F.col("time"))).over(Window.orderBy("arrival")), F.lit(0)) for n in nodes]
-    horizon = log.select("arrival", F.least(*seen).alias("safe") if len(seen) > 1 else seen[0].alias("safe"))
+    heard = {f"_h{i}": ("max", F.when(F.col("node") == n, F.col("time"))) for i, n in enumerate(nodes)}
+    seen = running(log.select("arrival", "node", "time"), [F.col("arrival")], heard)
+    clocks = [F.coalesce(F.col(c), F.lit(0)) for c in heard]
+    horizon = seen.select("arrival", (F.least(*clocks) if len(clocks) > 1 else clocks[0]).alias("safe"))
     # the horizon never falls, so the first arrival of each of its values is all that is needed
     steps = horizon.groupBy("safe").agg(F.min("arrival").alias("at"))
     both = log.select("arrival", "node", "time", F.lit(None).cast("long").alias("at"), F.col("time").alias("t"), F.lit(0).alias("kind")).unionByName(steps.select(F.lit(None).cast("long").alias("arrival"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("time"), F.col("at").cast("long"), F.col("safe").alias("t"), F.lit(1).alias("kind")))
-    first = F.min("at").over(Window.orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("first", first).filter("kind = 0").select("arrival", "node", "time", F.when(F.col("first").isNotNull(), F.greatest("first", "arrival")).alias("released_at"))
+    first = running(both, [F.desc("t"), F.desc("kind"), F.asc("arrival")], {"first": ("min", F.col("at"))})
+    return first.filter("kind = 0").select("arrival", "node", "time", F.when(F.col("first").isNotNull(), F.greatest("first", "arrival")).alias("released_at"))
+
+
+def vector_release(log: DataFrame) -> DataFrame:
+    """(arrival, node, released_at): when all that a record depends on has arrived; null if it never has.
+
+    log is (arrival, node, clock), clock a map from node to count that has the record's own node; entries
+    of 0 ask for nothing.
+    """
+    own = log.select(F.col("node").alias("k"), F.col("clock")[F.col("node")].alias("v"), "arrival")
+    asks = log.select(F.explode("clock").alias("k", "v"), F.col("arrival").alias("asker")).filter("v > 0")
+    both = own.withColumn("asker", F.lit(None).cast("long")).unionByName(asks.withColumn("arrival", F.lit(None).cast("long")))
+    reach = F.min("arrival").over(Window.partitionBy("k").orderBy(F.desc("v"), F.col("asker").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("met", reach).filter("asker IS NOT NULL").groupBy(F.col("asker").alias("arrival")).agg(F.max("met").alias("met"), F.count_if(F.col("met").isNull()).alias("missing"))
+    out = log.select("arrival", "node").join(met, "arrival", "left")
+    return out.select("arrival", "node", F.when(F.coalesce("missing", F.lit(0)) == 0, F.greatest("met", "arrival")).alias("released_at"))
+
+
+def queue_sizes(released: DataFrame) -> DataFrame:
+    """(arrival, held, most): how many records (arrival, released_at) wait after each arrival, and the most so far."""
+    moves = released.select(F.col("arrival").alias("at"), F.lit(1).alias("d")).unionByName(released.filter("released_at IS NOT NULL").select(F.col("released_at").alias("at"), F.lit(-1).alias("d")))
+    per = moves.groupBy("at").agg(F.sum("d").alias("d"))
+    held = running(per, [F.col("at")], {"held": ("sum", F.col("d"))})
+    return running(held, [F.col("at")], {"most": ("max", F.col("held"))}).select(F.col("at").alias("arrival"), "held", "most")
+
+
+def generated_messages(spark, nodes: list[str], n: int, sleep: float = 1.0, jitter: float = 0.1, seed: int = 1) -> DataFrame:
+    """(id, src, dst, sent, received): each node in turn sends to a peer at random, which gets it after a jitter."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    names = F.array(*[F.lit(x) for x in nodes])
+    rows = spark.range(n).withColumn("_s", F.pmod("id", F.lit(len(nodes))).cast("int"))
+    rows = rows.withColumn("_d", F.pmod(F.col("_s") + 1 + F.floor(u("peer") * (len(nodes) - 1)), F.lit(len(nodes))).cast("int"))
+    sent = F.floor(F.col("id") / len(nodes)) * sleep + u("wait") * sleep
+    return rows.select("id", names[F.col("_s")].alias("src"), names[F.col("_d")].alias("dst"), sent.alias("sent"), (sent + u("jitter") * jitter).alias("received"))
 
 
 def newest_only(events: DataFrame, node: str, seq: str, arrival: str) -> DataFrame:
@@ -49,8 +99,25 @@ def newest_only(events: DataFrame, node: str, seq: str, arrival: str) -> DataFra
 
 def sequence_gaps(messages: DataFrame, seq: str = "seq") -> DataFrame:
     """(seq, missing): numbers that are followed by a gap, after duplicates are dropped."""
-    ahead = F.lead(seq).over(Window.orderBy(seq))
-    return messages.select(seq).distinct().select(seq, (ahead - F.col(seq) - 1).alias("missing")).filter("missing > 0")
+    ahead = running(messages.select(seq).distinct(), [F.desc(seq)], {"_next": ("min", F.col(seq))}, inclusive=False)
+    return ahead.select(seq, (F.col("_next") - F.col(seq) - 1).alias("missing")).filter("missing > 0")
+
+
+def multicast_delivery(copies: DataFrame) -> DataFrame:
+    """(node, seq, delivered_at) of copies (node, seq, arrival): each number once, in order, from the node's first to before its first gap.
+
+    Numbers below the awaited one are old and dropped, as when a new leader repeats the last message;
+    later ones wait until those before them have come.
+    """
+    first = copies.groupBy("node", "seq").agg(F.min("arrival").alias("arrival"))
+    w = Window.partitionBy("node").orderBy("seq")
+    run = first.withColumns({"_p": F.row_number().over(w), "_least": F.min("seq").over(Window.partitionBy("node")), "delivered_at": F.max("arrival").over(w)})
+    return run.filter("seq - _least = _p - 1").select("node", "seq", "delivered_at")
+
+
+def node_status(events: DataFrame) -> DataFrame:
+    """(node, last_seq, last_ts, n) of (node, seq, ts): what each node's tables hold now."""
+    return events.groupBy("node").agg(F.max("seq").alias("last_seq"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
 def leaders(members: DataFrame) -> DataFrame:
@@ -63,12 +130,18 @@ def first_success(attempts: DataFrame) -> DataFrame:
     return attempts.filter("acked").groupBy("message").agg(F.min_by(F.struct("attempt", "ts"), F.struct("ts", "attempt")).alias("s")).select("message", "s.attempt", "s.ts")
 
 
-def suspicions(beats: DataFrame, period: float, node: str = "node", ts: str = "ts") -> DataFrame:
-    """(node, suspected_at, restored_at): silences longer than ``period`` seconds between two heartbeats."""
+def suspicions(beats: DataFrame, period: float, node: str = "node", ts: str = "ts", until: Column | None = None) -> DataFrame:
+    """(node, suspected_at, restored_at): silences longer than ``period`` seconds after a heartbeat.
+
+    A node that is silent up to ``until``, by default the last heartbeat of all, is suspected for good: restored_at
+    is null.
+    """
     ahead = F.lead(ts).over(Window.partitionBy(node).orderBy(ts))
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     gap = beats.select(F.col(node).alias("node"), F.col(ts).cast("timestamp").alias("last"), ahead.cast("timestamp").alias("restored_at"))
-    late = gap.filter(seconds(F.col("restored_at")) - seconds(F.col("last")) > period)
+    end = beats.agg(F.max(ts).cast("timestamp").alias("_end"))
+    known = gap.crossJoin(F.broadcast(end)).withColumn("_end", F.col("_end") if until is None else until.cast("timestamp"))
+    late = known.filter(seconds(F.coalesce("restored_at", "_end")) - seconds(F.col("last")) > period)
     return late.select("node", F.timestamp_micros(F.unix_micros("last") + int(period * 1e6)).alias("suspected_at"), "restored_at")
 
 
@@ -100,6 +173,33 @@ def promises(messages: DataFrame) -> DataFrame:
     return newest_only(messages, "node", "ballot", "seq")
 
 
+def acceptor_replies(messages: DataFrame) -> DataFrame:
+    """messages (node, seq, kind, ballot, value) in the order of seq with the acceptor's reply and what it had accepted before.
+
+    A "prepare" above every ballot so far is a "promise", an "accept" of at least that is "accepted", all
+    else a "nack". accepted_ballot and accepted_value are those of the last accepted message before.
+    """
+    past = Window.partitionBy("node").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.coalesce(F.max("ballot").over(past), F.lit(0))
+    judged = messages.withColumn("_top", top).withColumn("reply", F.when((F.col("kind") == "prepare") & (F.col("ballot") > F.col("_top")), "promise").when((F.col("kind") == "accept") & (F.col("ballot") >= F.col("_top")), "accepted").otherwise("nack"))
+    took = F.when(F.col("reply") == "accepted", F.struct("ballot", "value"))
+    return judged.withColumn("_a", F.last(took, ignorenulls=True).over(past)).select("node", "seq", "kind", "ballot", "reply", F.col("_a.ballot").alias("accepted_ballot"), F.col("_a.value").alias("accepted_value"))
+
+
+def proposals(replies: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(ballot, value): what each proposer may ask for after promises of a majority of n: the value of the highest accepted ballot among them, else its own.
+
+    replies are those of ``acceptor_replies``; wanted is (ballot, value).
+    """
+    got = replies.filter("reply = 'promise'").groupBy("ballot").agg(F.count_distinct("node").alias("c"), F.max(F.struct("accepted_ballot", "accepted_value")).alias("m"))
+    return got.filter(F.col("c") > n / 2).join(wanted, "ballot").select("ballot", F.when(F.col("m.accepted_ballot").isNotNull(), F.col("m.accepted_value")).otherwise(F.col("value")).alias("value"))
+
+
+def retries(replies: DataFrame, step: int = 1) -> DataFrame:
+    """(ballot, next_ballot): ballots that some acceptor refused, with the one that their proposer tries next."""
+    return replies.filter("reply = 'nack'").select("ballot").distinct().select("ballot", (F.col("ballot") + step).alias("next_ballot"))
+
+
 def decided_length(acks: DataFrame, n: int) -> DataFrame:
     """(decided): the longest prefix that a majority of n nodes has acknowledged, from (node, acked)."""
     high = acks.groupBy("node").agg(F.max("acked").alias("acked"))

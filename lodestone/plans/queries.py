@@ -311,7 +311,7 @@ def str07(spark, sf_dir):
     return events.newest_only(log, "user_id", "event_id", "arrival").select("user_id", "event_id")
 
 
-@query("str11_suspicions", "WITH g AS (SELECT user_id AS node, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) SELECT node, count(*) AS n, round(sum(epoch_us(nx) - epoch_us(ts) - 3600000000) / 1e6, 3) AS silent_s FROM g WHERE epoch_us(nx) - epoch_us(ts) > 3600000000 GROUP BY node")
+@query("str11_suspicions", "WITH m AS (SELECT max(ts) AS t FROM events), g AS (SELECT user_id AS node, ts, t, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events, m) SELECT node, count(*) AS n, round(sum(epoch_us(nx) - epoch_us(ts) - 3600000000) / 1e6, 3) AS silent_s FROM g WHERE epoch_us(coalesce(nx, t)) - epoch_us(ts) > 3600000000 GROUP BY node")
 def str11(spark, sf_dir):
     found = events.suspicions(table(spark, sf_dir, "events").withColumnRenamed("user_id", "node"), 3600.0)
     return found.groupBy("node").agg(F.count("*").alias("n"), F.round(F.sum(F.unix_micros("restored_at") - F.unix_micros("suspected_at")) / 1e6, 3).alias("silent_s"))

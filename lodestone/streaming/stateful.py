@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import random
 from collections import Counter
@@ -39,12 +40,11 @@ def safe_release(stream: DataFrame, nodes: list[str]) -> DataFrame:
         clock, queue, out = state.setdefault("clock", {}), state.setdefault("queue", []), []
         for r in rows.itertuples():
             clock[r.node] = max(clock.get(r.node, 0), int(r.time))
-            queue.append([int(r.time), r.node, r.action])
+            heapq.heappush(queue, [int(r.time), r.node, r.action])
             safe = min(clock.get(n, 0) for n in nodes)
-            free = sorted(q for q in queue if q[0] <= safe)
-            if free:
-                queue[:] = [q for q in queue if q[0] > safe]
-                out += [{"log": r.log, "node": n, "time": t, "action": a, "released_at": int(r.arrival)} for t, n, a in free]
+            while queue and queue[0][0] <= safe:
+                t, n, a = heapq.heappop(queue)
+                out.append({"log": r.log, "node": n, "time": t, "action": a, "released_at": int(r.arrival)})
         return out
 
     return _stateful(stream, ["log"], "log string, node string, time long, action string, released_at long", step, ["arrival"])
@@ -104,6 +104,98 @@ def adaptive_suspicions(stream: DataFrame, period: float, delta: float) -> DataF
     return _stateful(stream, ["node"], "node string, last double, next double, period double", step, ["ts"])
 
 
+def lamport_stamps(stream: DataFrame) -> DataFrame:
+    """(node, seq, time) of (node, seq, incoming): each node's clock after every step, ahead of what a message carries."""
+
+    def step(state: dict, rows: pd.DataFrame) -> list[dict]:
+        out = []
+        for r in rows.itertuples():
+            seen = 0 if pd.isna(r.incoming) else int(r.incoming)
+            state["time"] = max(state.get("time", 0), seen) + 1
+            out.append({"node": r.node, "seq": int(r.seq), "time": state["time"]})
+        return out
+
+    return _stateful(stream, ["node"], "node string, seq long, time long", step, ["seq"])
+
+
+def vector_release(stream: DataFrame) -> DataFrame:
+    """(log, node, msg, released_at, queue) of (log, arrival, node, clock MAP, msg): records once their vector is at most what was seen.
+
+    Of each node the seen vector has its own entry of its last record; queue is how many are still held then.
+    """
+
+    def step(state: dict, rows: pd.DataFrame) -> list[dict]:
+        seen, queue, out = state.setdefault("seen", {}), state.setdefault("queue", []), []
+        for r in rows.itertuples():
+            clock = {k: int(v) for k, v in dict(r.clock).items()}
+            seen[r.node] = max(seen.get(r.node, 0), clock.get(r.node, 0))
+            queue.append([r.node, clock, r.msg])
+            free = [q for q in queue if all(v <= seen.get(k, 0) for k, v in q[1].items())]
+            if free:
+                queue[:] = [q for q in queue if q not in free]
+                out += [{"log": r.log, "node": n, "msg": m, "released_at": int(r.arrival), "queue": len(queue)} for n, _, m in free]
+        return out
+
+    return _stateful(stream, ["log"], "log string, node string, msg string, released_at long, queue long", step, ["arrival"])
+
+
+def acceptor(stream: DataFrame) -> DataFrame:
+    """(node, seq, ballot, reply, accepted_ballot, accepted_value) to each message (node, seq, kind, ballot, value) of a vote on one value.
+
+    State is the ballot promised and what was accepted last: a "prepare" above it is promised, an "accept"
+    of at least it is accepted, all else is refused.
+    """
+
+    def step(state: dict, rows: pd.DataFrame) -> list[dict]:
+        out = []
+        for r in rows.itertuples():
+            top, before = state.get("top", 0), state.get("accepted", [None, None])
+            good = r.ballot > top if r.kind == "prepare" else r.ballot >= top
+            reply = ("promise" if r.kind == "prepare" else "accepted") if good else "nack"
+            if good:
+                state["top"] = int(r.ballot)
+                if r.kind == "accept":
+                    state["accepted"] = [int(r.ballot), r.value]
+            out.append({"node": r.node, "seq": int(r.seq), "ballot": int(r.ballot), "reply": reply, "accepted_ballot": before[0], "accepted_value": before[1]})
+        return out
+
+    return _stateful(stream, ["node"], "node string, seq long, ballot long, reply string, accepted_ballot long, accepted_value string", step, ["seq"])
+
+
+def timed_suspicions(stream: DataFrame, period: float, delta: float, delay: str = "0 seconds") -> DataFrame:
+    """(node, event, at): "suspect" when event time passes a node's last heartbeat by its period, "restore" when it is heard of again.
+
+    stream is (node, ts TIMESTAMP). A timer for each node fires once the watermark, ``delay`` behind the
+    latest heartbeat of all, is past it, so a node that falls silent for good is found too. A restored
+    node's period grows by ``delta`` seconds.
+    """
+    schema = "node string, event string, at double"
+
+    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, own, suspected = held.get if held.exists else (0.0, period, False)
+        out = []
+        if held.hasTimedOut:
+            out.append((key[0], "suspect", last + own))
+            suspected = True
+            held.update((last, own, suspected))
+        else:
+            for t in sorted(x.timestamp() for b in batches for x in b["ts"]):
+                if suspected:
+                    out.append((key[0], "restore", t))
+                    suspected, own = False, own + delta
+                elif last and t - last > own:
+                    out += [(key[0], "suspect", last + own), (key[0], "restore", t)]
+                    own += delta
+                last = max(last, t)
+            held.update((last, own, suspected))
+            held.setTimeoutTimestamp(max(int((last + own) * 1000), held.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["node", "event", "at"])
+
+    marked = stream.select("node", "ts").withWatermark("ts", delay)
+    return marked.groupBy("node").applyInPandasWithState(run, schema, "last double, period double, suspected boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def colour_fold(stream: DataFrame) -> DataFrame:
     """(node, seq, r, g, b) after each delivery (node, seq, n), in order of seq within what has arrived."""
 

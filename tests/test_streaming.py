@@ -1,5 +1,6 @@
 """Stateful streams against what the batch forms give."""
 
+import datetime as dt
 import random
 import uuid
 
@@ -61,3 +62,44 @@ def test_triangles(spark, tmp_path):
     assert [r.t for r in sorted(got, key=lambda r: r.t)] == [100, 200, 300]
     k, n = stateful.estimate_triangles(pairs, 200, 400)
     assert 0.5 < k < 1.6 and 0.3 * 2300 < n < 2.5 * 2300
+
+
+def test_timers_find_a_node_that_falls_silent(spark, tmp_path):
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    batches = [[("dead", at(0)), ("dead", at(1)), ("live", at(0))], [("live", at(100))], [("live", at(101))], [("back", at(102)), ("live", at(103))], [("back", at(150)), ("live", at(150))], [("live", at(151))]]
+    got = run(spark, tmp_path, batches, "node string, ts timestamp", lambda s: stateful.timed_suspicions(s, 10.0, 5.0))
+    seen = sorted((r.node, r.event, round(r.at - 1_700_000_000, 3)) for r in got)
+    assert ("dead", "suspect", 11.0) in seen and not any(n == "dead" and e == "restore" for n, e, _ in seen)
+    assert [(e, t) for n, e, t in seen if n == "live"] == [("restore", 100.0), ("restore", 150.0), ("suspect", 10.0), ("suspect", 118.0)]
+
+
+def test_lamport_stamps_and_acceptor(spark, tmp_path):
+    rng = random.Random(5)
+    steps = [(rng.choice("ab"), i, rng.choice([None, rng.randrange(40)])) for i in range(40)]
+    schema = "node string, seq long, incoming long"
+    got = run(spark, tmp_path, [steps[:20], steps[20:]], schema, stateful.lamport_stamps)
+    want = events.lamport_times(spark.createDataFrame(steps, schema)).collect()
+    assert {(r.seq, r.time) for r in got} == {(r.seq, r.time) for r in want}
+    votes = [(rng.choice("ab"), i, rng.choice(["prepare", "accept"]), i // 3 + rng.randrange(5), str(i)) for i in range(40)]
+    schema = "node string, seq long, kind string, ballot long, value string"
+    got = run(spark, tmp_path, [votes[:15], votes[15:]], schema, stateful.acceptor)
+    want = events.acceptor_replies(spark.createDataFrame(votes, schema)).collect()
+    key = lambda r: (r.seq, r.reply, None if r.accepted_ballot is None or r.accepted_ballot != r.accepted_ballot else int(r.accepted_ballot), r.accepted_value)
+    assert {key(r) for r in got} == {key(r) for r in want} and {r.reply for r in got} == {"promise", "accepted", "nack"}
+
+
+def test_vector_release(spark, tmp_path):
+    rng = random.Random(6)
+    sent = {n: 0 for n in "abc"}
+    rows = []
+    for i in range(40):
+        n, m = rng.sample("abc", 2)
+        sent[n] += 1
+        rows.append((n, {n: sent[n], m: rng.randrange(sent[m] + 1)}, str(i)))
+    rng.shuffle(rows)
+    log = [("l", i, n, c, m) for i, (n, c, m) in enumerate(rows)]
+    got = run(spark, tmp_path, [log[:15], log[15:]], "log string, arrival long, node string, clock map<string,long>, msg string", stateful.vector_release)
+    want = events.vector_release(spark.createDataFrame([x[1:4] for x in log], "arrival long, node string, clock map<string,long>")).collect()
+    assert {(int(r.msg), r.released_at) for r in got} == {(int(log[r.arrival][4]), r.released_at) for r in want if r.released_at is not None}
+    held = events.queue_sizes(events.vector_release(spark.createDataFrame([x[1:4] for x in log], "arrival long, node string, clock map<string,long>"))).orderBy("arrival").collect()
+    assert held[-1].held == 0 and held[-1].most == max(r.held for r in held)
