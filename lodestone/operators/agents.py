@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.draws import uniform
 from lodestone.plans.storage import stored
 
 
@@ -17,10 +18,38 @@ def within(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
     return a.join(b, ["gx", "gy"]).withColumn("dist", dist).filter(F.col("dist") < distance).select("l_id", "r_id", "dist")
 
 
-def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id): the nearest row of a small right side; of equal distances the lesser id."""
-    pairs = left.select(F.col("id").alias("l_id"), "x", "y").crossJoin(right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry")))
-    return pairs.groupBy("l_id").agg(F.min_by("r_id", F.struct(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")), "r_id")).alias("r_id"))
+#: Rows up to which the right side of a nearest-row or best-row search is sent whole to every task (about 60 bytes each, 60 MB).
+SMALL_SIDE = 1_000_000
+
+
+def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """(l_id, r_id): the nearest row of the right side; of equal distances the lesser id.
+
+    Rows meet in grid cells: first the nine around a row, then rings of cells that are twice as large,
+    until what was found is nearer than the cells that weren't looked at. ``cell`` is the first size, by
+    default that at which a cell holds about one row of the right side.
+    """
+    rows = left.select(F.col("id").alias("l_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    spots = stored(right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry")))
+    span = spots.agg(F.count("*").alias("n"), (F.max("rx") - F.min("rx")).alias("w"), (F.max("ry") - F.min("ry")).alias("h"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
+    if not span["n"]:
+        return rows.select("l_id", F.lit(None).cast(right.schema["id"].dataType).alias("r_id")).limit(0)
+    reach = rows.agg(F.max(F.greatest(F.abs(F.col("lx") - span["min(rx)"]), F.abs(F.col("lx") - span["max(rx)"]), F.abs(F.col("ly") - span["min(ry)"]), F.abs(F.col("ly") - span["max(ry)"])))).first()[0] or 0.0
+    size = cell or max((span["w"] * span["h"] / span["n"]) ** 0.5, (span["w"] + span["h"]) / span["n"], 1e-9)
+    open_, done = rows, None
+    while True:
+        at = lambda c, size=size: F.floor(F.col(c) / size)
+        near = open_.withColumn("gx", F.explode(F.array(*[at("lx") + i for i in (-1, 0, 1)]))).withColumn("gy", F.explode(F.array(*[at("ly") + i for i in (-1, 0, 1)])))
+        met = near.join(spots.withColumns({"gx": at("rx"), "gy": at("ry")}), ["gx", "gy"])
+        far = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
+        best = met.groupBy("l_id", "lx", "ly").agg(F.min(F.struct(far.alias("far"), "r_id")).alias("m"))
+        sure = stored(best.filter(F.col("m.far") <= size))  # what lies outside the nine cells is farther than one
+        done = sure if done is None else done.unionByName(sure)
+        left_over = stored(open_.join(sure.select("l_id"), "l_id", "left_anti"))
+        if size > reach or left_over.isEmpty():
+            break
+        open_, size = left_over, size * 2
+    return done.select("l_id", F.col("m.r_id").alias("r_id"))
 
 
 def trait_counts(pairs: DataFrame, traits: DataFrame, trait: str) -> DataFrame:
@@ -29,24 +58,39 @@ def trait_counts(pairs: DataFrame, traits: DataFrame, trait: str) -> DataFrame:
 
 
 def some_of(items: Column, k: int, seed: int = 1) -> Column:
-    """k elements at random."""
-    return F.slice(F.shuffle(items, seed), 1, k)
+    """k elements at random, without repetition."""
+    keyed = F.transform(items, lambda x: F.struct(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), x.cast("string")).cast("binary")).alias("k"), x.alias("x")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["x"])
 
 
 def coin(seed: int, *columns: Column, p: float = 0.5) -> Column:
     """True with probability p, the same for the same columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) / float(1 << 30) < p
+    return uniform(seed, *columns) < p
+
+
+def uniform_int(low: int, high: int, seed: int, *columns: Column) -> Column:
+    """A whole number from low to high, both included."""
+    return (F.floor(uniform(seed, *columns) * (high - low + 1)) + low).cast("long")
 
 
-def best_scene(guests: DataFrame, scenes: DataFrame, traits: list[str]) -> DataFrame:
-    """(guest, scene, utility): the scene of the greatest dot product of traits; of equals the one of least id."""
+def best_scene(guests: DataFrame, scenes: DataFrame, traits: list[str], leader: int | None = None, crowd: float = 0.5) -> DataFrame:
+    """(guest, scene, utility): the scene of the greatest dot product of traits; of equals the one of least id.
+
+    With a leader's scene, guests (id, crowd, traits) that like crowds less than ``crowd`` choose among the
+    other scenes, and the others have no choice of their own and no row. Scenes are sent to every task, so
+    more than SMALL_SIDE of them are refused.
+    """
+    if scenes.count() > SMALL_SIDE:
+        raise ValueError(f"more than {SMALL_SIDE} scenes")
+    if leader is not None:
+        guests, scenes = guests.filter(F.col("crowd") < crowd), scenes.filter(F.col("id") != leader)
     total = None
     for t in traits:
         term = F.col(f"g_{t}") * F.col(f"s_{t}")
         total = term if total is None else total + term
     g = guests.select(F.col("id").alias("guest"), *[F.col(t).alias(f"g_{t}") for t in traits])
     s = scenes.select(F.col("id").alias("scene"), *[F.col(t).alias(f"s_{t}") for t in traits])
-    return g.crossJoin(s).withColumn("utility", total).groupBy("guest").agg(F.max(F.struct("utility", -F.col("scene"))).alias("m")).select("guest", (-F.col("m.col2")).alias("scene"), "m.utility")
+    return g.crossJoin(F.broadcast(s)).withColumn("utility", total).groupBy("guest").agg(F.max(F.struct("utility", -F.col("scene"))).alias("m")).select("guest", (-F.col("m.col2")).alias("scene"), "m.utility")
 
 
 def dutch_auction(auctions: DataFrame, bids: DataFrame, step: float = 10.0) -> DataFrame:
@@ -94,6 +138,13 @@ def queens(spark, n: int) -> DataFrame:
     return board
 
 
+def perceived(agents: DataFrame, things: DataFrame, distance: float, belief: Column) -> DataFrame:
+    """(agent, belief): what each agent (id, x, y) takes in of the things (id, x, y, ...) in its reach for which the belief isn't null."""
+    named = things.withColumn("belief", belief).filter("belief IS NOT NULL")
+    seen = within(agents, named.select("id", "x", "y"), distance).select(F.col("l_id").alias("agent"), F.col("r_id").alias("id"))
+    return seen.join(named.select("id", "belief"), "id").select("agent", "belief").distinct()
+
+
 def intentions(beliefs: DataFrame, rules: DataFrame) -> DataFrame:
     """(agent, desire, strength): the strongest desire that an agent's beliefs call up; of equals the first by name."""
     wanted = beliefs.join(rules, "belief").groupBy("agent").agg(F.min(F.struct((-F.col("strength")).alias("s"), "desire")).alias("m"))
@@ -116,6 +167,22 @@ def run_steps(agents: DataFrame, steps: int, step=hunger_step, cut_every: int =
     return agents
 
 
+def step_metrics(agents: DataFrame, step: int) -> DataFrame:
+    """(step, state, n, utility) of agents (id, state, roaming): how many are in each state, and the mean of 1 / (roaming + 1)."""
+    return agents.groupBy("state").agg(F.count("*").alias("n"), F.avg(1 / (F.col("roaming") + 1)).alias("utility")).select(F.lit(step).alias("step"), "state", "n", "utility")
+
+
+def destination(agents: DataFrame, places: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """(id, place): of the places (id, kind, x, y) of the kind that an agent's state asks for the one that it remembers, else the nearest."""
+    out = None
+    for (kind,) in places.select("kind").distinct().orderBy("kind").collect():  # a few kinds
+        own = nearest(agents.filter(F.col("state") == kind), places.filter(F.col("kind") == kind)).select(F.col("l_id").alias("id"), F.col("r_id").alias("place"))
+        out = own if out is None else out.unionByName(own)
+    if memory is None:
+        return out
+    return out.join(memory.select("id", F.col("place").alias("_known")), "id", "left").select("id", F.coalesce("_known", "place").alias("place"))
+
+
 def parity_grid(spark, width: int, height: int) -> DataFrame:
     """(x, y, dark) of a board."""
     return spark.range(width).withColumnRenamed("id", "x").crossJoin(spark.range(height).withColumnRenamed("id", "y")).withColumn("dark", F.pmod(F.col("x") + F.col("y"), F.lit(2)) == 1)
@@ -128,7 +195,7 @@ def messages_for(messages: DataFrame, performative: str, receiver: str | None =
 
 def pick_member(registry: DataFrame, kind: str, seed: int = 1) -> DataFrame:
     """One member of a category, at random but the same for a seed."""
-    return registry.filter(F.col("kind") == kind).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(1)
+    return registry.filter(F.col("kind") == kind).orderBy(uniform(seed, F.col("id")), "id").limit(1)
 
 
 def without_caught(agents: DataFrame, bad: DataFrame, guards: DataFrame, distance: float) -> DataFrame:
@@ -143,13 +210,38 @@ def followed(agents: DataFrame, choices: DataFrame, crowd: float = 0.3) -> DataF
     return agents.crossJoin(F.broadcast(last)).withColumn("choice", F.when((F.col("crowd") > crowd) & F.col("_lead").isNotNull(), F.col("_lead")).otherwise(F.col("choice"))).drop("_lead")
 
 
-def resets(step: Column, every: int) -> Column:
-    return F.pmod(step, F.lit(every)) == 0
+def resets(step: Column, every: int | None = None, p: float = 0.0, seed: int = 1, *keys: Column) -> Column:
+    """Whether something starts anew at a step: every so many of them, or with probability p by a draw from the keys and the step."""
+    due = F.pmod(step, F.lit(every)) == 0 if every else F.lit(False)
+    return due | (uniform(seed, step, *keys) < p) if p else due
+
+
+def scene_decision(music: Column, traits: Column, food: Column, crowd: Column, meat: Column, vegetarian: Column, vegan: Column, coin: Column) -> Column:
+    """What a guest does on hearing of a scene: "go" there, "leave" where it is bound, "eat", "leave_and_eat", or "stay" as it is.
+
+    Without its music it eats. An introvert leaves, and eats, where more than 20 are. A meat eater goes where
+    fewer than 8 vegans are and else leaves; a vegetarian where fewer than 25 eat meat or are vegan; a
+    vegan by a coin.
+    """
+    crowded = (crowd == "introvert") & (meat + vegetarian + vegan > 20)
+    by_food = F.when(food == "meat", F.when(vegan < 8, "go").otherwise("leave")).when(food == "vegetarian", F.when(meat + vegan < 25, "go").otherwise("stay")).when((food == "vegan") & coin, "go").otherwise("stay")
+    return F.when(~F.array_contains(traits, music), "eat").when(crowded, "leave_and_eat").otherwise(by_food)
+
+
+def restaurant_decision(food: Column, crowd: Column, served: Column, present: Column, hunger: Column, coin: Column) -> Column:
+    """What a guest does on hearing of a restaurant: "go", "leave" or "stay" as it is.
+
+    Where more than 10 are, an introvert goes only at a hunger above 400 and else leaves. Above 200, a guest
+    goes where its food is served, a vegetarian by a coin also to a vegan place.
+    """
+    full = (crowd == "introvert") & (present > 10)
+    wants = (hunger > 200) & (((food == "vegetarian") & (served == "vegan") & coin) | (served == food))
+    return F.when(full & (hunger > 400), "go").when(full, "leave").when(wants, "go").otherwise("stay")
 
 
-def guest_decision(music_match: Column, crowd: Column, hunger: Column, social: Column) -> Column:
-    """What a guest does: eats when very hungry, leaves a crowd beyond its limit, stays for its music, else roams."""
-    return F.when(hunger > 400, "eat").when(crowd > F.when(social, 20).otherwise(10), "leave").when(music_match, "stay").when(hunger > 200, "eat").otherwise("roam")
+def category_counts(registry: DataFrame) -> DataFrame:
+    """(kind, n) of a registry (id, kind)."""
+    return registry.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def move(agents: DataFrame, targets: DataFrame, speed: float, arrive: float = 2.0) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.storage import stored
+from lodestone.functions.draws import uniform
+from lodestone.plans.ranges import numbered
+from lodestone.plans.storage import release, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -53,11 +56,32 @@ def edge_reservoir(stream: DataFrame, slots: int, seed: int = 1) -> DataFrame:
     same distribution without a pass for each slot.
     """
     n = stream.agg(F.max("t").alias("n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("slot")), F.lit(1 << 40)) + 1) / float(1 << 40)
+    u = 1 - uniform(seed, F.col("slot"))
     drawn = stream.sparkSession.range(slots).withColumnRenamed("id", "slot").crossJoin(F.broadcast(n)).select("slot", F.least(F.ceil(u * F.col("n")), F.col("n")).alias("t"))
     return drawn.join(stream, "t").select("slot", "t", "src", "dst")
 
 
+def new_wedges(reservoir: DataFrame, edge: DataFrame) -> DataFrame:
+    """(centre, a, b): wedges, a < b, that one edge (src, dst) makes with the edges (src, dst) of a reservoir, each once."""
+    held = undirected(reservoir)
+    new = edge.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).filter("p <> q").distinct()
+    both = held.crossJoin(F.broadcast(new)).filter("NOT (a = p AND b = q)")
+    one = lambda centre, x, y: both.filter(f"{centre[0]} = {centre[1]}").select(F.col(centre[0]).alias("centre"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return one(("a", "p"), "b", "q").unionByName(one(("a", "q"), "b", "p")).unionByName(one(("b", "p"), "a", "q")).unionByName(one(("b", "q"), "a", "p")).distinct()
+
+
+def closed_wedges(wedges: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """Wedges (a, b, ...) that an edge closes: one between a and b, or directed one from b to a."""
+    back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    found = back if directed else back.unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return wedges.join(found.distinct(), ["a", "b"], "left_semi")
+
+
+def triangle_estimate(p: Column, t: Column, slots: Column, wedges: Column) -> tuple[Column, Column]:
+    """(transitivity, triangles) from the share p of closed wedge slots after t edges, and the reservoir's number of wedges."""
+    return 3 * p, p * t * t / (slots * (slots - 1)) * wedges
+
+
 def affinity(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions, each once."""
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -105,9 +129,10 @@ def initial_parts(nodes: DataFrame, parts: int, policy: str = "round_robin", see
     if policy == "round_robin":
         color = F.pmod("id", F.lit(parts))
     elif policy == "batch":
-        color = F.ceil(F.row_number().over(Window.orderBy("id")) * parts / F.count("*").over(Window.partitionBy())) - 1
+        n = nodes.count()
+        return numbered(nodes.select("id"), "_no", F.col("id")).select("id", F.floor(F.col("_no") * parts / max(n, 1)).cast("int").alias("color"))
     else:
-        color = F.floor(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30) * parts)
+        color = F.floor(uniform(seed, F.col("id")) * parts)
     return nodes.select("id", color.cast("int").alias("color"))
 
 
@@ -131,53 +156,166 @@ def temperature(t: float, least: float, delta: float, policy: str = "exponential
     return max(1.0, t - delta) if policy == "linear" else max(least, t * (1 - delta))
 
 
-def partition(edges: DataFrame, parts: int = 4, rounds: int = 50, t0: float = 2.0, least: float = 0.001, delta: float = 0.03, alpha: float = 2.0, seed: int = 0, near: int = 3, far: int = 6, start: str = "round_robin", policy: str = "hybrid", annealed: bool = True, restart: int = 500) -> tuple[DataFrame, DataFrame]:
-    """((id, color), (round, edge_cut, swaps)): parts of constant size with ever fewer edges between them.
+def schedule(rounds: int, t0: float = 2.0, least: float = 0.001, delta: float = 0.003, policy: str = "exponential", restart: int = 500) -> list[tuple[int, float]]:
+    """(round, temperature) of each round; it starts anew after rounds that ``restart`` divides, the first one among them."""
+    out, t = [], t0
+    for r in range(rounds):
+        out.append((r, t))
+        t = t0 if r % restart == 0 else temperature(t, least, delta, policy)
+    return out
+
+
+def partner_sample(edges: DataFrame, near: int, seed: int, r: int) -> DataFrame:
+    """(p, q): up to ``near`` neighbours of each node at random, of a symmetric table."""
+    pick = F.row_number().over(Window.partitionBy("src").orderBy(uniform(seed, r, F.col("src"), F.col("dst")), "dst"))
+    return edges.select("src", "dst", pick.alias("k")).filter(F.col("k") <= near).select(F.col("src").alias("p"), F.col("dst").alias("q"))
+
+
+def random_sample(ids: DataFrame, n: int, far: int, seed: int, r: int) -> DataFrame:
+    """(p, q): ``far`` draws for each node (id, no) from all n nodes, without the node itself."""
+    drawn = ids.select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(far))).alias("k"))
+    at = drawn.select("p", F.floor(uniform(seed, r, F.col("p"), F.col("k")) * max(n, 1)).cast("long").alias("no"))
+    return at.join(ids, "no").select("p", F.col("id").alias("q")).filter("p <> q").distinct()
+
 
-    In a round every node draws up to ``near`` neighbours and ``far`` other nodes as partners; an
-    exchange of colours scores by same-colour degrees to the power alpha before and after, and is
-    accepted if it gains, or, annealed, with probability exp(gain / t). Each node takes part in at
-    most one exchange of a round, the one that both of its ends prefer, so sizes never change.
+def exchange_gain(pairs: DataFrame, colored: DataFrame, degrees: DataFrame, alpha: float) -> DataFrame:
+    """(p, q, cp, cq, old, new): same-colour degrees to the power alpha of pairs of two colours, before and after an exchange."""
+    pairs = pairs.join(colored.select(F.col("id").alias("p"), F.col("color").alias("cp")), "p").join(colored.select(F.col("id").alias("q"), F.col("color").alias("cq")), "q").filter("cp <> cq")
+    for node, color, name in (("p", "cp", "pp"), ("q", "cq", "qq"), ("p", "cq", "pq"), ("q", "cp", "qp")):
+        pairs = pairs.join(degrees.select(F.col("id").alias(node), F.col("color").alias(color), F.col("degree").alias(name)), [node, color], "left")
+    power = lambda c: F.pow(F.coalesce(c, F.lit(0)).cast("double"), F.lit(float(alpha)))
+    return pairs.select("p", "q", "cp", "cq", (power("pp") + power("qq")).alias("old"), (power("pq") + power("qp")).alias("new"))
+
+
+def best_partners(pairs: DataFrame, colored: DataFrame, degrees: DataFrame, t: float = 1.0, alpha: float = 2.0) -> DataFrame:
+    """(p, q, new): of each node's candidates (p, q) the one of the greatest benefit, of equals the lesser id; none if no exchange is worth it.
+
+    A candidate counts if its benefit exceeds the node's degree in its own colour, and, times the
+    temperature, the present one.
+    """
+    scored = exchange_gain(pairs, colored, degrees, alpha)
+    own = degrees.join(colored, ["id", "color"]).select(F.col("id").alias("p"), F.col("degree").alias("own"))
+    good = scored.join(own, "p", "left").filter((F.col("new") > F.coalesce("own", F.lit(0))) & (F.col("new") * t > F.col("old")))
+    return good.groupBy("p").agg(F.max(F.struct("new", (-F.col("q")).alias("q"))).alias("m")).select("p", (-F.col("m.q")).alias("q"), "m.new")
+
+
+def partition(edges: DataFrame, parts: int = 4, rounds: int = 1000, t0: float = 2.0, least: float = 0.001, delta: float = 0.003, alpha: float = 2.0, seed: int = 0, near: int = 3, far: int = 6, start: str = "round_robin", policy: str = "hybrid", cooling: str = "exponential", restart: int = 500) -> tuple[DataFrame, DataFrame]:
+    """((id, color), (round, edge_cut, swaps, migrations)): parts of constant size with ever fewer edges between them.
+
+    In a round every node draws up to ``near`` neighbours, or, where that finds no partner or the policy
+    is "random", ``far`` other nodes; an exchange of colours scores by same-colour degrees to the power
+    alpha before and after, and is accepted with probability exp(gain / t). Each node takes part in at most
+    one exchange of a round, the one that both of its ends prefer, so sizes never change. swaps are counted
+    from the beginning, migrations are the nodes that are not in their first part.
     """
     spark = edges.sparkSession
     links = stored(affinity(edges).filter("src <> dst"))
-    ids = stored(links.select(F.col("src").alias("id")).distinct().withColumn("no", (F.row_number().over(Window.orderBy("id")) - 1).cast("long")))
+    ids = stored(numbered(links.select(F.col("src").alias("id")).distinct(), "no", F.col("id")))
     n = ids.count()
-    colored = stored(initial_parts(ids, parts, start, seed))
-    report, t = [], t0
-    for r in range(rounds):
-        if r % restart == 0:
-            t = t0
-        draw = lambda *c, r=r: F.xxhash64(F.lit(seed), F.lit(r), *c)
-        found = []
-        if policy in ("local", "hybrid"):
-            pick = F.row_number().over(Window.partitionBy("src").orderBy(draw("src", "dst")))
-            found.append(links.withColumn("k", pick).filter(F.col("k") <= near).select(F.col("src").alias("p"), F.col("dst").alias("q")))
-        if policy in ("random", "hybrid"):
-            other = ids.select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(far))).alias("k")).withColumn("no", F.pmod(draw("p", "k"), F.lit(max(n, 1))))
-            found.append(other.join(ids, "no").select("p", F.col("id").alias("q")))
-        pairs = found[0]
-        for f in found[1:]:
-            pairs = pairs.unionByName(f)
-        pairs = pairs.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-        pairs = pairs.join(colored.select(F.col("id").alias("p"), F.col("color").alias("cp")), "p").join(colored.select(F.col("id").alias("q"), F.col("color").alias("cq")), "q").filter("cp <> cq")
+    first = colored = stored(initial_parts(ids, parts, start, seed))
+    report, swapped = [], 0
+    for r, t in schedule(rounds, t0, least, delta, cooling, restart):
         have = stored(color_degrees(links, colored))
-        for node, color, name in (("p", "cp", "pp"), ("q", "cq", "qq"), ("p", "cq", "pq"), ("q", "cp", "qp")):
-            pairs = pairs.join(have.select(F.col("id").alias(node), F.col("color").alias(color), F.col("degree").alias(name)), [node, color], "left")
-        power = lambda c: F.pow(F.coalesce(c, F.lit(0)).cast("double"), F.lit(alpha))
-        gain = power("pq") + power("qp") - power("pp") - power("qq")
-        luck = F.pmod(draw("p", "q", F.lit("luck")), F.lit(1 << 30)) / float(1 << 30)
-        accept = (gain > 0) | ((F.exp(F.greatest(gain / max(t - (least if annealed else 0), 1e-9), F.lit(-50.0))) > luck) & F.lit(annealed and t > least * 1.0001) & (gain < 0))
-        offers = stored(pairs.withColumn("gain", gain).filter(accept).select("p", "q", "cp", "cq", "gain"))
+
+        def accepted(pairs, r=r, t=t, have=have, colored=colored):
+            both = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+            scored = exchange_gain(both, colored, have, alpha).withColumn("gain", F.col("new") - F.col("old"))
+            return scored.filter(F.exp(F.greatest(F.least(F.col("gain") / t, F.lit(50.0)), F.lit(-50.0))) > uniform(seed, r, F.col("p"), F.col("q"), "luck"))
+
+        offers = accepted(partner_sample(links, near, seed, r)) if policy != "random" else None
+        if policy != "local":
+            others = random_sample(ids, n, far, seed, r)
+            if offers is not None:
+                offers = stored(offers)
+                placed = offers.select(F.col("p").alias("p")).union(offers.select("q")).distinct()
+                others = others.join(placed, "p", "left_anti")
+            offers = accepted(others) if offers is None else offers.unionByName(accepted(others)).distinct()
+        offers = stored(offers)
         order = F.struct("gain", -F.col("p"), -F.col("q"))
         ends = offers.select(F.col("p").alias("id"), order.alias("o")).union(offers.select(F.col("q").alias("id"), order.alias("o"))).groupBy("id").agg(F.max("o").alias("best"))
         swaps = offers.withColumn("o", order).join(ends.select(F.col("id").alias("p"), F.col("best").alias("bp")), "p").join(ends.select(F.col("id").alias("q"), F.col("best").alias("bq")), "q").filter("o = bp AND o = bq")
         swaps = stored(swaps.select("p", "q", "cp", "cq"))
         new = swaps.select(F.col("p").alias("id"), F.col("cq").alias("new")).union(swaps.select(F.col("q").alias("id"), F.col("cp").alias("new")))
-        colored = stored(colored.join(new, "id", "left").select("id", F.coalesce("new", "color").alias("color")))
-        report.append((r, edge_cut(links, colored).first()[0], swaps.count()))
-        t = temperature(t, least, delta)
-    return colored, spark.createDataFrame(report, "round int, edge_cut long, swaps long")
+        last, colored = colored, stored(colored.join(new, "id", "left").select("id", F.coalesce("new", "color").alias("color")))
+        swapped += swaps.count()
+        report.append((r, edge_cut(links, colored).first()[0], swapped, migrations(first, colored).first()[0]))
+        release(have, offers, swaps, *([last] if last is not first else []))
+    return colored, spark.createDataFrame(report, "round int, edge_cut long, swaps long, migrations long")
+
+
+def migrations(first: DataFrame, colored: DataFrame) -> DataFrame:
+    """(migrations): nodes whose part isn't the one they began in."""
+    both = first.select("id", F.col("color").alias("_first")).join(colored, "id")
+    return both.agg(F.count_if(F.col("_first") != F.col("color")).alias("migrations"))
+
+
+def append_report(report: DataFrame, path: str) -> None:
+    """Add the rows of a run's report to those that a folder has."""
+    report.write.mode("append").parquet(path)
+
+
+#: Edges up to which a graph is sent whole to every task of a sweep (16 bytes each, 32 MB).
+SWEEP_EDGES = 2_000_000
+
+
+def sweep(edges: DataFrame, grid: DataFrame, parts: int = 4) -> DataFrame:
+    """grid (t0, least, delta, alpha, rounds, seed) with first_cut, edge_cut, swaps and migrations of a run node after node with each row.
+
+    Runs are independent, one a task; the graph is shared by all, so one of more than SWEEP_EDGES edges is
+    refused, and ``partition`` is there for it. A node tries one neighbour of three drawn, then one of six
+    nodes drawn, and exchanges with probability exp(gain / t).
+    """
+    pairs = undirected(edges)
+    table = pairs.limit(SWEEP_EDGES + 1).toPandas()
+    if len(table) > SWEEP_EDGES:
+        raise ValueError(f"more than {SWEEP_EDGES} edges")
+    shared = edges.sparkSession.sparkContext.broadcast((table["a"].to_numpy(), table["b"].to_numpy()))
+    names = ["t0", "least", "delta", "alpha", "rounds", "seed"]
+
+    def run(batches):
+        for rows in batches:
+            found = [anneal(*shared.value, parts=parts, **{k: r[k] for k in names}) for r in rows[names].to_dict("records")]
+            rows[["first_cut", "edge_cut", "swaps", "migrations"]] = found if found else np.zeros((0, 4), np.int64)
+            yield rows
+
+    wanted = grid.select(F.col("t0").cast("double"), F.col("least").cast("double"), F.col("delta").cast("double"), F.col("alpha").cast("double"), F.col("rounds").cast("int"), F.col("seed").cast("int"))
+    return wanted.repartition(max(1, grid.count())).mapInPandas(run, wanted.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", first_cut long, edge_cut long, swaps long, migrations long")
+
+
+def anneal(a: np.ndarray, b: np.ndarray, parts: int, t0: float, least: float, delta: float, alpha: float, rounds: int, seed: int, restart: int = 500) -> tuple[int, int, int, int]:
+    """(first cut, last cut, swaps, migrations) of one run, node after node."""
+    names, flat = np.unique(np.r_[a, b], return_inverse=True)
+    n, a, b = len(names), flat[: len(a)], flat[len(a) :]
+    around: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        around[x].append(y)
+        around[y].append(x)
+    color = [i % parts for i in range(n)]
+    have = [[0] * parts for _ in range(n)]
+    for x in range(n):
+        for y in around[x]:
+            have[x][color[y]] += 1
+    cut = lambda: sum(color[x] != color[y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    first, begun, swaps, rng = cut(), list(color), 0, random.Random(seed)
+    for _, t in schedule(rounds, t0, least, delta, "exponential", restart):
+        for p in range(n):
+            for pool in (around[p], None):
+                if pool is not None and not pool:
+                    continue
+                q = rng.choice(pool) if pool is not None else rng.randrange(n)
+                cp, cq = color[p], color[q]
+                gain = have[p][cq] ** alpha + have[q][cp] ** alpha - have[p][cp] ** alpha - have[q][cq] ** alpha
+                if gain < 0 and math.exp(max(gain / t, -700.0)) <= rng.random():
+                    continue
+                if cp != cq:
+                    color[p], color[q] = cq, cp
+                    for x, old, new in ((p, cp, cq), (q, cq, cp)):
+                        for y in around[x]:
+                            have[y][old] -= 1
+                            have[y][new] += 1
+                swaps += 1
+                break
+    return first, cut(), swaps, sum(x != y for x, y in zip(begun, color, strict=True))
 
 
 def acceptance(gain: Column, t: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.storage import stored
@@ -52,6 +52,21 @@ def rules(pairs: DataFrame, itemsets: DataFrame, confidence: float = 0.5) -> Dat
     return both.select("lhs", "rhs", (F.col("both") / F.col("n")).alias("confidence")).filter(F.col("confidence") > confidence)
 
 
+def by_confidence(found: DataFrame) -> DataFrame:
+    """Rules from the surest on; of equals by their items."""
+    return found.orderBy(F.desc("confidence"), "lhs", "rhs")
+
+
+def contains_all(items: Column, wanted: Column) -> Column:
+    """Whether an array holds every element of another one."""
+    return F.size(F.array_intersect(items, wanted)) == F.size(F.array_distinct(wanted))
+
+
+def largest_item(pairs: DataFrame) -> DataFrame:
+    """(item): the greatest of all baskets."""
+    return pairs.agg(F.max("item").alias("item"))
+
+
 def support_of(pairs: DataFrame, itemset: list) -> DataFrame:
     """(freq) of one itemset."""
     wanted = sorted(set(itemset))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.draws import uniform
+
 IRIS_BOUNDS = {"sepal_length": (4.5, 8.0), "sepal_width": (2.1, 4.5), "petal_length": (1.2, 7.0), "petal_width": (0.2, 2.5)}
 _RANGES = {"Virginica": ((5.5, 8), (2.2, 3.8), (4.5, 7), (1.4, 2.5)), "Versicolor": ((4.5, 7.5), (2.1, 3.5), (3.1, 5.5), (1.0, 1.8)), "Setosa": ((4.5, 6), (2.3, 4.5), (1.2, 2), (0.3, 0.7))}
 
@@ -42,26 +44,103 @@ def require(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     return df
 
 
+def feature_view(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """df's features as one vector, with its label; rows with a null feature are left out."""
+    from pyspark.ml.feature import VectorAssembler
+
+    named = df.select(*features, F.col(label).alias("label"))
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(named).select("features", "label")
+
+
+def insert_features(group: str, rows: DataFrame, key: list[str], order: str | None = None) -> None:
+    """Add rows to a stored feature group; readers see the last row of each key."""
+    rows.withColumn("_batch", F.expr("unix_micros(current_timestamp())") if order is None else F.col(order).cast("long")).write.mode("append").parquet(group)
+
+
+def read_features(spark, group: str, key: list[str]) -> DataFrame:
+    """The rows of a feature group, one a key, the one added last."""
+    rows = spark.read.parquet(group)
+    names = [c for c in rows.columns if c not in (*key, "_batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*names), "_batch").alias("_s")).select(*key, "_s.*")
+
+
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(training, test) rows by a hash of the key, the same in every run."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    """(training, test) rows by a draw from the key, the same in every run."""
+    u = uniform(seed, F.col(key))
     return df.filter(u >= test), df.filter(u < test)
 
 
+#: Rows that one task compares with as many others.
+KNN_BLOCK = 4096
+
+
 def knn(train: DataFrame, queries: DataFrame, k: int = 2, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, prediction): the majority of the k nearest other rows by Euclidean distance; of equal votes the nearest decides, of equal distances the lesser key."""
-    t = train.select(F.col(key).alias("t_id"), F.col(vector).cast("array<double>").alias("t"), F.col(label).alias("t_label"))
-    q = queries.select(F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q"))
-    first = train.select(F.size(vector).alias("n")).filter("n > 0").first()
-    # spelled out by dimension, the distance is compiled; a lambda would be interpreted for each pair
-    far = functools.reduce(lambda s, x: s + x, [(F.col("q")[i] - F.col("t")[i]) * (F.col("q")[i] - F.col("t")[i]) for i in range(first["n"] if first else 0)], F.lit(0.0))
-    pairs = q.crossJoin(t).filter("q_id <> t_id").select("q_id", F.struct(far.alias("far"), "t_id", "t_label").alias("n"))
-    if k <= 2:  # with two votes the nearest decides, and a minimum is combined before the shuffle
-        return pairs.groupBy("q_id").agg(F.min("n").alias("n")).select(F.col("q_id").alias(key), F.col("n.t_label").alias("prediction"))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy("n"))
-    near = pairs.withColumn("place", place).filter(F.col("place") <= k)
-    vote = near.groupBy("q_id", F.col("n.t_label").alias("l")).agg(F.count("*").alias("votes"), F.min("place").alias("place"))
-    return vote.groupBy("q_id").agg(F.max_by("l", F.struct("votes", -F.col("place"))).alias("prediction")).select(F.col("q_id").alias(key), "prediction")
+    """(key, prediction): the majority of the k nearest other rows by Euclidean distance; of equal votes the nearest decides, of equal distances the lesser key.
+
+    Both sides are cut into blocks of about KNN_BLOCK rows; a task compares two blocks and gives the k best
+    of each query, so what is shuffled beyond the blocks is k rows for each query and block. Rows with a
+    null vector, or one of another length than the query's, are no neighbours.
+    """
+    t = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(label).cast("string").alias("label")).filter("id IS NOT NULL AND vec IS NOT NULL")
+    q = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
+    t_blocks, q_blocks = (max(1, -(-x.count() // KNN_BLOCK)) for x in (t, q))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")}).withColumn("tb", every(t_blocks))
+    right = t.withColumns({"tb": F.pmod(F.xxhash64("id"), F.lit(t_blocks)).cast("int")}).withColumn("qb", every(q_blocks))
+    kind = q.schema["id"].dataType.simpleString()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if a.num_rows and b.num_rows:
+            sizes = {len(v) for v in b["vec"].to_pylist()}
+            for dim in sizes:
+                rows = np.array([i for i, v in enumerate(b["vec"].to_pylist()) if len(v) == dim])
+                x = np.array([b["vec"][int(i)].as_py() for i in rows], float).reshape(len(rows), dim)
+                ids = np.array(b["id"].take(pa.array(rows)).to_pylist())
+                names = b["label"].take(pa.array(rows)).to_pylist()
+                for i, v in zip(a["id"].to_pylist(), a["vec"].to_pylist(), strict=True):
+                    if len(v) != dim:
+                        continue
+                    far = np.zeros(len(x))
+                    for d in range(dim):
+                        far += (x[:, d] - v[d]) ** 2  # in the order of the dimensions, as SQL adds them
+                    far[ids == i] = np.inf
+                    best = np.lexsort((ids, far))[:k] if k > 1 else [np.lexsort((ids, far))[0]]
+                    for j in best:
+                        if np.isfinite(far[j]):
+                            for o, value in zip(out, (i, float(far[j]), ids[j].item(), names[j]), strict=True):
+                                o.append(value)
+        return pa.table([pa.array(o, ty) for o, ty in zip(out, (b.schema.field("id").type, pa.float64(), b.schema.field("id").type, pa.string()), strict=True)], ["q_id", "far", "t_id", "t_label"])
+
+    found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInArrow(run, f"q_id {kind}, far double, t_id {kind}, t_label string")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("far", "t_id"))
+    near = found.withColumn("place", place).filter(F.col("place") <= k)
+    vote = near.groupBy("q_id", F.col("t_label").alias("l")).agg(F.count("*").alias("votes"), F.min("place").alias("place"))
+    best = vote.groupBy("q_id").agg(F.max_by("l", F.struct("votes", -F.col("place"))).alias("prediction"))
+    return best.select(F.col("q_id").alias(key), F.col("prediction").cast(train.schema[label].dataType).alias("prediction"))
+
+
+def save_model(train: DataFrame, path: str, k: int = 2, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> None:
+    """Store a nearest-neighbour classifier: its rows and its parameters."""
+    train.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label")).write.mode("overwrite").parquet(f"{path}/rows")
+    train.sparkSession.createDataFrame([(k,)], "k int").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+
+
+def load_model(spark, path: str):
+    """The stored classifier as a function of (key, vector) rows to (key, prediction)."""
+    rows, k = spark.read.parquet(f"{path}/rows"), spark.read.json(f"{path}/parameters").first()["k"]
+    return lambda queries: knn(rows, queries.select("key", "vector"), k, "key", "vector", "label")
+
+
+def predict_one(model, spark, *measures: float):
+    """The class of one row of measures."""
+    found = model(spark.createDataFrame([(-1, list(map(float, measures)))], "key long, vector array<double>")).first()
+    return found["prediction"] if found else None
+
+
+def square(x: Column) -> Column:
+    """x squared, as a remote scalar function is called: a vectorised UDF."""
+    return F.pandas_udf(lambda s: s * s, "double")(x.cast("double"))
 
 
 def confusion(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

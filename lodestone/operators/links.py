@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.storage import stored
+from lodestone.functions.draws import uniform
+from lodestone.plans.ranges import numbered
+from lodestone.plans.storage import release, stored
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, r
     if not n:
         return node.select("id", F.lit(0.0).alias("rank"))
     begin = F.lit(1.0 / n) if start == "uniform" else (F.col("id") == first).cast("double")
-    rank = node.select("id", "degree", begin.alias("rank"))
+    rank, last = node.select("id", "degree", begin.alias("rank")), None
     for _ in range(rounds):
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         flow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
@@ -35,63 +37,69 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, r
         value = damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n) + (1 - damping) / n
         new = new.select("id", "degree", value.alias("rank"), "old")
         new = stored(new)  # a round reads the last one three times
-        rank = new.drop("old")
+        release(last)
+        rank, last = new.drop("old"), new
         if tolerance > 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= tolerance:
             break
     return rank.select("id", "rank")
 
 
-def random_walks(edges: DataFrame, walks: int, start: str = "random", count: str = "end", damping: float = 0.85, seed: int = 1, steps: int = 200) -> DataFrame:
-    """(id, rank) estimated by walks that go on with probability ``damping``.
+def random_walks(edges: DataFrame, walks: int, start: str = "random", count: str = "end", damping: float = 0.85, seed: int = 1, block: int = 8) -> DataFrame:
+    """(id, rank) estimated by walks that go on with probability ``damping``, until every one has ended.
 
     start: each walk begins at a random node, or they take the nodes in turn ("cyclic"). count: where
     a walk ends ("end", dangling nodes jump anywhere) or every visit ("path", a dangling node ends it).
+    ``block`` steps make one job; a walk that has ended waits at its node until the job is done.
     """
-    links = stored(edges.select("src", "dst").distinct().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("out")))
-    ids = nodes_of(edges)
-    node = stored(ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("no")))
+    links = stored(edges.select("src", "dst").distinct())
+    node = stored(numbered(nodes_of(links), "no", F.col("id")))
     n = node.count()
-    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("walk")), F.lit(1 << 40)) / float(1 << 40)
+    if not n:
+        return node.select("id", F.lit(0.0).alias("rank"))
+    to = links.join(node.select(F.col("id").alias("src"), F.col("no").alias("from")), "src").join(node.select(F.col("id").alias("dst"), "no"), "dst")
+    lists = to.groupBy(F.col("from").alias("no")).agg(F.sort_array(F.collect_list("no")).alias("out"))
+    out = stored(node.select("no").join(lists, "no", "left"))
     walk = node.sparkSession.range(walks).withColumnRenamed("id", "walk")
-    no = F.pmod("walk", F.lit(n)) if start == "cyclic" else F.floor(draw("start") * n)
-    at = stored(walk.withColumn("no", no.cast("long")).join(node, "no").select("walk", "id"))
-    visits = [at] if count == "path" else []
-    ended = []
-    for i in range(steps):
-        going = at.filter(draw(f"go{i}") < damping)
-        if count == "end":
-            ended.append(at.join(going.select("walk"), "walk", "left_anti"))
-        moved = going.join(links, going.id == links.src, "left")
-        there = F.col("out")[F.floor(draw(f"to{i}") * F.size("out")).cast("int")]
-        if count == "end":
-            lost = moved.filter("out IS NULL").withColumn("no", F.floor(draw(f"jump{i}") * n).cast("long")).select("walk", "no").join(node, "no").select("walk", "id")
-            at = stored(moved.filter("out IS NOT NULL").select("walk", there.alias("id")).union(lost))
-        else:
-            at = stored(moved.filter("out IS NOT NULL").select("walk", there.alias("id")))
-            visits.append(at)
+    no = F.pmod("walk", F.lit(n)) if start == "cyclic" else F.floor(uniform(seed, "start", F.col("walk")) * n)
+    at, counts, i, last = walk.select("walk", no.cast("long").alias("no")), None, 0, None
+    fresh = count == "path"
+    while True:
+        rows = at.withColumns({"alive": F.lit(True), "path": F.array("no") if fresh else F.array().cast("array<bigint>")})
+        for i in range(i, i + block):
+            rows = rows.join(out, "no")
+            size = F.coalesce(F.size("out"), F.lit(0))
+            go = F.col("alive") & (uniform(seed, "go", i, F.col("walk")) < damping)
+            if count == "path":
+                go = go & (size > 0)
+            there = F.col("out")[F.floor(uniform(seed, "to", i, F.col("walk")) * size).cast("int")]
+            there = F.when(size > 0, there).otherwise(F.floor(uniform(seed, "jump", i, F.col("walk")) * n).cast("long"))
+            rows = rows.select("walk", F.when(go, there).otherwise(F.col("no")).alias("no"), go.alias("alive"), F.when(go, F.array_append("path", there)).otherwise(F.col("path")).alias("path"))
+        i += 1
+        rows, fresh = stored(rows), False
+        seen = rows.select(F.explode("path").alias("no")) if count == "path" else rows.filter("NOT alive").select("no")
+        part = seen.groupBy("no").agg(F.count("*").alias("n"))
+        before, counts = counts, stored(part if counts is None else part.unionByName(counts).groupBy("no").agg(F.sum("n").alias("n")))
+        release(before, last)
+        at, last = rows.filter("alive").select("walk", "no"), rows
         if at.isEmpty():
             break
-    parts = visits if count == "path" else [*ended, at]
-    seen = parts[0].select("id")
-    for p in parts[1:]:
-        seen = seen.unionByName(p.select("id"))
-    counts = stored(seen.groupBy("id").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("total"))
-    return ids.join(counts, "id", "left").crossJoin(F.broadcast(total)).select("id", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("rank"))
+    return node.join(counts, "no", "left").crossJoin(F.broadcast(total)).select("id", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("rank"))
 
 
-def walks_until_stable(edges: DataFrame, batch: int = 10_000, checks: int = 6, k: int = 30, seed: int = 1, most: int = 100) -> DataFrame:
-    """Path estimates over ever more walks, until the order of the k best holds in ``checks`` successive checks."""
+def walks_until_stable(edges: DataFrame, batch: int = 10_000, checks: int = 6, k: int = 30, seed: int = 1, most: int = 1000) -> DataFrame:
+    """Path estimates over ever more walks, until the order of the k best holds in ``checks`` successive checks; an error if ``most`` batches don't suffice."""
     same, before, total = 0, None, None
     for i in range(most):
         one = random_walks(edges, batch, "random", "path", seed=seed + i)
-        total = stored(one if total is None else total.unionByName(one).groupBy("id").agg(F.sum("rank").alias("rank")))
+        last, total = total, stored(one if total is None else total.unionByName(one).groupBy("id").agg(F.sum("rank").alias("rank")))
+        release(last)
         order = [r["id"] for r in total.orderBy(F.desc("rank"), "id").limit(k).collect()]
         same = same + 1 if order == before else 0
         before = order
         if same >= checks:
-            break
-    return total.select("id", (F.col("rank") / (i + 1)).alias("rank"))
+            return total.select("id", (F.col("rank") / (i + 1)).alias("rank"))
+    raise RuntimeError(f"the order of the {k} best didn't settle in {most} batches")
 
 
 def goodness(ranks: DataFrame, other: DataFrame, k: int = 30) -> DataFrame:
@@ -119,7 +127,7 @@ def hits(edges: DataFrame, root: DataFrame | None = None, tolerance: float = 1e-
         ids = base
     links = stored(links)
     ids = nodes_of(links) if root is None else ids
-    score = ids.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
+    score, last = ids.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), None
     unit = lambda c: F.when(F.col("length") > 0, F.col(c) / F.col("length")).otherwise(0.0)
     for _ in range(rounds):
         taken = links.join(score.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("in"))
@@ -128,7 +136,8 @@ def hits(edges: DataFrame, root: DataFrame | None = None, tolerance: float = 1e-
         size = raw.agg(F.sqrt(F.sum(F.col("in") * F.col("in"))).alias("l_in"), F.sqrt(F.sum(F.col("out") * F.col("out"))).alias("l_out"))
         new = raw.crossJoin(F.broadcast(size)).select("id", F.when(F.col("l_out") > 0, F.col("out") / F.col("l_out")).otherwise(0.0).alias("hub"), F.when(F.col("l_in") > 0, F.col("in") / F.col("l_in")).otherwise(0.0).alias("authority"), (F.col("hub")).alias("old_hub"), F.col("authority").alias("old_authority"))
         new = stored(new)
-        score = new.select("id", "hub", "authority")
+        release(raw, last)
+        score, last = new.select("id", "hub", "authority"), new
         if tolerance > 0:
             change = new.agg(F.sum(F.abs(F.col("hub") - F.col("old_hub")) + F.abs(F.col("authority") - F.col("old_authority")))).first()[0]
             if change is None or change < tolerance:
@@ -136,9 +145,9 @@ def hits(edges: DataFrame, root: DataFrame | None = None, tolerance: float = 1e-
     return score
 
 
-def hits_ranking(root: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
+def hits_ranking(root: DataFrame, edges: DataFrame, key: str = "doc_id", tolerance: float = 1e-3, rounds: int = 1000) -> DataFrame:
     """(doc_id, score): hub plus authority of each document of the root set, 0 where it has no links."""
-    found = hits(edges, root.select(F.col(key).alias("id")))
+    found = hits(edges, root.select(F.col(key).alias("id")), tolerance, rounds)
     return root.join(found.withColumnRenamed("id", key), key, "left").select(key, (F.coalesce("hub", F.lit(0.0)) + F.coalesce("authority", F.lit(0.0))).alias("score"))
 
 

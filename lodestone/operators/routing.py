@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.ranges import running
 from lodestone.plans.storage import stored
 
 
@@ -24,15 +27,15 @@ def routing_table(links: DataFrame, gateways: DataFrame, most: int = 10_000) ->
     Nodes that can't be reached have no row.
     """
     edges = stored(links.select("src", "dst").distinct())
-    known = stored(gateways.select("node", F.col("node").alias("gateway"), F.lit(0).alias("hops")).distinct())
-    front = known
+    fronts = [stored(gateways.select("node", F.col("node").alias("gateway"), F.lit(0).alias("hops")).distinct())]
     for i in range(1, most):
-        new = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("gateway").alias("gateway")).join(known.select("node"), "node", "left_anti")
+        known = reduce(DataFrame.unionByName, fronts)
+        new = fronts[-1].join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("gateway").alias("gateway")).join(known.select("node"), "node", "left_anti")
         front = stored(new.select("node", "gateway", F.lit(i).alias("hops")))
         if front.isEmpty():
-            break
-        known = stored(known.unionByName(front))
-    return known
+            return known
+        fronts.append(front)
+    raise RuntimeError(f"paths of more than {most} hops")
 
 
 def route(table: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -45,13 +48,38 @@ def between(key: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, F.lit(True)).when(low < high, (key > low) & (key <= high)).otherwise((key > low) | (key <= high))
 
 
+def interfaces_add(interfaces: DataFrame, name: str, ref: str, pid: str) -> DataFrame:
+    """(name, ref, pid) with one entry for the name, the new one."""
+    row = interfaces.sparkSession.createDataFrame([(name, ref, pid)], "name string, ref string, pid string")
+    return interfaces_remove(interfaces, name).unionByName(row)
+
+
+def interfaces_remove(interfaces: DataFrame, name: str) -> DataFrame:
+    return interfaces.filter(F.col("name") != name)
+
+
+def interfaces_lookup(interfaces: DataFrame, wanted: DataFrame, by: str = "name") -> DataFrame:
+    """wanted (name, or ref) with the other two columns, null where it isn't found."""
+    return wanted.select(by).join(interfaces, by, "left").select("name", "ref", "pid")
+
+
+def interfaces_broadcast(interfaces: DataFrame, message: str) -> DataFrame:
+    """(pid, message) for every interface."""
+    return interfaces.select("pid", F.lit(message).alias("message"))
+
+
 def ring(nodes: DataFrame, node: str = "node") -> DataFrame:
     """(node, predecessor, successor) in the order of ids, closed at the ends."""
     ids = nodes.select(F.col(node).alias("node")).distinct()
-    w = Window.orderBy("node")
     ends = ids.agg(F.min("node").alias("_min"), F.max("node").alias("_max"))
-    out = ids.select("node", F.lag("node").over(w).alias("_p"), F.lead("node").over(w).alias("_s")).crossJoin(F.broadcast(ends))
-    return out.select("node", F.coalesce("_p", "_max").alias("predecessor"), F.coalesce("_s", "_min").alias("successor"))
+    up = running(ids, [F.col("node")], {"_p": ("max", F.col("node"))}, inclusive=False)
+    both = running(up, [F.desc("node")], {"_s": ("min", F.col("node"))}, inclusive=False).crossJoin(F.broadcast(ends))
+    return both.select("node", F.coalesce("_p", "_max").alias("predecessor"), F.coalesce("_s", "_min").alias("successor"))
+
+
+def without_failed(nodes: DataFrame, failed: DataFrame, node: str = "node") -> DataFrame:
+    """The ring after some nodes have failed: each gap is closed by the next living node."""
+    return ring(nodes.join(failed.select(node), node, "left_anti"), node)
 
 
 def owners(nodes: DataFrame, keys: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
@@ -79,9 +107,10 @@ def hand_over(store: DataFrame, low: int, high: int, key: str = "key") -> tuple[
     return store.filter(inside), store.filter(~inside)
 
 
-def probe(nodes: DataFrame) -> DataFrame:
-    """(path): all nodes of the ring in order."""
-    return nodes.agg(F.sort_array(F.collect_set("node")).alias("path"))
+def probe(nodes: DataFrame, seconds: float | None = None) -> DataFrame:
+    """(path, seconds): all nodes of the ring in order; the round trip, if one hop takes ``seconds``."""
+    path = nodes.agg(F.sort_array(F.collect_set("node")).alias("path"))
+    return path.withColumn("seconds", F.size("path") * F.lit(seconds).cast("double"))
 
 
 def lookup_check(requests: DataFrame) -> DataFrame:
@@ -89,6 +118,12 @@ def lookup_check(requests: DataFrame) -> DataFrame:
     return requests.agg(F.count("*").alias("total"), F.count_if(~F.col("found") & ~F.col("timed_out")).alias("failed"), F.count_if("timed_out").alias("timeouts"))
 
 
+def request_rate(requests: DataFrame) -> DataFrame:
+    """(clients, requests, seconds, per_second) of requests (client, began, ended) that clients made side by side."""
+    told = requests.agg(F.count_distinct("client").alias("clients"), F.count("*").alias("requests"), (F.max("ended") - F.min("began")).alias("seconds"))
+    return told.withColumn("per_second", F.try_divide("requests", "seconds"))
+
+
 def parse_http(requests: DataFrame, raw: str = "raw") -> DataFrame:
     """requests with method, uri, version, headers and body of the text of each."""
     head = F.substring_index(F.col(raw), "\r\n\r\n", 1)

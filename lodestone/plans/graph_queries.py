@@ -1 +1,389 @@
-"""Queries."""
+"""Queries of links, similarity, itemsets, graphs, learning and file formats, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.functions.draws import uniform_sql
+from lodestone.operators import graphs, itemsets, learn, links, similar
+from lodestone.plans import queries as base
+from lodestone.plans.ranges import numbered
+from lodestone.plans.registry import query, table
+
+_PARTS, _TOGETHER, _BASKETS = base._PARTS, base._TOGETHER, base._BASKETS
+
+# links
+
+
+def _walk_sql(walks: int, start: str, count: str, seed: int = 1, damping: float = 0.85) -> str:
+    u = lambda kind, *more: uniform_sql(str(seed), f"'{kind}'", *more)
+    first = "walk % (SELECT count(*) FROM n)" if start == "cyclic" else f"floor({u('start', 'walk')} * (SELECT count(*) FROM n))::BIGINT"
+    go = f"{u('go', 'i', 'walk')} < {damping}" + (" AND len(o) > 0" if count == "path" else "")
+    to = f"CASE WHEN len(o) > 0 THEN o[floor({u('to', 'i', 'walk')} * len(o))::INT + 1] ELSE floor({u('jump', 'i', 'walk')} * (SELECT count(*) FROM n))::BIGINT END"
+    seen = "SELECT no FROM w" if count == "path" else "SELECT arg_max(no, i) AS no FROM w GROUP BY walk"
+    return f"""WITH RECURSIVE {_PARTS}, n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
+o AS MATERIALIZED (SELECT n.no, coalesce(list(t.no ORDER BY t.no) FILTER (WHERE t.no IS NOT NULL), []) AS o FROM n LEFT JOIN e ON e.src = n.id LEFT JOIN n t ON t.id = e.dst GROUP BY n.no),
+w AS (SELECT walk, {first} AS no, 0 AS i FROM range({walks}) r(walk) UNION ALL SELECT walk, {to}, i + 1 FROM w JOIN o USING (no) WHERE {go}),
+c AS (SELECT no, count(*) AS k FROM ({seen}) GROUP BY no) SELECT id, round(coalesce(k, 0) / (SELECT sum(k) FROM c), 9) AS rank FROM n LEFT JOIN c USING (no)"""
+
+
+def _walks(name: str, start: str, count: str):
+    def run(spark, sf_dir):
+        return links.random_walks(base.next_parts(spark, sf_dir), 3000, start, count).select("id", F.round("rank", 9).alias("rank"))
+
+    query(name, _walk_sql(3000, start, count))(run)
+
+
+_walks("la02_walks_end_random", "random", "end")
+_walks("la03_walks_end_cyclic", "cyclic", "end")
+_walks("la04_walks_path_cyclic", "cyclic", "path")
+_walks("la05_walks_path_random", "random", "path")
+
+
+@query("la01_pagerank_converged", base._pagerank_sql(40).replace("round(rank, 9)", "round(rank, 8)"))
+def la01_converged(spark, sf_dir):
+    return links.pagerank(base.next_parts(spark, sf_dir), tolerance=1e-11).select("id", F.round("rank", 8).alias("rank"))
+
+
+def _goodness_sql() -> str:
+    sql = base._pagerank_sql(4)
+    head = sql[: sql.rindex(" SELECT id, round(")]
+    return f"{head}, t AS (SELECT id FROM r4 ORDER BY round(rank, 12) DESC, id LIMIT 30), b AS (SELECT id, a.rank AS x, z.rank AS y FROM r4 a JOIN r2 z USING (id)) SELECT round(sum((x - y) ** 2) FILTER (WHERE id IN (SELECT id FROM t)), 12) AS top_squared, round(sum(abs(x - y)), 9) AS l1 FROM b"
+
+
+@query("la07_goodness", _goodness_sql())
+def la07(spark, sf_dir):
+    edges = base.next_parts(spark, sf_dir)
+    ranks = lambda n: links.pagerank(edges, tolerance=0, rounds=n).withColumn("rank", F.col("rank"))
+    found = links.goodness(ranks(4).withColumn("rank", F.round("rank", 12)), ranks(2).withColumn("rank", F.round("rank", 12)))
+    return found.select(F.round("top_squared", 12).alias("top_squared"), F.round("l1", 9).alias("l1"))
+
+
+@query("la08_base_set", f"WITH {_PARTS} SELECT id FROM (SELECT src AS id FROM e WHERE src % 400 = 1 UNION SELECT dst FROM e WHERE dst % 400 = 1 UNION SELECT dst FROM e WHERE src % 400 = 1 UNION SELECT src FROM e WHERE dst % 400 = 1)")
+def la08_base(spark, sf_dir):
+    edges = base.next_parts(spark, sf_dir)
+    return links.base_set(edges, links.nodes_of(edges).filter("id % 400 = 1"))
+
+
+def _local_hits_sql(rounds: int) -> str:
+    ctes = [_PARTS.replace("e AS MATERIALIZED", "g AS MATERIALIZED"), "root AS (SELECT DISTINCT src AS id FROM g WHERE src % 400 = 1)", "base AS MATERIALIZED (SELECT id FROM root UNION SELECT dst FROM g WHERE src IN (SELECT id FROM root) UNION SELECT src FROM g WHERE dst IN (SELECT id FROM root))"]
+    ctes.append("e AS MATERIALIZED (SELECT src, dst FROM g WHERE src IN (SELECT id FROM base) AND dst IN (SELECT id FROM base))")
+    ctes.append("h0 AS (SELECT id, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS authority FROM base)")
+    for i in range(rounds):
+        ctes.append(f"x{i} AS MATERIALIZED (SELECT h.id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM h{i} h LEFT JOIN (SELECT dst, sum(hub) AS a FROM e JOIN h{i} ON id = src GROUP BY dst) ON dst = h.id LEFT JOIN (SELECT src, sum(authority) AS b FROM e JOIN h{i} ON id = dst GROUP BY src) ON src = h.id)")
+        ctes.append(f"h{i + 1} AS MATERIALIZED (SELECT id, b / (SELECT sqrt(sum(b * b)) FROM x{i}) AS hub, a / (SELECT sqrt(sum(a * a)) FROM x{i}) AS authority FROM x{i})")
+    return f"WITH {', '.join(ctes)} SELECT id AS doc_id, round(hub + authority, 8) AS score FROM root JOIN h{rounds} USING (id)"
+
+
+@query("la09_hits_ranking", _local_hits_sql(4))
+def la09(spark, sf_dir):
+    edges = base.next_parts(spark, sf_dir)
+    root = edges.filter("src % 400 = 1").select(F.col("src").alias("doc_id")).distinct()
+    return links.hits_ranking(root, edges, tolerance=0, rounds=4).withColumn("score", F.round("score", 8))
+
+
+@query("la10_best_hubs", base._hits_sql(5).replace("SELECT id, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h5", "SELECT id, round(hub, 8) AS hub FROM h5 ORDER BY round(hub, 8) DESC, id LIMIT 30"))
+def la10(spark, sf_dir):
+    found = links.hits(base.next_parts(spark, sf_dir), tolerance=0, rounds=5).withColumn("hub", F.round("hub", 8))
+    return links.best(found, "hub")
+
+
+# similarity
+
+_COEFFICIENTS = similar.coefficients(20)
+_SIGNATURES = f"""s AS (SELECT DISTINCT id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS x FROM (SELECT item_id AS id, lower(substr(text, unnest(range(1, length(text) - 3))::BIGINT, 5)) AS g FROM benchmark)),
+k(i, a, b) AS (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_COEFFICIENTS))}), m AS MATERIALIZED (SELECT id, i, min((a * x + b) % {similar.PRIME})::BIGINT AS v FROM s, k GROUP BY ALL)"""
+
+
+def _signed(spark, sf_dir):
+    grams = similar.shingle_sets(table(spark, sf_dir, "benchmark"), 5, hashed=False, key="item_id")
+    return similar.signatures(grams.select("doc_id", F.conv(F.substring(F.md5(F.col("shingle").cast("binary")), 1, 8), 16, 10).cast("long").alias("shingle")).distinct(), _COEFFICIENTS)
+
+
+@query("sim01_shingles", "SELECT id, len(list_distinct(list_transform(range(1, len(c) - 3), lambda i: lower(c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4])))) AS n FROM (SELECT doc_id AS id, string_split(text, '') AS c FROM documents) WHERE len(c) > 4")
+def sim01(spark, sf_dir):
+    return similar.shingle_sets(table(spark, sf_dir, "documents"), 5, hashed=False).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("sim02_characteristic", "WITH s AS (SELECT DISTINCT item_id AS id, lower(substr(text, unnest(range(1, length(text) - 3))::BIGINT, 5)) AS g FROM benchmark) SELECT docs, count(*) AS shingles FROM (SELECT g, count(*) AS docs FROM s GROUP BY g) GROUP BY docs")
+def sim02(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    ids = [r[0] for r in items.select("item_id").distinct().orderBy("item_id").collect()]  # one column each
+    wide = similar.characteristic(similar.shingle_sets(items, 5, hashed=False, key="item_id"), ids)
+    return wide.select(F.size(F.filter(F.array(*[F.col(f"`{i}`") for i in ids]), lambda x: x)).cast("long").alias("docs")).groupBy("docs").agg(F.count("*").alias("shingles"))
+
+
+@query("sim04_jaccard_of_sets", "WITH b AS (SELECT l_orderkey % 100 AS g, l_orderkey AS o, list(DISTINCT l_suppkey % 40) AS s FROM lineitem GROUP BY ALL) SELECT x.o AS a, y.o AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS jaccard FROM b x JOIN b y USING (g) WHERE x.o < y.o AND y.o - x.o <= 300")
+def sim04(spark, sf_dir):
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set(F.col("l_suppkey") % 40).alias("s")).withColumn("g", F.col("o") % 100)
+    pairs = sets.select("g", F.col("o").alias("a"), F.col("s").alias("x")).join(sets.select("g", F.col("o").alias("b"), F.col("s").alias("y")), "g").filter("a < b AND b - a <= 300")
+    return pairs.select("a", "b", F.round(similar.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query("sim05_signatures", f"WITH {_SIGNATURES} SELECT id, string_agg(v::VARCHAR, ' ' ORDER BY i) AS signature FROM m GROUP BY id")
+def sim05_signatures(spark, sf_dir):
+    return _signed(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_join(F.transform("signature", lambda v: v.cast("string")), " ").alias("signature"))
+
+
+@query("sim06_signature_similarity", f"WITH {_SIGNATURES} SELECT x.id AS a, y.id AS b, count(*) FILTER (WHERE x.v = y.v) / 20 AS similarity FROM m x JOIN m y USING (i) WHERE x.id < y.id GROUP BY ALL")
+def sim06(spark, sf_dir):
+    return similar.all_similarities(_signed(spark, sf_dir))
+
+
+@query("sim06_common_values", f"WITH {_SIGNATURES} SELECT x.id AS a, y.id AS b, len(list_intersect(x.l, y.l)) / 20 AS similarity FROM (SELECT id, list(v) AS l FROM m GROUP BY id) x, (SELECT id, list(v) AS l FROM m GROUP BY id) y WHERE x.id < y.id")
+def sim06_common(spark, sf_dir):
+    return similar.all_similarities(_signed(spark, sf_dir), False)
+
+
+_BUCKETS = f"{_SIGNATURES}, b AS (SELECT id, (i // 3) || ' ' || string_agg(v::VARCHAR, ' ' ORDER BY i) AS bucket FROM m WHERE i < 18 GROUP BY id, i // 3), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM m x JOIN m y ON x.i = y.i AND x.v = y.v WHERE x.id < y.id)"
+
+
+@query("sim07_bands", f"WITH {_BUCKETS} SELECT id, bucket FROM b")
+def sim07(spark, sf_dir):
+    return similar.bands(_signed(spark, sf_dir)).withColumnRenamed("doc_id", "id")
+
+
+@query("sim08_candidates", f"WITH {_BUCKETS} SELECT a, b FROM c")
+def sim08(spark, sf_dir):
+    return similar.candidate_pairs(similar.bands(_signed(spark, sf_dir), 1))
+
+
+@query("sim09_rescored", f"WITH {_BUCKETS} SELECT c.a, c.b, count(*) FILTER (WHERE x.v = y.v) / 20 AS similarity FROM c JOIN m x ON x.id = c.a JOIN m y ON y.id = c.b AND y.i = x.i GROUP BY ALL")
+def sim09(spark, sf_dir):
+    signed = _signed(spark, sf_dir)
+    return similar.rescored(similar.candidate_pairs(similar.bands(signed, 1)), signed)
+
+
+@query("sim10_matrix", f"WITH {_SIGNATURES}, p AS (SELECT x.id AS a, y.id AS b, count(*) FILTER (WHERE x.v = y.v) / 20 AS s FROM m x JOIN m y USING (i) GROUP BY ALL) SELECT a, string_agg(printf('%.2f', s), chr(9) ORDER BY b) AS line FROM p GROUP BY a")
+def sim10(spark, sf_dir):
+    signed = _signed(spark, sf_dir)
+    ids = [r[0] for r in signed.select("doc_id").orderBy("doc_id").collect()]  # one column each
+    return similar.matrix_lines(similar.all_similarities(signed), ids)
+
+
+# itemsets
+
+_SETS = f"""{_BASKETS}, f1 AS MATERIALIZED (SELECT item FROM bi GROUP BY item HAVING count(*) > 0.001 * (SELECT n FROM nb)), fi AS MATERIALIZED (SELECT basket, item FROM bi JOIN f1 USING (item)),
+w AS (SELECT basket, [item] AS s, item AS last FROM fi UNION ALL SELECT basket, list_append(s, item), item FROM w JOIN fi USING (basket) WHERE item > last),
+f AS MATERIALIZED (SELECT s, count(*) AS c FROM w GROUP BY s HAVING count(*) > 0.001 * (SELECT n FROM nb))"""
+
+
+@query("fim05_itemsets_all", f"WITH RECURSIVE {_SETS} SELECT array_to_string(s, ' ') AS itemset, c AS freq FROM f")
+def fim05_all(spark, sf_dir):
+    return itemsets.frequent_itemsets(base.supplier_baskets(spark, sf_dir), 0.001).select(F.array_join(F.transform("itemset", lambda x: x.cast("string")), " ").alias("itemset"), "freq")
+
+
+@query("fim06_rules_all", f"WITH RECURSIVE {_SETS}, r AS (SELECT w.s, bi.item AS rhs, count(*) AS common FROM w JOIN f USING (s) JOIN bi USING (basket) WHERE NOT list_contains(w.s, bi.item) GROUP BY ALL) SELECT array_to_string(s, ' ') AS lhs, rhs, round(common / c, 6) AS confidence FROM r JOIN f USING (s) WHERE common / c > 0.02")
+def fim06_all(spark, sf_dir):
+    pairs = base.supplier_baskets(spark, sf_dir)
+    found = itemsets.rules(pairs, itemsets.frequent_itemsets(pairs, 0.001), 0.02)
+    return found.select(F.array_join(F.transform("lhs", lambda x: x.cast("string")), " ").alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
+
+
+@query("fim02_subsets", "WITH b AS (SELECT l_orderkey AS basket, list(DISTINCT l_linenumber) AS items FROM lineitem GROUP BY l_orderkey) SELECT basket, list_has_all(items, [1, 2]) AS has FROM b")
+def fim02(spark, sf_dir):
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("basket")).agg(F.collect_set("l_linenumber").alias("items"))
+    return sets.select("basket", itemsets.contains_all(F.col("items"), F.array(F.lit(1), F.lit(2))).alias("has"))
+
+
+@query("fim07_best_rules", f"WITH {base._FREQUENT}, r AS (SELECT a.item AS lhs, b.item AS rhs, count(*) AS common FROM bi a JOIN f1 USING (item) JOIN bi b ON a.basket = b.basket AND a.item <> b.item GROUP BY ALL) SELECT lhs, rhs, round(common / c, 6) AS confidence FROM r JOIN f1 ON lhs = item WHERE common / c > 0.02 ORDER BY common / c DESC, lhs, rhs LIMIT 20")
+def fim07(spark, sf_dir):
+    pairs = base.supplier_baskets(spark, sf_dir)
+    found = itemsets.by_confidence(itemsets.rules(pairs, itemsets.frequent_itemsets(pairs, 0.001, 1), 0.02)).limit(20)
+    return found.select(F.col("lhs")[0].alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
+
+
+@query("fim08_support", "SELECT (SELECT max(l_suppkey) FROM lineitem) AS item, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (3, 7) GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 2)) AS freq")
+def fim08(spark, sf_dir):
+    pairs = base.supplier_baskets(spark, sf_dir)
+    return itemsets.largest_item(pairs).crossJoin(itemsets.support_of(pairs, [3, 7]))
+
+
+# graphs
+
+
+@query("tri01_edge_reservoir", f"WITH {_PARTS}, s AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS t FROM e), d AS (SELECT slot, least(ceil((1 - {uniform_sql('1', 'slot')}) * (SELECT count(*) FROM s)), (SELECT count(*) FROM s))::BIGINT AS t FROM range(200) r(slot)) SELECT slot, t, src, dst FROM d JOIN s USING (t)")
+def tri01(spark, sf_dir):
+    stream = numbered(base.next_parts(spark, sf_dir), "t", F.col("src"), F.col("dst")).withColumn("t", F.col("t") + 1)
+    return graphs.edge_reservoir(stream, 200)
+
+
+@query("tri03_closed_wedges", f"WITH {_PARTS}, m AS (SELECT a.src AS a, b.dst AS b FROM e a JOIN e b ON b.src = a.dst WHERE a.src <> b.dst), d AS (SELECT DISTINCT a, b FROM m) SELECT count(*) FILTER (WHERE (b, a) IN (SELECT (src, dst) FROM e)) AS directed, count(*) FILTER (WHERE (b, a) IN (SELECT (src, dst) FROM e) OR (a, b) IN (SELECT (src, dst) FROM e)) AS undirected FROM d")
+def tri03(spark, sf_dir):
+    edges = base.next_parts(spark, sf_dir)
+    wedges = edges.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(edges.select(F.col("src").alias("m"), F.col("dst").alias("b")), "m").filter("a <> b").select("a", "b").distinct()
+    count = lambda d, n: graphs.closed_wedges(wedges, edges, d).agg(F.count("*").alias(n))
+    return count(True, "directed").crossJoin(count(False, "undirected"))
+
+
+@query("tri05_new_wedges", f"WITH {_TOGETHER}, o AS (SELECT a, b FROM u ORDER BY a, b LIMIT 1), w AS (SELECT CASE WHEN u.a IN (o.a, o.b) THEN u.a ELSE u.b END AS centre, CASE WHEN u.a IN (o.a, o.b) THEN u.b ELSE u.a END AS far, o.a AS p, o.b AS q FROM u, o WHERE ((u.a IN (o.a, o.b)) <> (u.b IN (o.a, o.b)))) SELECT DISTINCT centre, least(far, CASE WHEN centre = p THEN q ELSE p END) AS a, greatest(far, CASE WHEN centre = p THEN q ELSE p END) AS b FROM w")
+def tri05(spark, sf_dir):
+    pairs = base.parts_together(spark, sf_dir)
+    return graphs.new_wedges(pairs, pairs.orderBy("src", "dst").limit(1))
+
+
+@query("tri06_estimates", "SELECT c_custkey AS id, round(3 * p, 9) AS transitivity, round(p * t * t / (500.0 * 499) * w, 4) AS triangles FROM (SELECT c_custkey, (c_custkey % 101) / 100 AS p, (c_custkey + 500)::DOUBLE AS t, (c_custkey % 977)::DOUBLE AS w FROM customer)")
+def tri06(spark, sf_dir):
+    k, n = graphs.triangle_estimate((F.col("c_custkey") % 101) / 100, (F.col("c_custkey") + 500).cast("double"), F.lit(500.0), (F.col("c_custkey") % 977).cast("double"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(k, 9).alias("transitivity"), F.round(n, 4).alias("triangles"))
+
+
+_BOTH = f"{_PARTS}, s AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def _sym(spark, sf_dir):
+    return graphs.affinity(base.next_parts(spark, sf_dir))
+
+
+@query("spc01_affinity", f"WITH {_BOTH} SELECT src, dst FROM s")
+def spc01(spark, sf_dir):
+    return _sym(spark, sf_dir)
+
+
+@query("spc02_laplacian", f"WITH {_BOTH}, d AS (SELECT src, count(*) AS d FROM s GROUP BY src) SELECT s.src, s.dst, round(1 / sqrt(x.d * y.d), 9) AS value FROM s JOIN d x ON x.src = s.src JOIN d y ON y.src = s.dst")
+def spc02(spark, sf_dir):
+    return graphs.normalised_laplacian(base.next_parts(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+@query("spc05_clusters")
+def spc05(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("src")).distinct()
+    return graphs.spectral_clusters(lines.join(lines.withColumnRenamed("src", "dst"), "o").filter("src < dst").select("src", "dst").distinct(), 4)
+
+
+@query("gp01_initial_parts", f"WITH n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS no, count(*) OVER () AS n FROM part) SELECT id, (id % 4)::INT AS turns, (no * 4 // n)::INT AS runs, floor({uniform_sql('0', 'id')} * 4)::INT AS random FROM n")
+def gp01(spark, sf_dir):
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    one = lambda policy, name: graphs.initial_parts(ids, 4, policy).withColumnRenamed("color", name)
+    return one("round_robin", "turns").join(one("batch", "runs"), "id").join(one("random", "random"), "id")
+
+
+@query("gp02_part_sizes", "SELECT (p_partkey % 4)::INT AS color, count(*) AS n FROM part GROUP BY ALL")
+def gp02(spark, sf_dir):
+    return graphs.color_counts(graphs.initial_parts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 4))
+
+
+@query("gp04_neighbour_sample", f"WITH {_BOTH} SELECT src AS p, dst AS q FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY {uniform_sql('0', '5', 'src', 'dst')}, dst) <= 3")
+def gp04(spark, sf_dir):
+    return graphs.partner_sample(_sym(spark, sf_dir), 3, 0, 5)
+
+
+@query("gp04_random_sample", f"WITH n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS no FROM part) SELECT DISTINCT a.id AS p, b.id AS q FROM (SELECT id, floor({uniform_sql('0', '5', 'id', 'k')} * (SELECT count(*) FROM n))::BIGINT AS no FROM n, range(1, 7) r(k)) a JOIN n b USING (no) WHERE a.id <> b.id")
+def gp04_random(spark, sf_dir):
+    ids = numbered(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "no", F.col("id"))
+    return graphs.random_sample(ids, ids.count(), 6, 0, 5)
+
+
+_GAINS = f"""{_BOTH}, c AS MATERIALIZED (SELECT src AS id, dst % 4 AS color, count(*) AS d FROM s GROUP BY ALL), p AS (SELECT src AS p, dst AS q FROM s WHERE src % 4 <> dst % 4),
+g AS MATERIALIZED (SELECT p, q, coalesce(pp.d, 0) AS pp, coalesce(pp.d, 0) ** 2 + coalesce(qq.d, 0) ** 2 AS old, coalesce(pq.d, 0) ** 2 + coalesce(qp.d, 0) ** 2 AS new FROM p LEFT JOIN c pp ON pp.id = p AND pp.color = p % 4 LEFT JOIN c qq ON qq.id = q AND qq.color = q % 4 LEFT JOIN c pq ON pq.id = p AND pq.color = q % 4 LEFT JOIN c qp ON qp.id = q AND qp.color = p % 4)"""
+
+
+def _gains(spark, sf_dir):
+    sym = _sym(spark, sf_dir)
+    colored = graphs.initial_parts(links.nodes_of(sym), 4)
+    return sym.select(F.col("src").alias("p"), F.col("dst").alias("q")), colored, graphs.color_degrees(sym, colored)
+
+
+@query("gp05_gains", f"WITH {_GAINS} SELECT p, q, old, new, round(least(1, exp((new - old) / 50.0)), 9) AS chance FROM g")
+def gp05_gains(spark, sf_dir):
+    scored = graphs.exchange_gain(*_gains(spark, sf_dir), 2.0)
+    return scored.select("p", "q", "old", "new", F.round(graphs.acceptance(F.col("new") - F.col("old"), 50.0), 9).alias("chance"))
+
+
+@query("gp06_best_partners", f"WITH {_GAINS} SELECT p, q, new FROM g WHERE new > pp AND new * 1.5 > old QUALIFY row_number() OVER (PARTITION BY p ORDER BY new DESC, q) = 1")
+def gp06(spark, sf_dir):
+    return graphs.best_partners(*_gains(spark, sf_dir), t=1.5)
+
+
+@query("gp08_temperatures", "WITH RECURSIVE r AS (SELECT 0 AS round, 2.0::DOUBLE AS t UNION ALL SELECT round + 1, CASE WHEN round % 500 = 0 THEN 2.0 ELSE greatest(0.001, t * (1 - 0.003)) END FROM r WHERE round < 999) SELECT round, round(t, 9) AS t FROM r")
+def gp08(spark, sf_dir):
+    return spark.createDataFrame(graphs.schedule(1000), "round int, t double").withColumn("t", F.round("t", 9))
+
+
+@query("gp09_migrations", "SELECT count(*) AS migrations FROM part WHERE p_partkey % 4 <> p_size % 4")
+def gp09_migrations(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return graphs.migrations(parts.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("color")), parts.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("color")))
+
+
+@query("gp11_sweep")
+def gp11(spark, sf_dir):
+    near = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst"))
+    grid = spark.createDataFrame([(t, 0.001, d, 1.0, 1000, 1) for t in (0.9, 2.0) for d in (0.003, 0.045)], "t0 double, least double, delta double, alpha double, rounds int, seed int")
+    return graphs.sweep(near, grid)
+
+
+# learning
+
+
+@query("ml03_feature_view", "SELECT o_orderstatus AS label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL")
+def ml03(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    view = learn.feature_view(table(spark, sf_dir, "orders").withColumn("one", F.lit(1.0)), ["o_totalprice", "one"], "o_orderstatus")
+    return view.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(vector_to_array("features")[0]), 2).alias("total"))
+
+
+@query("ml04_split", f"SELECT vec_id, CASE WHEN {uniform_sql('1', 'vec_id')} < 0.2 THEN 'test' ELSE 'train' END AS part FROM embeddings")
+def ml04(spark, sf_dir):
+    train, test = learn.split(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+_NEAR3 = """d AS (SELECT a.vec_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+v AS (SELECT vec_id, label, other, count(*) AS c, min(r) AS f FROM d WHERE r <= 3 GROUP BY ALL), p AS MATERIALIZED (SELECT vec_id, label, other AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, f) = 1)"""
+
+
+@query("ml05_knn_three", f"WITH {_NEAR3} SELECT vec_id, prediction FROM p")
+def ml05_three(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return learn.knn(rows, rows, 3)
+
+
+def _predicted(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("label"), (F.col("l_linenumber") % 4 % 3).alias("prediction"))
+
+
+_SAID = "t AS (SELECT l_suppkey % 3 AS label, l_linenumber % 4 % 3 AS prediction FROM lineitem)"
+
+
+@query("ml06_f1", f"WITH {_SAID}, k AS (SELECT label, count(*) FILTER (WHERE label = prediction) AS tp, count(*) AS n FROM t GROUP BY label), s AS (SELECT prediction AS label, count(*) AS n FROM t GROUP BY ALL) SELECT label, round(coalesce(2 * tp / (k.n + coalesce(s.n, 0)), 0), 9) AS f1 FROM k LEFT JOIN s USING (label)")
+def ml06_f1(spark, sf_dir):
+    return learn.report(_predicted(spark, sf_dir)).select("label", F.round("f1", 9).alias("f1"))
+
+
+@query("ml06_accuracy", f"WITH {_SAID} SELECT round(avg((label = prediction)::INT), 9) AS accuracy FROM t")
+def ml06_accuracy(spark, sf_dir):
+    return learn.accuracy(_predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("ml06_confusion", f"WITH {_SAID} SELECT label, prediction, count(*) AS n FROM t GROUP BY ALL")
+def ml06_confusion(spark, sf_dir):
+    return learn.confusion(_predicted(spark, sf_dir))
+
+
+@query("ml07_latest", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1")
+def ml07(spark, sf_dir):
+    return learn.latest(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+
+
+@query("ml08_history", "SELECT event_id, (SELECT count(DISTINCT event_type) = 5 FROM events) AS ready FROM events ORDER BY event_id DESC LIMIT 4")
+def ml08(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("prediction"))
+    last, ready = learn.history(log.filter("event_id % 2 = 0"), log.filter("event_id % 2 = 1"), "event_id", 4, 5)
+    return last.select("event_id").crossJoin(ready)
+
+
+@query("ml09_point", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7) SELECT label::BIGINT AS prediction FROM embeddings, q WHERE vec_id <> 7 ORDER BY list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), vec_id LIMIT 1")
+def ml09(spark, sf_dir):
+    from lodestone.plans.storage import shared_path
+
+    rows, path = table(spark, sf_dir, "embeddings"), shared_path(spark)
+    learn.save_model(rows.filter("vec_id <> 7"), path)
+    one = rows.filter("vec_id = 7").first()["embedding"]
+    return spark.createDataFrame([(int(learn.predict_one(learn.load_model(spark, path), spark, *one)),)], "prediction long")
+
+
+@query("ml11_square", "SELECT o_orderkey, round(o_totalprice * o_totalprice, 2) AS squared FROM orders")
+def ml11(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(learn.square(F.col("o_totalprice")), 2).alias("squared"))

@@ -180,18 +180,6 @@ def fim06(spark, sf_dir):
     return found.select(F.col("lhs")[0].alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
 
 
-@query("fim05_itemsets_all")
-def fim05_all(spark, sf_dir):
-    return itemsets.frequent_itemsets(supplier_baskets(spark, sf_dir), 0.001).select(F.array_join(F.transform("itemset", lambda x: x.cast("string")), " ").alias("itemset"), "freq")
-
-
-@query("fim06_rules_all")
-def fim06_all(spark, sf_dir):
-    pairs = supplier_baskets(spark, sf_dir)
-    found = itemsets.rules(pairs, itemsets.frequent_itemsets(pairs, 0.001), 0.02)
-    return found.select(F.array_join(F.transform("lhs", lambda x: x.cast("string")), " ").alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
-
-
 # links
 
 
@@ -220,11 +208,6 @@ def la08(spark, sf_dir):
     return links.hits(next_parts(spark, sf_dir), tolerance=0, rounds=5).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
 
 
-@query("la05_monte_carlo")
-def la05(spark, sf_dir):
-    return links.random_walks(next_parts(spark, sf_dir), 5000, "random", "path", steps=60)
-
-
 # graphs
 
 

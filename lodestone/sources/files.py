@@ -7,6 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.ranges import numbered
+from lodestone.plans.storage import stored
+
 
 def text_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, text): one row a file."""
@@ -21,6 +24,18 @@ def link_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("src", F.trim("dst").alias("dst")).filter("dst <> ''").distinct()
 
 
+def numbered_links(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((name, node), (src, dst)): names of such lines are numbered from 0 in the order in which they first appear."""
+    part = F.split("value", ";")
+    rows = stored(spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(part[0]).alias("src"), F.filter(F.transform(F.split(part[1], ","), F.trim), lambda x: x != "").alias("out")))
+    seen = rows.select("at", F.posexplode(F.concat(F.array("src"), "out")).alias("place", "name"))
+    first = seen.groupBy("name").agg(F.min(F.struct("at", "place")).alias("first"))
+    names = stored(numbered(first, "node", F.col("first")).select("name", "node"))
+    pairs = rows.select("src", F.explode("out").alias("dst")).distinct()
+    links = pairs.join(names.select(F.col("name").alias("src"), F.col("node").alias("a")), "src").join(names.select(F.col("name").alias("dst"), F.col("node").alias("b")), "dst")
+    return names, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def title_file(spark: SparkSession, path: str) -> DataFrame:
     """(node, title) of lines ``node;title``."""
     return spark.read.csv(path, sep=";", schema="node string, title string")
@@ -51,13 +66,11 @@ def edge_list(spark: SparkSession, path: str, sep: str = "\t", seed: int | None
 def metis_graph(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of a METIS file: a header, then line i with the neighbours of node i, from 1; % starts a comment.
 
-    Lines are numbered by a sort on their place in the file.
+    Lines are numbered by their place in the file, in ranges.
     """
-    from pyspark.sql import Window
-
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line")).filter("NOT startswith(line, '%')")
-    numbered = lines.withColumn("src", (F.row_number().over(Window.orderBy("at")) - 1).cast("long")).filter("src > 0")
-    return numbered.select("src", F.explode(F.split("line", r"\s+")).alias("dst")).filter("dst <> ''").select("src", F.col("dst").cast("long").alias("dst"))
+    placed = numbered(lines, "src", F.col("at")).filter("src > 0")
+    return placed.select("src", F.explode(F.split("line", r"\s+")).alias("dst")).filter("dst <> ''").select("src", F.col("dst").cast("long").alias("dst"))
 
 
 def patterns(path: str) -> list[str]:
@@ -95,6 +108,21 @@ def latest_by_key(table: DataFrame, key: list[str], order: str) -> DataFrame:
     return table.groupBy(*key).agg(F.max_by(F.struct(*[c for c in table.columns if c not in key]), order).alias("_s")).select(*key, "_s.*")
 
 
+def write_lengths(lengths: DataFrame, path: str) -> None:
+    """Lines ``id;length``."""
+    lengths.select("id", "length").write.csv(path, sep=";")
+
+
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(id, length) of such lines."""
+    return spark.read.csv(path, sep=";", schema="id long, length double")
+
+
+def table_lines(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(key, line): numbers with two decimals and tabs between."""
+    return rows.select(key, F.concat_ws("\t", *[F.format_string("%.2f", F.col(c).cast("double")) for c in columns]).alias("line"))
+
+
 def best_run(spark: SparkSession, path: str) -> DataFrame:
     """(file, edge_cut): of files whose lines are (round, edge_cut, ...), the one whose last round has the least cut."""
     part = F.split(F.trim("value"), r"\s+")

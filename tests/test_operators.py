@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import agents, events, graphs, index, itemsets, learn, links, routing, search, similar
+from lodestone.plans import ranges
 
 
 def rows(df):
@@ -98,6 +99,10 @@ def test_pagerank(spark):
         lost = sum(want[i] for i in out if not out[i])
         want = {i: 0.03 + 0.85 * (lost / 5 + sum(want[j] / len(out[j]) for j in out if i in out[j])) for i in out}
     assert rank == pytest.approx(want, abs=1e-6) and sum(rank.values()) == pytest.approx(1)
+    stable = {r.id: r.rank for r in links.walks_until_stable(edges, 4000, 2, 3).collect()}
+    assert stable == pytest.approx(stable) and max(stable, key=stable.get) == 4
+    with pytest.raises(RuntimeError, match="settle"):
+        links.walks_until_stable(edges, 5, 6, 5, most=2)
     for start, count in (("random", "end"), ("cyclic", "end"), ("cyclic", "path"), ("random", "path")):
         got = {r.id: r.rank for r in links.random_walks(edges, 3000, start, count).collect()}
         assert sum(got.values()) == pytest.approx(1) and max(got, key=got.get) == 4
@@ -111,9 +116,12 @@ def test_graphs(spark):
     assert got.triangles == 40
     part = {r.id: r.cluster for r in graphs.spectral_clusters(edges, 2, normalize="row").collect()}
     assert len({part[i] for i in range(6)}) == 1 and len(set(part.values())) == 2
-    colored, report = graphs.partition(edges, 2, rounds=8, seed=3)
+    colored, report = graphs.partition(edges, 2, rounds=4, seed=3, t0=0.5)
     cuts = [r.edge_cut for r in report.orderBy("round").collect()]
     assert sorted(r.n for r in graphs.color_counts(colored).collect()) == [6, 6] and cuts[-1] <= cuts[0]
+    assert report.columns == ["round", "edge_cut", "swaps", "migrations"] and report.orderBy(F.desc("round")).first().migrations <= 12
+    grid = spark.createDataFrame([(0.9, 5e-6, 0.045, 1.0, 300, s) for s in (1, 2)], "t0 double, least double, delta double, alpha double, rounds int, seed int")
+    assert all(r.edge_cut <= 0.2 * r.first_cut for r in graphs.sweep(edges, grid, 2).collect())
     stream = edges.withColumn("t", F.expr("row_number() over (order by src, dst)").cast("long"))
     assert graphs.edge_reservoir(stream, 50).count() == 50
 
@@ -183,3 +191,59 @@ def test_auctions(spark):
     got = {r.auction: (r.winner, r.price) for r in agents.dutch_auction(held, offers.withColumnRenamed("bid", "max_price")).collect()}
     assert got == {1: ("b", 45.0), 2: (None, None), 3: (None, None)}
     assert agents.queens(spark, 6).count() == 4
+
+
+def _small_world(n=250, edges=1033, seed=1):
+    rng = random.Random(seed)
+    found = {(min(i, y), max(i, y)) for i in range(n) for j in range(1, 5) if (y := (i + j) % n if rng.random() >= 0.05 else rng.randrange(n)) != i}
+    while len(found) < edges:
+        x, y = rng.sample(range(n), 2)
+        found.add((min(x, y), max(x, y)))
+    return sorted(found)
+
+
+def test_annealing_cuts_a_small_world(spark):
+    edges = spark.createDataFrame(_small_world(), "src long, dst long")
+    grid = spark.createDataFrame([(0.92, 2.5e-5, 0.005, 1.0, 1000, s) for s in range(12)], "t0 double, least double, delta double, alpha double, rounds int, seed int")
+    got = graphs.sweep(edges, grid).collect()
+    assert min(r.edge_cut / r.first_cut for r in got) <= 0.18 and all(r.edge_cut / r.first_cut < 0.35 for r in got)
+
+
+def test_nearest_in_rings_of_cells(spark):
+    rng = random.Random(4)
+    spots = [(i, rng.random() * 10, rng.random() * 10) for i in range(40)] + [(40, 500.0, 500.0)]
+    at = [(i, rng.random() * 20 - 5, rng.random() * 20 - 5) for i in range(60)] + [(60, 400.0, 390.0), (61, 7.0, 7.0)]
+    got = {r.l_id: r.r_id for r in agents.nearest(spark.createDataFrame(at, "id long, x double, y double"), spark.createDataFrame(spots, "id long, x double, y double")).collect()}
+    assert got == {i: min(spots, key=lambda s: ((x - s[1]) ** 2 + (y - s[2]) ** 2, s[0]))[0] for i, x, y in at}
+
+
+def test_running_values(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, rng.randrange(100)])) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(data, "at long, v long")
+    got = {r.at: (r.m, r.s, r.b) for r in ranges.running(ranges.running(df, [F.col("at")], {"m": ("max", F.col("v")), "s": ("sum", F.col("v"))}), [F.desc("at")], {"b": ("min", F.col("v"))}, inclusive=False).collect()}
+    for at, _ in data:
+        own = [v for a, v in data if a <= at and v is not None]
+        after = [v for a, v in data if a > at and v is not None]
+        assert got[at] == (max(own, default=None), sum(own), min(after, default=None))
+    assert [r.no for r in ranges.numbered(df, "no", F.col("at")).orderBy("at").collect()] == list(range(300))
+    assert ranges.numbered(df.limit(0), "no", F.col("at")).count() == 0
+
+
+def test_model_and_features(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.0], "a"), (2, [0.1], "a"), (3, [5.0], "b")], "vec_id long, embedding array<double>, label string")
+    learn.save_model(df, str(tmp_path / "m"))
+    model = learn.load_model(spark, str(tmp_path / "m"))
+    assert learn.predict_one(model, spark, 4.0) == "b" and learn.predict_one(model, spark, 0.2) == "a"
+    for v in (1.0, 2.0):
+        learn.insert_features(str(tmp_path / "g"), spark.createDataFrame([(1, v)], "k long, v double"), ["k"])
+    assert rows(learn.read_features(spark, str(tmp_path / "g"), ["k"])) == [(1, 2.0)]
+
+
+def test_suspected_for_good_and_timed_search(spark, ix):
+    beats = spark.createDataFrame([("dead", 0), ("dead", 1), ("live", 0), ("live", 100)], "node string, s long").select("node", F.timestamp_seconds("s").alias("ts"))
+    got = {(r.node, r.suspected_at.second, r.restored_at is None) for r in events.suspicions(beats, 10.0).collect()}
+    assert got == {("dead", 11, True), ("live", 10, False)}
+    assert search.timed_search(ix, "cat")["rows"] == 2
+    found, hints = search.search_or_suggest(ix, "catt")
+    assert found.isEmpty() and [r.term for r in hints.collect()] == ["cat"] and search.search_or_suggest(ix, "cat")[1] is None
