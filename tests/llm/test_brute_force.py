@@ -303,6 +303,9 @@ def test_hosts_spread_over_executors_give_the_same(spark):
     for pages in (2, 3):
         one, other = (sorted(map(str, html.unique_text(df, least_pages=pages, big=big).collect())) for big in (html.BIG_HOST, 0))
         assert one == other and len(one) == 62
+    parsed = df.filter("url IS NOT NULL").selectExpr("split(url, '/')[2] AS key", "page_id", "split(url, '/')[2] AS host", "coalesce(html, '') AS text")
+    one, other = (sorted(map(str, html._spread(parsed, 12, 2, most=m).collect())) for m in (0, 10**6))
+    assert one == other and len(one) == 61
     assert sum(r.n_removed for r in html.unique_text(df).collect()) > 100
 
 
