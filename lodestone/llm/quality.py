@@ -29,7 +29,7 @@ GRAM, PSEUDO, PRIOR, THRESHOLD, UNIT = 6, 50, 16, -0.1, 10_000
 #: Keys up to which the ratios are broadcast (8 bytes each, 256 MB).
 BROADCAST_KEYS = 32_000_000
 #: Counted keys that a task holds before it hands them on.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 2_000_000
 _FACTOR, _SHIFT = 11400714819323198485, 100_000_000
 
 
@@ -58,7 +58,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[cut], np.add.reduceat(n, cut) if len(cut) else n
+    return key[cut], np.add.reduceat(n, cut, dtype=np.int64) if len(cut) else n
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         lang = pa.DictionaryArray.from_arrays(pa.array(own), pa.array(names, pa.string())).cast(pa.string())
         for lo in range(0, len(key), 1 << 16):
             cut = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([lang[cut], pa.array(key[cut].astype(np.int64)), pa.array(n[cut]), pa.array(np.where(good[cut], n[cut], 0))], ["lang", "key", "raw", "trusted"])
+            yield pa.RecordBatch.from_arrays([lang[cut], pa.array(key[cut].astype(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(np.where(good[cut], n[cut], 0).astype(np.int64))], ["lang", "key", "raw", "trusted"])
 
     def run(batches):
         names: dict[str, int] = {}
@@ -90,12 +90,12 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 code = (k.astype(np.uint64) << np.uint64(1)) | np.repeat(mark[lo:hi], np.diff(seg))
                 code.sort()
                 at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-                parts.append((code[at], np.diff(np.r_[at, len(code)])))
+                parts.append((code[at], np.diff(np.r_[at, len(code)]).astype(np.int32)))
                 held += len(at)
                 if held > HELD_KEYS:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
-                    if held > HELD_KEYS // 2:
+                    if held > HELD_KEYS * 3 // 4:
                         yield from rows(list(names), parts)
                         parts, held = [], 0
         if held:
