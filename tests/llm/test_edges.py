@@ -153,3 +153,51 @@ def test_stages(spark, docs, none, labels, tmp_path, name, stage):
 def test_empty_batches():
     assert packing.plan(packing.np.zeros(17, int)) == [] and licenses.Index({}).keys.size == 0
     assert html.unique_runs(pa.array([], pa.string()), packing.np.zeros(0, int))[0] == []
+
+
+def test_scores_of_ties_nulls_and_repeats(docs, labels):
+    got = quality.quality_scores(docs, labels).collect()
+    by_text = {}
+    for r, (_, text, *_rest) in zip(got, rows(), strict=True):
+        by_text.setdefault(text or "", set()).add(r.score)
+    assert all(len(s) == 1 for s in by_text.values()) and by_text[""] == {0.0} and by_text["x"] == {0.0}
+    least = min(r.score for r in got)
+    assert quality.keep_quality(docs, labels, least).count() == len(rows())  # a score at the threshold stays
+    kept = quality.keep_quality(docs, labels, least + 1e-6)
+    assert kept.columns == docs.columns and kept.count() == sum(r.score > least for r in got) < len(rows())
+    severe = toxicity.score_toxicity(docs, labels).collect()
+    assert len({r.severity for r, (_, text, *_rest) in zip(severe, rows(), strict=True) if text == PROSE}) == 1
+    assert all(r.toxic == (r.severity >= toxicity.THRESHOLD) for r in severe)
+
+
+def test_lines_of_rows_without_an_id(spark):
+    line = "the same line in all of them"
+    data = [(i, f"{line}\nown {'abcde'[i]}") for i in range(4)] + [(None, f"{line}\nlast"), (None, f"{line}\nlast"), (3, f"{line}\nown d")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in line_dedup.drop_recurring_lines(df).collect())
+    # four documents and one without an id have the line, which is enough; the first keeps it, equal rows are alike
+    assert out == [(False, 0, f"{line}\nown a"), (False, 1, "own b"), (False, 2, "own c"), (False, 3, "own d"), (False, 3, "own d"), (True, 0, "last"), (True, 0, "last")]
+
+
+def test_stages_keep_what_they_say(spark, docs, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    assert texts(stages["quality_rules"](spark, docs, str(tmp_path))) == texts(docs)
+    lines = stages["line_dedup"](spark, docs, str(tmp_path))
+    assert lines.count() == len(rows()) and lines.filter("text IS NULL").count() == 2
+    once = stages["near_dedup"](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in once if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 8, 9, 10] and sum(r.doc_id is None for r in once) == 2
+    masked = stages["pii"](spark, docs, str(tmp_path))
+    assert masked.filter("doc_id = 9").first().text == "mail me: <EMAIL>" and masked.count() == len(rows())
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {3, 4, 5, 6, 7, 8, 9, 10, None}
+    for i in (3, 4, 9):
+        assert [r.text for r in packed if r.doc_id == i] == [dict((x[0], x[1]) for x in rows())[i]]
+
+
+def test_html_of_a_long_page(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, "http://h.com/a", f"<p>{words}</p>"), (2, "http://h.com/b", f"<p>{words} end</p>"), (3, "http://h.com/c", "<p>short</p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_tokens, r.n_removed) for r in html.unique_text(df).collect()}
+    assert got == {1: ("", 200_000, 200_000), 2: ("end", 200_001, 200_000), 3: ("short", 1, 0)}
