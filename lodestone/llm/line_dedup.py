@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.near_dedup import components
-from lodestone.llm.shared import chunks, join_small, materialize, mix64, segments, sorted_groups, text_of, tokens, utf8
+from lodestone.llm.shared import chunks, join_small, lean, materialize, mix64, segments, sorted_groups, text_of, tokens, utf8
 
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 5
 #: Distinct lines that one task clusters before they are split by components beforehand.
@@ -81,7 +81,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
                     cols = [leaf, line, np.diff(cut).astype(np.int32), rk[lo + row], doc[lo + row], number.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["leaf", "line", "n", "rk", "doc", "number"])
 
-    return _keyed(docs).select("__rk", "__doc", text_of().alias("__text")).mapInArrow(run, "leaf long, line long, n int, rk long, doc long, number int")
+    return _keyed(docs).select("__rk", "__doc", text_of().alias("__text")).mapInArrow(lean(run), "leaf long, line long, n int, rk long, doc long, number int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _parts(rows: DataFrame, similarity: float, depth: int) -> DataFrame:
                         key = mix64(key * _FOLD + m[:, c])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at])], ["key", "line"])
 
-    keyed = materialize(rows.mapInArrow(blocks, "key long, line long").distinct())
+    keyed = materialize(rows.mapInArrow(lean(blocks), "key long, line long").distinct())
     head = keyed.groupBy("key").agg(F.min("line").alias("head"))
     return components(keyed.join(head, "key").filter("line <> head").select(F.col("head").alias("a"), F.col("line").alias("b")))
 
@@ -199,7 +199,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
                     yield pa.RecordBatch.from_arrays([pa.array(leaf[want]), pa.array(line[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["leaf", "line", "h"])
 
     rows = _keyed(docs).select("__rk", text_of().alias("__text"))
-    token_rows = join_small(rows, where, "__rk", "inner").select("__text", "__numbers").mapInArrow(fetch, "leaf long, line long, h array<long>")
+    token_rows = join_small(rows, where, "__rk", "inner").select("__text", "__numbers").mapInArrow(lean(fetch), "leaf long, line long, h array<long>")
     hot = materialize(leaf.filter((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > big)).select(F.col("leaf")))
     if not hot.isEmpty():
         marked = materialize(join_small(token_rows, hot.withColumn("hot", F.lit(True)), "leaf", "left"))
@@ -225,7 +225,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
                 template[lo:hi] = head[no][np.searchsorted(distinct, line[lo:hi])]
             yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(template)], ["line", "template"])
 
-    grown = materialize(token_rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(grow, "line long, template long").distinct())
+    grown = materialize(token_rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(lean(grow), "line long, template long").distinct())
     alone = grown.join(grown.groupBy("template").count().filter("count > 1").select("template"), "template")
     many = lines.select("line", "rk", "doc").join(alone, "line").groupBy("template").agg(F.count_distinct(who).alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= min_docs)
     single = contested.select("line", "docs", "first").join(alone.select("line"), "line", "left_anti").filter(F.col("docs") >= min_docs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, join_small, materialize, mix64, owner, release, sorted_groups, text_of, tokens, utf8
+from lodestone.llm.shared import chunks, join_small, lean, materialize, mix64, owner, release, sorted_groups, text_of, tokens, utf8
 
 SHINGLE, PERMUTATIONS, BITS, ROWS, THRESHOLD = 2, 128, 4, 4, 0.6
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = PERMUTATIONS, b
                     )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id IS NOT NULL")
-    return src.mapInArrow(run, "doc_id long, sig binary, bands array<long>")
+    return src.mapInArrow(lean(run), "doc_id long, sig binary, bands array<long>")
 
 
 def bucket_edges(ids: np.ndarray, sigs: np.ndarray, bits: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def _buckets(rep: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many]), pa.array(ids[many])], ["bucket", "id"])
 
     banded = rep.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, id long").distinct()
+    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "bucket long, id long").distinct()
 
 
 def _edges(members: DataFrame, bits: int, threshold: float) -> DataFrame:
@@ -167,7 +167,7 @@ def _edges(members: DataFrame, bits: int, threshold: float) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

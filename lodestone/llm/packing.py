@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import _SOLID, chunks, join_small, materialize, owner, spans, text_of, utf8
+from lodestone.llm.shared import _SOLID, chunks, give_back, join_small, lean, materialize, owner, spans, text_of, utf8
 
 #: Bytes of text that are handed on at a time.
-PIECE_BYTES = 1 << 24
+PIECE_BYTES = 1 << 22
 CAPACITY, CLASSES, PER_PATTERN = 2048, 128, 4
 #: Pieces that one task numbers; a class with more is numbered by several, and offsets are added.
 NUMBERED = 1_000_000
@@ -140,6 +140,7 @@ def word_count(column: str = "text"):
     """Arrow UDF column: runs of characters other than ASCII white space."""
 
     def run(texts: pa.Array) -> pa.Array:
+        give_back()
         data, offs = utf8(texts)
         out = np.zeros(len(offs) - 1, np.int64)
         for lo, hi, part, cut in chunks(data, offs):
@@ -232,7 +233,7 @@ def pack_texts(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES
         part, pack, place, first, n = (pa.array(f[own]) for f in fields)
         return pa.RecordBatch.from_arrays([pack, place, b.column(0).take(pa.array(row)), part, first, n, pa.array(out, pa.string())], ["pack_id", "place", "doc_id", "part", "first_word", "n_words", "text"])
 
-    return whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "pieces").mapInArrow(cut, "pack_id long, place int, doc_id long, part int, first_word long, n_words int, text string")
+    return whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "pieces").mapInArrow(lean(cut), "pack_id long, place int, doc_id long, part int, first_word long, n_words int, text string")
 
 
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

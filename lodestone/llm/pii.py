@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import text_of
+from lodestone.llm.shared import give_back, text_of
 
 _LOOKALIKES = dict(
     zip(
@@ -315,7 +315,8 @@ def masked(column: str = "text") -> Column:
     """The column with identifiers masked; null stays null."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else mask(t) for t in texts.to_pylist()], pa.string())
+        give_back()
+        return pa.array((t if t is None else mask(t) for t in (x.as_py() for x in texts)), pa.string(), size=len(texts))
 
     return F.arrow_udf(run, "string")(F.col(column))
 

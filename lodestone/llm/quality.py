@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, join_small, materialize, text_of, utf8
+from lodestone.llm.shared import chunks, give_back, join_small, lean, materialize, text_of, utf8
 
 GRAM, PSEUDO, PRIOR, THRESHOLD, UNIT = 6, 50, 16, -0.1, 10_000
 #: Keys up to which the ratios are broadcast (8 bytes each, 256 MB).
 BROADCAST_KEYS = 32_000_000
 #: Counted keys that a task holds before it hands them on.
 HELD_KEYS = 2_000_000
+#: Keys that are merged at a time, and bytes of text whose grams are taken at a time.
+MERGED_KEYS, GRAM_BYTES = 1 << 17, 1 << 19
 _FACTOR, _SHIFT = 11400714819323198485, 100_000_000
 
 
@@ -53,12 +55,65 @@ def keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted list of keys with the sums of their counts."""
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[cut], np.add.reduceat(n, cut, dtype=np.int64) if len(cut) else n
+    """One sorted list of keys with the sums of their counts, of sorted lists.
+
+    They are merged by ranges of keys, so that besides parts and result little is held.
+    """
+    whole = sum(len(key) for key, _ in parts)
+    some = np.sort(np.concatenate([key[::64] for key, _ in parts]))
+    bounds = np.unique(some[MERGED_KEYS // 64 :: MERGED_KEYS // 64])
+    places = [np.r_[0, np.searchsorted(key, bounds), len(key)] for key, _ in parts]
+    out, sums, size = np.empty(whole, np.uint64), np.empty(whole, np.int64), 0
+    for i in range(len(bounds) + 1):
+        key, n = (np.concatenate([part[j][at[i] : at[i + 1]] for part, at in zip(parts, places, strict=True)]) for j in (0, 1))
+        if not len(key):
+            continue
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out[size : size + len(cut)], sums[size : size + len(cut)] = key[cut], np.add.reduceat(n, cut, dtype=np.int64)
+        size += len(cut)
+    return out[:size], sums[:size]
+
+
+def _counts(batches, held_keys: int = HELD_KEYS):
+    """(lang, key, raw, trusted) counts from batches of (text, trusted, lang); a key comes again when more than ``held_keys`` are met."""
+    names: dict[str, int] = {}
+    parts, held = [], 0
+
+    def rows():
+        code, n = _merged(parts)
+        parts.clear()
+        known = pa.array(list(names), pa.string())
+        for lo in range(0, len(code), 1 << 16):
+            c, m = code[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
+            key, good, own = (c >> np.uint64(1)) & np.uint64(0xFFFFFFFF), (c & np.uint64(1)).astype(bool), (c >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(own)), pa.array(key.astype(np.int64)), pa.array(m), pa.array(np.where(good, m, 0))], ["lang", "key", "raw", "trusted"])
+
+    for b in batches:
+        data, offs = utf8(b.column(0))
+        t = b.column(1).to_numpy(zero_copy_only=False)
+        coded = b.column(2).dictionary_encode()
+        place = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.uint64)
+        mark = (place[coded.indices.to_numpy(zero_copy_only=False)] << np.uint64(33)) | t.astype(np.uint64)
+        for lo, hi, part, cut in chunks(data, offs, GRAM_BYTES):
+            k, seg = keys(part, cut)
+            code = k.astype(np.uint64)
+            code <<= np.uint64(1)
+            code |= np.repeat(mark[lo:hi], np.diff(seg))
+            code.sort()
+            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+            parts.append((code[at], np.diff(np.r_[at, len(code)]).astype(np.int32)))
+            held += len(at)
+            del k, seg, code, at
+            if held > held_keys:
+                parts[:] = [_merged(parts)]
+                held = len(parts[0][0])
+                if held > held_keys * 3 // 4:
+                    yield from rows()
+                    held = 0
+    if held:
+        yield from rows()
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,40 +123,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").alias("__id"), text_of().alias("__text"), lang.alias("__lang"))
     marked = join_small(src, trusted.withColumn("__id", F.col("__trusted")), "__id", "left").select("__text", F.col("__trusted").isNotNull().alias("t"), "__lang")
 
-    def rows(names: list[str], parts: list):
-        code, n = _merged(parts)
-        key, good, own = (code >> np.uint64(1)) & np.uint64(0xFFFFFFFF), (code & np.uint64(1)).astype(bool), (code >> np.uint64(33)).astype(np.int32)
-        lang = pa.DictionaryArray.from_arrays(pa.array(own), pa.array(names, pa.string())).cast(pa.string())
-        for lo in range(0, len(key), 1 << 16):
-            cut = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([lang[cut], pa.array(key[cut].astype(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(np.where(good[cut], n[cut], 0).astype(np.int64))], ["lang", "key", "raw", "trusted"])
-
-    def run(batches):
-        names: dict[str, int] = {}
-        parts, held = [], 0
-        for b in batches:
-            data, offs = utf8(b.column(0))
-            t = b.column(1).to_numpy(zero_copy_only=False)
-            coded = b.column(2).dictionary_encode()
-            place = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.uint64)
-            mark = (place[coded.indices.to_numpy(zero_copy_only=False)] << np.uint64(33)) | t.astype(np.uint64)
-            for lo, hi, part, cut in chunks(data, offs):
-                k, seg = keys(part, cut)
-                code = (k.astype(np.uint64) << np.uint64(1)) | np.repeat(mark[lo:hi], np.diff(seg))
-                code.sort()
-                at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-                parts.append((code[at], np.diff(np.r_[at, len(code)]).astype(np.int32)))
-                held += len(at)
-                if held > HELD_KEYS:
-                    parts = [_merged(parts)]
-                    held = len(parts[0][0])
-                    if held > HELD_KEYS * 3 // 4:
-                        yield from rows(list(names), parts)
-                        parts, held = [], 0
-        if held:
-            yield from rows(list(names), parts)
-
-    return marked.mapInArrow(run, "lang string, key long, raw long, trusted long").groupBy("lang", "key").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    return marked.mapInArrow(lean(_counts), "lang string, key long, raw long, trusted long").groupBy("lang", "key").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,10 +169,11 @@ def scored(docs: DataFrame, labels: DataFrame, name: str, most: int = BROADCAST_
     table = docs.sparkSession.sparkContext.broadcast((np.r_[key[order], np.uint32(0)], np.r_[ratio[order], 0].astype(np.int32)))
 
     def score(texts: pa.Array) -> pa.Array:
+        give_back()
         own, value = table.value
         data, offs = utf8(texts)
         out = np.zeros(len(offs) - 1)
-        for lo, _, part, cut in chunks(data, offs):
+        for lo, _, part, cut in chunks(data, offs, GRAM_BYTES):
             k, seg = keys(part, cut)
             size = np.diff(seg)
             has = np.flatnonzero(size)
@@ -182,7 +205,7 @@ def _scored_by_join(docs: DataFrame, ratios: DataFrame, name: str) -> DataFrame:
                     cols = uid[lo:hi][row[one]], (code[one] & np.uint64(0xFFFFFFFF)).astype(np.int64), n[one], size[row[one]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["__uid", "key", "n", "grams"])
 
-    counted = numbered.select("__uid", text_of().alias("__text")).mapInArrow(run, "__uid long, key long, n long, grams long")
+    counted = numbered.select("__uid", text_of().alias("__text")).mapInArrow(lean(run), "__uid long, key long, n long, grams long")
     total = counted.join(ratios, "key").groupBy("__uid").agg(F.sum(F.col("n") * F.col("ratio")).alias("__total"), F.first("grams").alias("__grams"))
     value = F.coalesce(F.expr(_micro("__total", "__grams")) / 1e6, F.lit(0.0))
     return numbered.join(total, "__uid", "left").withColumn(name, value).select(*docs.columns, name)

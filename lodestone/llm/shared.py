@@ -3,10 +3,15 @@
 Texts reach Python as Arrow batches. ``chunks`` cuts a batch into runs of whole documents of a
 bounded number of bytes, so that the NumPy temporaries stay small whatever the batch size; a text
 longer than the bound is a chunk of its own and is still processed whole.
+
+Spark uses a Python worker again for later tasks, of other stages too. What allocators keep of freed
+memory would add up there, so functions over batches are wrapped in ``lean``.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +28,27 @@ BROADCAST_ROWS = 4_000_000
 _HASH_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _HASH_INVERSE = pow(_HASH_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed, but that its allocators keep, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run):
+    """The function over batches; freed memory goes back to the system before its first batch and after its last."""
+
+    def over(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return over
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
@@ -145,4 +171,4 @@ def sorted_groups(batches):
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-__all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "chunks", "join_small", "materialize", "mix64", "owner", "release", "segments", "sorted_groups", "spans", "text_of", "tokens", "utf8"]
+__all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "chunks", "give_back", "join_small", "lean", "materialize", "mix64", "owner", "release", "segments", "sorted_groups", "spans", "text_of", "tokens", "utf8"]

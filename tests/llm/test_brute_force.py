@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import ann, bpe, html, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
-from lodestone.llm.shared import utf8
+from lodestone.llm.shared import lean, utf8
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -51,6 +53,54 @@ def test_quality_scores_are_the_same_without_a_broadcast(spark):
     assert one == other and len(one) == docs.count() and min(one.values()) < quality.THRESHOLD < max(one.values())
 
 
+def test_merging_counted_keys_holds_little_beside_them():
+    rng = np.random.default_rng(1)
+    parts = [(np.unique(rng.integers(0, 1 << 30, 300_000, dtype=np.uint64)), None) for _ in range(5)]
+    parts = [(key, rng.integers(1, 9, len(key)).astype(np.int32)) for key, _ in parts]
+    tracemalloc.start()
+    key, n = quality._merged(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = np.concatenate([x for x, _ in parts])
+    want, at = np.unique(every, return_inverse=True)
+    assert (key == want).all() and (n == np.bincount(at, np.concatenate([x for _, x in parts])).astype(np.int64)).all()
+    assert peak < 24 * len(every)  # 16 bytes a key are the result; all at once it was 52
+
+
+def test_counts_of_a_task_are_whole_whatever_it_holds():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abé ", k=rng.randrange(60))) for _ in range(400)]
+    good, langs = [rng.random() < 0.3 for _ in texts], [rng.choice(["en", "fr", ""]) for _ in texts]
+    want = Counter()
+    for t, g, lang in zip(texts, good, langs, strict=True):
+        for k in quality.keys(*utf8(pa.array([t])))[0].tolist():
+            want.update({(lang, k, "raw"): 1, (lang, k, "trusted"): int(g)})
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50]), pa.array(good[i : i + 50]), pa.array(langs[i : i + 50])], ["t", "g", "l"]) for i in range(0, 400, 50)]
+    for held in (quality.HELD_KEYS, 3000, 1):
+        got = Counter()
+        for b in quality._counts(iter(batches), held):
+            for r in b.to_pylist():
+                got.update({(r["lang"], r["key"], c): r[c] for c in ("raw", "trusted")})
+        assert got == want
+    assert list(quality._counts(iter([]))) == []
+
+
+def test_workers_give_back_what_they_freed():
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    kept = []
+
+    def run(batches):
+        for b in batches:
+            many = [np.ones(11_000) for _ in range(2500)]  # 88 kB each, too small to be mapped for themselves
+            kept.append(np.ones(5000))  # above them, so that they aren't the end of the heap
+            yield resident()
+            del many, b
+
+    before = resident()
+    most = list(lean(run)(iter([1])))
+    assert most[0] > before + 150 and resident() < before + 60
+
+
 def _jaccard(a, b):
     grams = lambda t: set(zip(t.lower().split(), t.lower().split()[1:]))
     x, y = grams(a), grams(b)
