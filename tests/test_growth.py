@@ -40,3 +40,15 @@ def test_sets_meet_by_both_keys(spark, tmp_path):
     want = {(a, b) for a in orders for b in orders if a < b <= a + 300 and same(a, b)}
     assert {(r.a, r.b) for r in got.collect()} == want and (7, 107) in want and (-50, 50) not in want
     assert "(b - a)" not in plan(got) and "+ 300" in plan(got)  # an equi-join on the other set's key, not on g alone
+
+
+def test_shingles_are_counted_in_place(spark, tmp_path):
+    rng = random.Random(4)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(9000))  # more characters than five of them fit a number
+    texts = ["Abcdeabcde", "abcd", "", None, "ÀÉîõüàéÎÕÜx", "a😀bc😀bc😀b", wide + wide, *("".join(rng.choices("abAB ", k=rng.randint(0, 60))) for _ in range(60))]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "abcdef")], "doc_id long, text string")
+    _save(docs, tmp_path, "documents")
+    want = sorted((i, len({t[j : j + 5].lower() for j in range(len(t) - 4)})) for i, t in [*enumerate(texts), (0, "abcdef")] if t and len(t) > 4)
+    found = queries.QUERIES["sim01_shingles"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == want and "Exchange" not in plan(found)
+    assert sorted(map(tuple, similar.shingle_counts(docs, step=50).collect())) == want
