@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,48 +71,87 @@ def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 1) -> tuple[Da
     return df.filter(u >= test), df.filter(u < test)
 
 
-#: Rows that one task compares with as many others.
-KNN_BLOCK = 4096
+#: Rows that one task compares with as many others; queries of them at a time.
+KNN_BLOCK, KNN_STEP = 32_768, 256
+
+
+def _matrix(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, ids, vectors as doubles) of the rows whose vector has ``dim`` finite numbers."""
+    vec = rows["vec"].combine_chunks()
+    at = np.flatnonzero(pc.list_value_length(vec).to_numpy(zero_copy_only=False) == dim)
+    x = vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+    good = np.isfinite(x).all(axis=1)
+    at, x = at[good], x[good]
+    return at, np.array(rows["id"].take(pa.array(at)).to_pylist()), x
+
+
+def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
+    """(rows of q, rows of x, squared distances): the k nearest of x to each row of q, without those of its own id, by (distance, id).
+
+    Products of float32 matrices find the few rows that may be among them: every row whose distance, less the
+    most that rounding adds, isn't beyond the k-th. Those are measured in doubles, dimension by dimension, as SQL adds them.
+    """
+    dim = x.shape[1]
+    middle = x.mean(axis=0) if len(x) else np.zeros(dim)
+    size = max(np.abs(x - middle).max(initial=0), np.abs(q - middle).max(initial=0)) or 1.0
+    xs, qs = ((v - middle) / size for v in (x, q))
+    x32, q32 = xs.astype(np.float32), qs.astype(np.float32)
+    far_x, far_q = (xs * xs).sum(axis=1), (qs * qs).sum(axis=1)
+    slack = (dim + 16) * 2.0**-22 * (np.sqrt(far_q) + np.sqrt(far_x.max(initial=0))) ** 2
+    half = (far_x / 2).astype(np.float32)
+    order = np.argsort(ids, kind="stable")
+    left, right = np.searchsorted(ids[order], q_ids, "left"), np.searchsorted(ids[order], q_ids, "right")
+    group = 64
+    for a in range(0, len(q), KNN_STEP):
+        d = half - q32[a : a + KNN_STEP] @ x32.T  # half the distance, less what is the same for a row of q
+        for i in np.flatnonzero((right > left)[a : a + KNN_STEP]):
+            d[i, order[left[a + i] : right[a + i]]] = np.inf
+        whole = d.shape[1] // group * group
+        least = d[:, :whole].reshape(len(d), -1, group).min(axis=2) if whole >= group * 4 * k else d
+        most = np.partition(least, k - 1, axis=1)[:, k - 1] if least.shape[1] > k else np.full(len(d), np.inf)
+        i, j = np.nonzero((d <= (most + slack[a : a + KNN_STEP])[:, None]) & (d < np.inf))
+        far = np.zeros(len(i))
+        for c in range(dim):
+            far += (x[j, c] - q[a + i, c]) ** 2
+        fine = np.isfinite(far)
+        i, j, far = i[fine], j[fine], far[fine]
+        best = np.lexsort((ids[j], far, i))
+        i, j, far = i[best], j[best], far[best]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield a + i[kept], j[kept], far[kept]
 
 
 def knn(train: DataFrame, queries: DataFrame, k: int = 2, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, prediction): the majority of the k nearest other rows by Euclidean distance; of equal votes the nearest decides, of equal distances the lesser key.
 
-    Both sides are cut into blocks of about KNN_BLOCK rows; a task compares two blocks and gives the k best
-    of each query, so what is shuffled beyond the blocks is k rows for each query and block. Rows with a
-    null vector, or one of another length than the query's, are no neighbours.
+    Both sides are cut into blocks of at most about KNN_BLOCK rows; a task compares two blocks and gives the k
+    best of each query, so what is shuffled beyond the blocks is k rows for each query and block. Every query
+    is compared with every row, so the time is quadratic. Rows with a null vector, or one of another length
+    than the query's, are no neighbours.
     """
-    t = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(label).cast("string").alias("label")).filter("id IS NOT NULL AND vec IS NOT NULL")
-    q = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
-    t_blocks, q_blocks = (max(1, -(-x.count() // KNN_BLOCK)) for x in (t, q))
+    kinds = {d.schema[vector].dataType.simpleString() for d in (train, queries)}
+    vec = F.col(vector).cast("array<float>" if kinds == {"array<float>"} else "array<double>").alias("vec")
+    t = train.select(F.col(key).alias("id"), vec, F.col(label).cast("string").alias("label")).filter("id IS NOT NULL AND vec IS NOT NULL")
+    q = queries.select(F.col(key).alias("id"), vec).filter("id IS NOT NULL AND vec IS NOT NULL")
+    t_blocks, q_blocks = (max(-(-n // KNN_BLOCK), min(8, -(-n // 1024)), 1) for n in (t.count(), q.count()))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")}).withColumn("tb", every(t_blocks))
     right = t.withColumns({"tb": F.pmod(F.xxhash64("id"), F.lit(t_blocks)).cast("int")}).withColumn("qb", every(q_blocks))
     kind = q.schema["id"].dataType.simpleString()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if a.num_rows and b.num_rows:
-            sizes = {len(v) for v in b["vec"].to_pylist()}
-            for dim in sizes:
-                rows = np.array([i for i, v in enumerate(b["vec"].to_pylist()) if len(v) == dim])
-                x = np.array([b["vec"][int(i)].as_py() for i in rows], float).reshape(len(rows), dim)
-                ids = np.array(b["id"].take(pa.array(rows)).to_pylist())
-                names = b["label"].take(pa.array(rows)).to_pylist()
-                for i, v in zip(a["id"].to_pylist(), a["vec"].to_pylist(), strict=True):
-                    if len(v) != dim:
-                        continue
-                    far = np.zeros(len(x))
-                    for d in range(dim):
-                        far += (x[:, d] - v[d]) ** 2  # in the order of the dimensions, as SQL adds them
-                    far[ids == i] = np.inf
-                    best = np.lexsort((ids, far))[:k] if k > 1 else [np.lexsort((ids, far))[0]]
-                    for j in best:
-                        if np.isfinite(far[j]):
-                            for o, value in zip(out, (i, float(far[j]), ids[j].item(), names[j]), strict=True):
-                                o.append(value)
-        return pa.table([pa.array(o, ty) for o, ty in zip(out, (b.schema.field("id").type, pa.float64(), b.schema.field("id").type, pa.string()), strict=True)], ["q_id", "far", "t_id", "t_label"])
-
+        ty = b.schema.field("id").type
+        out = [pa.table([pa.array([], x) for x in (ty, pa.float64(), ty, pa.string())], ["q_id", "far", "t_id", "t_label"])]
+        lengths = [set(pc.list_value_length(side["vec"]).unique().to_pylist()) for side in (a, b)]
+        for dim in lengths[0] & lengths[1]:
+            (q_at, q_ids, x), (t_at, t_ids, y) = _matrix(a, dim), _matrix(b, dim)
+            for i, j, far in _nearest(x, q_ids, y, t_ids, k) if len(x) and len(y) else ():
+                mine, near = pa.array(q_at[i]), pa.array(t_at[j])
+                out.append(pa.table([a["id"].take(mine), pa.array(far), b["id"].take(near), b["label"].take(near)], out[0].column_names))
+        return pa.concat_tables(out)
+
+    # a number of partitions of its own: small blocks are much work, and would be put together into one task
+    left, right = (side.repartition(t_blocks * q_blocks, "qb", "tb") for side in (left, right))
     found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInArrow(run, f"q_id {kind}, far double, t_id {kind}, t_label string")
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("far", "t_id"))
     near = found.withColumn("place", place).filter(F.col("place") <= k)

@@ -52,3 +52,22 @@ def test_shingles_are_counted_in_place(spark, tmp_path):
     found = queries.QUERIES["sim01_shingles"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == want and "Exchange" not in plan(found)
     assert sorted(map(tuple, similar.shingle_counts(docs, step=50).collect())) == want
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    for rows in (rng.normal(size=(260, 7)) + 1e5, np.floor(rng.normal(size=(260, 3)) * 2), np.zeros((90, 2))):  # far off, many ties, all equal
+        labels = rng.integers(0, 3, len(rows))
+        df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(rows, labels, strict=True))] + [(-1, None, 1), (-2, [1.0], 2)], "vec_id long, embedding array<double>, label int")
+        far = np.zeros((len(rows), len(rows)))
+        for d in range(rows.shape[1]):
+            far += (rows[None, :, d] - rows[:, None, d]) ** 2
+        np.fill_diagonal(far, np.inf)
+        for k in (1, 3):
+            want = {}
+            for i, f in enumerate(far):
+                near = labels[np.lexsort((np.arange(len(rows)), f))[:k]].tolist()
+                want[i] = max(near, key=lambda c, near=near: (near.count(c), -near.index(c)))
+            found = learn.knn(df, df, k)
+            assert {r.vec_id: r.prediction for r in found.collect()} == want
+    assert "REPARTITION_BY_NUM" in plan(found)  # blocks are small but much work: they aren't put together into one task
