@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +81,17 @@ def best_scene(guests: DataFrame, scenes: DataFrame, traits: list[str], leader:
 
     With a leader's scene, guests (id, crowd, traits) that like crowds less than ``crowd`` choose among the
     other scenes, and the others have no choice of their own and no row. Scenes are sent to every task, so
-    more than SMALL_SIDE of them are refused.
+    more than SMALL_SIDE of them are refused; a guest's row is reduced to its best scene where it is read.
     """
     if scenes.count() > SMALL_SIDE:
         raise ValueError(f"more than {SMALL_SIDE} scenes")
     if leader is not None:
         guests, scenes = guests.filter(F.col("crowd") < crowd), scenes.filter(F.col("id") != leader)
-    total = None
-    for t in traits:
-        term = F.col(f"g_{t}") * F.col(f"s_{t}")
-        total = term if total is None else total + term
-    g = guests.select(F.col("id").alias("guest"), *[F.col(t).alias(f"g_{t}") for t in traits])
-    s = scenes.select(F.col("id").alias("scene"), *[F.col(t).alias(f"s_{t}") for t in traits])
-    return g.crossJoin(F.broadcast(s)).withColumn("utility", total).groupBy("guest").agg(F.max(F.struct("utility", -F.col("scene"))).alias("m")).select("guest", (-F.col("m.col2")).alias("scene"), "m.utility")
+    held = scenes.agg(F.collect_list(F.struct("id", *traits)).alias("_scenes")).filter(F.size("_scenes") > 0)
+    utility = lambda s: reduce(add, [F.col(t) * s[t] for t in traits])
+    best = F.array_max(F.transform("_scenes", lambda s: F.struct(utility(s).alias("utility"), (-s["id"]).alias("scene"))))
+    own = guests.repartition("id").crossJoin(F.broadcast(held)).select(F.col("id").alias("guest"), best.alias("m"))
+    return own.groupBy("guest").agg(F.max("m").alias("m")).select("guest", (-F.col("m.scene")).alias("scene"), "m.utility")
 
 
 def dutch_auction(auctions: DataFrame, bids: DataFrame, step: float = 10.0) -> DataFrame:

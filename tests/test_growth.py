@@ -71,3 +71,16 @@ def test_neighbours_equal_brute_force(spark):
             found = learn.knn(df, df, k)
             assert {r.vec_id: r.prediction for r in found.collect()} == want
     assert "REPARTITION_BY_NUM" in plan(found)  # blocks are small but much work: they aren't put together into one task
+
+
+def test_scenes_are_chosen_row_by_row(spark):
+    guests = spark.range(200).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    scenes = [(i, float(i % 5), float(i % 3)) for i in range(30)]
+    held = spark.createDataFrame(scenes, "id long, a double, b double")
+    found = agents.best_scene(guests, held, ["a", "b"])
+    for g in found.collect():
+        assert (g.utility, -g.scene) == max((g.guest % 7 * a + g.guest % 11 * b, -i) for i, a, b in scenes)
+    assert most_rows(found) <= 200  # not one for each guest and scene
+    assert agents.best_scene(guests, held.limit(0), ["a", "b"]).count() == 0
+    twice = agents.best_scene(guests.unionByName(guests.withColumn("a", F.col("a") + 100)), held, ["a", "b"])
+    assert twice.count() == 200 and twice.filter("guest = 8").first().utility == 101 * 4 + 8 * 2
