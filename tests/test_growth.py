@@ -84,3 +84,19 @@ def test_scenes_are_chosen_row_by_row(spark):
     assert agents.best_scene(guests, held.limit(0), ["a", "b"]).count() == 0
     twice = agents.best_scene(guests.unionByName(guests.withColumn("a", F.col("a") + 100)), held, ["a", "b"])
     assert twice.count() == 200 and twice.filter("guest = 8").first().utility == 101 * 4 + 8 * 2
+
+
+def _crowd(spark, seed):
+    rng = random.Random(seed)
+    one = lambda n, span: [(i, float(rng.randrange(span)), rng.random() * span) for i in range(n)]
+    left, right = one(300, 60), [*one(400, 60), (400, None, 1.0), (401, float("nan"), 1.0)]
+    near = [(a, b) for a, x, y in left for b, u, v in right if u is not None and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 < 9]
+    return spark.createDataFrame(left, "id long, x double, y double"), spark.createDataFrame(right, "id long, x double, y double"), near
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    left, right, near = _crowd(spark, 3)
+    monkeypatch.setattr(agents, "PAIR_CELL", (5, 8))
+    found = agents.within(left, right, 9.0)
+    got = [(r.l_id, r.r_id) for r in found.collect()]
+    assert sorted(got) == sorted(near) and "REPARTITION_BY_NUM" in plan(found)
