@@ -91,7 +91,7 @@ _POINTS = base._POINTS
 @query("agt03_trait_counts", f"WITH {_POINTS} SELECT pt.id AS l_id, sp.id % 3 AS trait, count(*) AS n FROM pt, sp WHERE sqrt((pt.x - sp.x) ** 2 + (pt.y - sp.y) ** 2) < 900 GROUP BY ALL")
 def agt03(spark, sf_dir):
     left, right = base.points(spark, sf_dir)
-    return agents.trait_counts(agents.within(left, right, 900.0), right.withColumn("kind", F.col("id") % 3), "kind")
+    return agents.trait_counts_within(left, right.withColumn("kind", F.col("id") % 3), 900.0, "kind")
 
 
 @query("agt04_coins", f"SELECT c_custkey AS id, {uniform_sql('1', 'c_custkey')} < 0.25 AS head, floor({uniform_sql('2', 'c_custkey')} * 51)::BIGINT + 20 AS number, array_to_string(list_sort(list_transform([1, 2, 3, 4], lambda x: md5('3-' || (c_custkey * 10 + x)) || ':' || (c_custkey * 10 + x)))[1:2], ' ') AS picked FROM customer")

@@ -100,3 +100,17 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     found = agents.within(left, right, 9.0)
     got = [(r.l_id, r.r_id) for r in found.collect()]
     assert sorted(got) == sorted(near) and "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_traits_are_counted_without_pairs(spark, monkeypatch):
+    left, right, near = _crowd(spark, 1)
+    right = right.withColumn("kind", F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)))
+    want = {}
+    for a, b in near:
+        key = a, f"k{b % 3}" if b % 3 else None
+        want[key] = want.get(key, 0) + 1
+    for most in (agents.COUNT_CELL, (7, 11)):
+        monkeypatch.setattr(agents, "COUNT_CELL", most)
+        found = agents.trait_counts_within(left, right, 9.0, "kind")
+        assert {(r.l_id, r.trait): r.n for r in found.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in plan(queries.QUERIES["agt03_trait_counts"](spark, "/root/testdata/sf0.001"))
