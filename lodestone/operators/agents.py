@@ -235,8 +235,7 @@ def queens(spark, n: int) -> DataFrame:
 def perceived(agents: DataFrame, things: DataFrame, distance: float, belief: Column) -> DataFrame:
     """(agent, belief): what each agent (id, x, y) takes in of the things (id, x, y, ...) in its reach for which the belief isn't null."""
     named = things.withColumn("belief", belief).filter("belief IS NOT NULL")
-    seen = within(agents, named.select("id", "x", "y"), distance).select(F.col("l_id").alias("agent"), F.col("r_id").alias("id"))
-    return seen.join(named.select("id", "belief"), "id").select("agent", "belief").distinct()
+    return trait_counts_within(agents, named, distance, "belief").select(F.col("l_id").alias("agent"), F.col("trait").alias("belief"))
 
 
 def intentions(beliefs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -294,7 +293,7 @@ def pick_member(registry: DataFrame, kind: str, seed: int = 1) -> DataFrame:
 
 def without_caught(agents: DataFrame, bad: DataFrame, guards: DataFrame, distance: float) -> DataFrame:
     """agents without the bad ones that a guard has in reach."""
-    caught = within(bad, guards, distance).select(F.col("l_id").alias("id")).distinct()
+    caught = trait_counts_within(bad, guards.withColumn("trait", F.lit(1)), distance, "trait").select(F.col("l_id").alias("id"))
     return agents.join(caught, "id", "left_anti")
 
 

@@ -114,3 +114,14 @@ def test_traits_are_counted_without_pairs(spark, monkeypatch):
         found = agents.trait_counts_within(left, right, 9.0, "kind")
         assert {(r.l_id, r.trait): r.n for r in found.collect()} == want
     assert "FlatMapCoGroupsInArrow" in plan(queries.QUERIES["agt03_trait_counts"](spark, "/root/testdata/sf0.001"))
+
+
+def test_beliefs_without_pairs(spark):
+    left, right, near = _crowd(spark, 2)
+    kind = F.when(F.col("id") % 4 == 0, "food").when(F.col("id") % 4 == 1, "music")
+    got = agents.perceived(left, right, 9.0, kind)
+    assert {tuple(r) for r in got.collect()} == {(a, ("food", "music")[b % 4]) for a, b in near if b % 4 < 2}
+    free = agents.without_caught(left, left.filter("id % 2 = 0"), right, 9.0)
+    caught = {a for a, _ in near if a % 2 == 0}
+    assert {r.id for r in free.collect()} == set(range(300)) - caught
+    assert "FlatMapCoGroupsInArrow" in plan(got) and "FlatMapCoGroupsInArrow" in plan(free)
