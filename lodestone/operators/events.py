@@ -62,13 +62,13 @@ def vector_release(log: DataFrame) -> DataFrame:
     """(arrival, node, released_at): when all that a record depends on has arrived; null if it never has.
 
     log is (arrival, node, clock), clock a map from node to count that has the record's own node; entries
-    of 0 ask for nothing.
+    of 0 ask for nothing. A node's records are run through in ranges, so that a busy one isn't one task.
     """
     own = log.select(F.col("node").alias("k"), F.col("clock")[F.col("node")].alias("v"), "arrival")
     asks = log.select(F.explode("clock").alias("k", "v"), F.col("arrival").alias("asker")).filter("v > 0")
     both = own.withColumn("asker", F.lit(None).cast("long")).unionByName(asks.withColumn("arrival", F.lit(None).cast("long")))
-    reach = F.min("arrival").over(Window.partitionBy("k").orderBy(F.desc("v"), F.col("asker").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = both.withColumn("met", reach).filter("asker IS NOT NULL").groupBy(F.col("asker").alias("arrival")).agg(F.max("met").alias("met"), F.count_if(F.col("met").isNull()).alias("missing"))
+    reached = running(both, [F.desc("v"), F.col("asker").isNotNull()], {"met": ("min", F.col("arrival"))}, within=F.col("k"))
+    met = reached.filter("asker IS NOT NULL").groupBy(F.col("asker").alias("arrival")).agg(F.max("met").alias("met"), F.count_if(F.col("met").isNull()).alias("missing"))
     out = log.select("arrival", "node").join(met, "arrival", "left")
     return out.select("arrival", "node", F.when(F.coalesce("missing", F.lit(0)) == 0, F.greatest("met", "arrival")).alias("released_at"))
 

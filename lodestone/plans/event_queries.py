@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import events
+from lodestone.plans.ranges import numbered
 from lodestone.plans.registry import query, table
 
 
@@ -38,9 +39,7 @@ e AS (SELECT arrival, node AS k, own AS v FROM l UNION ALL SELECT arrival, 'view
 
 
 def _vectors(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events").filter("event_type IS NOT NULL").withColumn("own", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long"))
+    rows = numbered(table(spark, sf_dir, "events").filter("event_type IS NOT NULL").select("event_id", "event_type"), "own", F.col("event_id"), within=F.col("event_type")).withColumn("own", F.col("own") + 1)
     own = F.create_map(F.col("event_type"), F.col("own"))
     clock = F.when(F.col("event_type") == "view", own).otherwise(F.map_concat(own, F.create_map(F.lit("view"), F.expr("own DIV 5"))))
     return rows.select((F.col("event_id") * 7919 % 100003 * 1000003 + F.col("event_id")).alias("arrival"), F.col("event_type").alias("node"), clock.alias("clock"))

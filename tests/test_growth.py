@@ -125,3 +125,19 @@ def test_beliefs_without_pairs(spark):
     caught = {a for a, _ in near if a % 2 == 0}
     assert {r.id for r in free.collect()} == set(range(300)) - caught
     assert "FlatMapCoGroupsInArrow" in plan(got) and "FlatMapCoGroupsInArrow" in plan(free)
+
+
+def test_busy_nodes_are_several_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b", f"n{i % 9}"]), rng.choice([None, *range(50)])) for i in rng.sample(range(400), 400)]
+    df = spark.createDataFrame(rows, "i long, k string, v long")
+    want = {}
+    for i, k, v in sorted(rows):
+        n, least = next(((n, m) for _, kk, n, m in reversed(list(want.values())) if kk == k), (-1, None))
+        want[i] = i, k, n + 1, min((x for x in (least, v) if x is not None), default=None)
+    least = ranges.running(df, [F.col("i")], {"least": ("min", F.col("v"))}, within=F.col("k"))
+    got = ranges.numbered(least, "n", F.col("i"), within=F.col("k")).select("i", "k", "n", "least")
+    assert {r.i: tuple(r) for r in got.collect()} == want
+    log = spark.createDataFrame([(i, "ab"[i % 2], {"ab"[i % 2]: i // 2 + 1}) for i in range(100)], "arrival long, node string, clock map<string,long>")
+    released = events.vector_release(log)
+    assert all(r.released_at == r.arrival for r in released.collect()) and "windowspecdefinition(k" not in plan(released)
