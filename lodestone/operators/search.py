@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,21 +14,22 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import indel_at_most_two, kgrams, query_terms
 from lodestone.operators import index as ix
+from lodestone.plans.storage import stored
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, doc_id, tf, positions), document frequencies (term, df), sizes (doc_id, n_words, euclid) and k-grams (kgram, term).
+    """Postings (term, doc_id, tf, positions), document frequencies (term, df), words (doc_id, n_words), sizes (doc_id, n_words, euclid), k-grams (kgram, term) and weights (doc_id, term, tf, df, w).
 
     They are lazy plans over documents, or tables of a stored index, of which a search reads the rows of
-    its terms.
+    its terms. ``table`` gives those of the last three that it is asked for.
     """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
-    sizes: DataFrame
-    kgrams: DataFrame
+    words: DataFrame
+    table: Callable[[str], DataFrame]
     n: int
 
     @classmethod
@@ -35,11 +37,26 @@ class Index:
         ids = docs.select(F.col(key).alias("doc_id"))
         postings = ix.postings(ix.tokens(docs, key, text))
         terms, n = ix.document_frequency(postings), ids.distinct().count()
-        return cls(ids, postings, terms, ix.lengths(ix.weights(n, postings, terms)), ix.kgram_index(terms.select("term")), n)
+        weighted = ix.weights(n, postings, terms)
+        sizes = ix.lengths(weighted)
+        return cls(ids, postings, terms, sizes.select("doc_id", "n_words"), {"sizes": sizes, "kgrams": ix.kgram_index(terms.select("term")), "weights": weighted}.__getitem__, n)
 
     @classmethod
     def stored(cls, store: ix.IndexStore) -> Index:
-        return cls(store.read("sizes").select("doc_id"), *(store.read(t) for t in ("postings", "terms", "sizes", "kgrams")), store.documents)
+        words = store.read("words")
+        return cls(words.select("doc_id"), store.read("postings"), store.read("terms"), words, lambda name: store.weights() if name == "weights" else store.read(name), store.documents)
+
+    @property
+    def sizes(self) -> DataFrame:
+        return self.table("sizes")
+
+    @property
+    def kgrams(self) -> DataFrame:
+        return self.table("kgrams")
+
+    @property
+    def weights(self) -> DataFrame:
+        return self.table("weights")
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -137,7 +154,7 @@ def ranked(index: Index, query: dict[str, float], norm: str = "words", ranking:
     sums = matched.groupBy("doc_id").agg(F.sum("w").alias("w"), *([F.sum("rank").alias("rank")] if ranking != "tf_idf" else []))
     tf_idf = F.col("w") / size
     score = {"tf_idf": lambda: tf_idf, "pagerank": lambda: F.col("rank"), "combination": lambda: 0.01 * tf_idf + 0.99 * F.col("rank")}[ranking]()
-    return sums.join(index.sizes.select("doc_id", "n_words", "euclid"), "doc_id").select("doc_id", score.alias("score"))
+    return sums.join(index.words if norm == "words" else index.sizes.select("doc_id", "euclid"), "doc_id").select("doc_id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int = 10, skip: int = 0) -> DataFrame:
@@ -149,15 +166,20 @@ def feedback(index: Index, query: dict[str, float], relevant: DataFrame, alpha:
     """(term, weight): alpha of the old weights plus beta of the words' counts in the relevant documents."""
     spark = relevant.sparkSession
     old = spark.createDataFrame([(t, alpha * w) for t, w in query.items()], "term string, weight double")
-    new = index.postings.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("term").agg((F.lit(beta) * F.sum("tf")).alias("weight"))
+    chosen = stored(relevant.select("doc_id").distinct())
+    chosen = F.broadcast(chosen) if chosen.count() <= ix.HOT_TERMS else chosen
+    new = index.postings.join(chosen, "doc_id", "left_semi").groupBy("term").agg((F.lit(beta) * F.sum("tf")).alias("weight"))
     return old.unionByName(new).groupBy("term").agg(F.sum("weight").alias("weight"))
 
 
 def ranked_by_terms(index: Index, query: DataFrame) -> DataFrame:
     """(doc_id, score) for a query of any size given as (term, weight), by word count."""
-    weighted = ix.weights(index.n, index.postings.select("term", "doc_id", "tf"), index.terms.join(query, "term").select("term", "df")).join(query, "term")
+    wanted = stored(index.terms.join(query, "term").select("term", "df", "weight"))
+    met = F.broadcast(wanted) if wanted.count() <= ix.HOT_TERMS else wanted
+    w = F.col("tf") * F.log(F.lit(index.n) / F.col("df"))
+    weighted = index.postings.select("term", "doc_id", "tf").join(met, "term").withColumn("w", w)
     sums = weighted.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("w"))
-    return sums.join(index.sizes.select("doc_id", "n_words"), "doc_id").select("doc_id", (F.col("w") / F.col("n_words")).alias("score"))
+    return sums.join(index.words, "doc_id").select("doc_id", (F.col("w") / F.col("n_words")).alias("score"))
 
 
 def spelling(index: Index, word: str, k: int = 2, least: float = 0.4, limit: int | None = 10, repeats: bool = False) -> DataFrame:

@@ -156,3 +156,22 @@ def test_postings_are_made_in_blocks(spark):
         found = index.row_postings(docs, step=step).drop("n_words").collect()
         assert sorted(map(str, found)) == want
     assert [r.term.encode() for r in found] == sorted(r.term.encode() for r in found)  # one block
+
+
+def test_index_is_stored_without_a_shuffle_of_postings(spark, monkeypatch):
+    docs = spark.createDataFrame(_texts(80, 2), "doc_id long, text string")
+    plain = search.Index.of(docs)
+    for hot in (1, index.HOT_TERMS):
+        monkeypatch.setattr(index, "HOT_TERMS", hot)
+        store = index.write_index(docs, runs=2)
+        held = search.Index.stored(store)
+        both = lambda name, *c: [sorted(map(str, getattr(x, name).select(*c).collect())) for x in (plain, held)]  # noqa: E731, B023
+        for name, *c in (("postings", "term", "doc_id", "tf", "positions"), ("terms", "term", "df"), ("words", "doc_id", "n_words"), ("kgrams", "kgram", "term"), ("weights", "doc_id", "term", "tf", "df", "w")):
+            one, other = both(name, *c)
+            assert one == other, name
+        assert {r.doc_id: round(r.euclid, 9) for r in plain.sizes.collect()} == {r.doc_id: round(r.euclid, 9) for r in held.sizes.collect()}
+    assert not store._merged()  # the runs are the index: no posting was written twice
+    store.add_run(2, spark.createDataFrame([(3, "new the"), (99, "new")], "doc_id long, text string"))
+    store.merge(docs.select("doc_id").unionByName(spark.createDataFrame([(3,), (99,)], "doc_id long")))
+    assert {r.doc_id for r in index.lookup(store.read("postings"), ["new"]).collect()} == {3, 99} and store._merged()
+    assert search.Index.stored(store).sizes.count() == sum(bool(t) for _, t in _texts(80, 2)) + 1
