@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import agents, events, index, learn, search, similar
+from lodestone.operators import agents, events, graphs, index, learn, search, similar
 from lodestone.plans import queries, ranges
 
 
@@ -191,3 +191,21 @@ def test_merge_check_compares_documents_first(spark):
     twice = index.repeated(halves[0].unionByName(halves[1]))
     one, other = index.merge_postings(*parts), index.merge_postings(*parts, twice)
     assert [r.doc_id for r in twice.collect()] == [4] and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_triangles_without_wedges(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(-20, 60), 2))) for _ in range(700)} | {(100, i) for i in range(-20, 60)} | {(7_000_000_000, i) for i in range(9)}
+    pairs = {tuple(sorted(p)) for p in pairs}
+    of = {}
+    for a, b in pairs:
+        of.setdefault(a, set()).add(b)
+    want = sum(len(of[a] & of.get(b, set())) for a, b in pairs)
+    edges = spark.createDataFrame([*pairs, (5, 5), *[(b, a) for a, b in list(pairs)[:50]]], "src long, dst long")
+    for block, step in ((graphs.TRIANGLE_BLOCK, graphs.TRIANGLE_STEP), (50, 7)):
+        monkeypatch.setattr(graphs, "TRIANGLE_BLOCK", block)
+        monkeypatch.setattr(graphs, "TRIANGLE_STEP", step)
+        found = graphs.triangles(edges)
+        assert found.first().triangles == want
+    assert "x < y" not in plan(found) and most_rows(found) <= 8 * len(pairs)
+    assert tuple(graphs.triangles(edges.limit(0)).first()) == (0, 0, None)
