@@ -209,3 +209,13 @@ def test_triangles_without_wedges(spark, monkeypatch):
         assert found.first().triangles == want
     assert "x < y" not in plan(found) and most_rows(found) <= 8 * len(pairs)
     assert tuple(graphs.triangles(edges.limit(0)).first()) == (0, 0, None)
+
+
+def test_clusters_of_many_nodes(spark):
+    rng = random.Random(9)
+    groups = [range(k * 30, k * 30 + 30) for k in range(3)]
+    pairs = [p for g in groups for p in {tuple(sorted(rng.sample(g, 2))) for _ in range(160)}] + [(0, 30), (31, 60), (61, 1)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    small, large = (graphs.spectral_clusters(edges, 3, most=most, normalize="row").collect() for most in (5000, 10))
+    parts = [{frozenset(r.id for r in found if r.cluster == c) for c in range(3)} for found in (small, large)]
+    assert parts[0] == parts[1] == {frozenset(g) for g in groups}
