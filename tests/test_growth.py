@@ -219,3 +219,16 @@ def test_clusters_of_many_nodes(spark):
     small, large = (graphs.spectral_clusters(edges, 3, most=most, normalize="row").collect() for most in (5000, 10))
     parts = [{frozenset(r.id for r in found if r.cluster == c) for c in range(3)} for found in (small, large)]
     assert parts[0] == parts[1] == {frozenset(g) for g in groups}
+
+
+def test_gains_by_one_join_for_each_end(spark):
+    rng = random.Random(10)
+    edges = graphs.affinity(spark.createDataFrame([tuple(rng.sample(range(40), 2)) for _ in range(150)], "src long, dst long"))
+    colored = graphs.initial_parts(edges.select(F.col("src").alias("id")).distinct(), 3)
+    nodes = graphs.node_degrees(edges, colored, 3)
+    counted = {(r.id, r.color): r.degree for r in graphs.color_degrees(edges, colored).collect()}
+    assert {(r.id, c): n for r in nodes.collect() for c, n in enumerate(r.degrees) if n} == counted
+    pairs = edges.select(F.col("src").alias("p"), F.col("dst").alias("q"))
+    one, other = graphs.exchange_gain(pairs, colored, graphs.color_degrees(edges, colored), 1.5), graphs.node_gain(pairs, nodes, 1.5)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert sorted(map(tuple, edges.collect())) == sorted({(b, a) for a, b in map(tuple, edges.collect())})
